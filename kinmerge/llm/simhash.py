@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import save, table
@@ -51,15 +52,15 @@ def fingerprint(text: bytes, n: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, h, fp): fp as a signed long, h a hash of the whole text that tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or b"") for t in b.column(1).cast(pa.large_binary())), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py() or b"") for t in b.column(2).cast(pa.large_binary())), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint")
 
 
 def _segments(most: int) -> list[tuple[int, int]]:
@@ -108,30 +109,32 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return met.where(holds).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs."""
-    marked = save(fingerprints(docs), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = links(distinct.select("fp"), most)
+def _grouped(marked: DataFrame, most: int) -> DataFrame:
+    """(doc_id, h, fp, component): component is one fingerprint of each group."""
+    distinct = marked.select("fp").distinct()
     # an id under several fingerprints links them: each such row gives an edge to the id's least fingerprint
     several = marked.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top and doc_id is not null")
     shared = marked.join(several, "doc_id").where("fp > b").select(F.col("fp").alias("a"), "b")
-    found = connected_components(linked.unionByName(shared), "a", "b")
-    group = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = group.join(smallest, "component").select(F.col("fp").alias("own"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = connected_components(links(distinct, most).unionByName(shared), "a", "b")
+    return marked.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "h", "fp", F.coalesce("component", "fp").alias("component"))
 
 
-def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """docs with one row left of each component: that of the smallest doc_id.
+def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs."""
+    grouped = _grouped(save(fingerprints(docs), "fingerprints"), most)
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(least, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-    Of rows that share a doc_id (or have none) the first by hash of the text stays.
-    """
-    found = near_duplicates(docs, most)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return one
+
+def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """docs with one row left of each component: the smallest doc_id, a null one last, then the least text hash."""
+    grouped = _grouped(save(fingerprints(docs), "fingerprints"), most)
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_kept"), F.col("x.h").alias("_kept_h"))
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    rank = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))  # equal rows: any one of them
+    one = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")), "left_semi")
+    return one.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
