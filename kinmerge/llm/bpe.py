@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 #: Entries a worker's caches of words and of pieces hold before they start anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 END = "</w>"
 _SPACE = r"\t-\r \x85\xa0  -     　"  # Unicode's White_Space
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -155,8 +156,11 @@ class Transducer:
             for token in self.merges.tokenize([*held, before + END]):
                 yield ids[token]
 
+    def _packed_piece(self, piece: str) -> bytes:
+        return array("I", self.piece(piece)).tobytes()
+
     def _of_piece(self, piece: str) -> bytes:
-        packed = np.fromiter(self.piece(piece), "<u4").tobytes()
+        packed = self._packed_piece(piece)
         if len(piece) <= 256:
             if len(self._pieces) >= CACHE_ENTRIES:
                 self._pieces.clear()

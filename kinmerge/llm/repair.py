@@ -31,8 +31,8 @@ from .common import save, table, width
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 8
-RULES_A_ROUND = 2048
+ROUNDS = 4
+RULES_A_ROUND = 4096
 LEAST_COUNT = 8
 _MAGIC = b"RPGR"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, docs, symbols, rules, first new symbol, bytes of a symbol, has null ids
@@ -92,13 +92,14 @@ def grammar(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
             break
         rank, pairs = _rank_of(codes, pairs)
         none = len(pairs)
-        place = np.arange(len(rank))
-        fresh = np.append(True, rank[1:] != rank[:-1])
-        odd = (place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1  # in a run of one pair, every second
-        before = np.append(none, rank[:-1])
-        after = np.append(rank[1:], none)
-        take = (rank < none) & (odd == 0) & (rank <= before) & (rank <= after)
-        at = np.flatnonzero(take)
+        near = np.flatnonzero(rank < none)
+        own = rank[near]
+        beside = np.append(False, near[1:] == near[:-1] + 1)
+        before = np.where(beside, np.append(none, own[:-1]), none)
+        after = np.append(np.where(beside[1:], own[1:], none), none)
+        place = np.arange(len(near))
+        odd = (place - np.maximum.accumulate(np.where(before == own, 0, place))) & 1  # in a run of one pair, every second
+        at = near[(odd == 0) & (own <= before) & (own <= after)]
         if not len(at):
             break
         half = np.uint64(32) if codes.dtype == np.uint64 else np.uint32(16)
@@ -211,8 +212,12 @@ class LibraryEncoder(Transducer):
         self._library.no_truncation()
         self._library.no_padding()
 
-    def piece(self, symbols):
-        return (t.id for t in self._library.model.tokenize(symbols))
+        self._tokenize = self._library.model.tokenize
+        self._packed = [i.to_bytes(4, "little") for i in range(self._library.get_vocab_size())]
+
+    def _packed_piece(self, piece: str) -> bytes:
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self._tokenize(piece)])
 
 
 _encoders: dict[str, LibraryEncoder] = {}
