@@ -5,6 +5,343 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .fixture import CONTACTS_SQL, contacts
+from .functions import normalize as N
+from .operators import cluster as C
+from .operators import golden as G
+from .operators import matching as M
+from .operators import state as S
+from .session import cut, ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_KEYED_SQL = f"""WITH contacts AS ({CONTACTS_SQL}),
+n AS (SELECT *, regexp_matches(last_name, ' Jr$') AS has_jr, regexp_replace(last_name, ' Jr$', '') AS ln0,
+    regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS dg FROM contacts),
+keyed AS (SELECT record_id, source_id, trust_rank, truth, observed_at, consent,
+  lower(email) AS email,
+  CASE WHEN phone IS NULL THEN NULL WHEN phone LIKE '+%' THEN '+' || dg ELSE '+1' || dg END AS phone,
+  CASE WHEN first_name = upper(first_name) THEN upper(first_name[1]) || lower(first_name[2:]) ELSE first_name END AS first_name,
+  CASE WHEN ln0 = upper(ln0) THEN upper(ln0[1]) || lower(ln0[2:]) ELSE ln0 END AS last_name,
+  CASE WHEN has_jr THEN 'jr' END AS suffix, dob, street, zip AS postal,
+  CASE WHEN email IS NULL THEN NULL
+    WHEN split_part(lower(email), '@', 2) IN ('gmail.com', 'googlemail.com') THEN replace(split_part(split_part(lower(email), '@', 1), '+', 1), '.', '') || '@gmail.com'
+    ELSE split_part(split_part(lower(email), '@', 1), '+', 1) || '@' || split_part(lower(email), '@', 2) END AS ek,
+  CASE lower(first_name) WHEN 'jim' THEN 'james' WHEN 'bob' THEN 'robert' WHEN 'liz' THEN 'elizabeth' ELSE lower(first_name) END AS fn,
+  lower(first_name) AS fn_raw, lower(ln0) AS ln, replace(lower(street), ' street', ' st') AS addr FROM n)"""
+_BLOCKS_SQL = """, blocks AS (
+  SELECT DISTINCT record_id, unnest(list_filter([
+    'e:' || ek, 'p:' || phone, 'lp:' || ln || '|' || postal, 'ld:' || ln || '|' || dob, 'fd:' || fn || '|' || dob,
+    'fp:' || fn || '|' || postal, 'fa:' || fn || '|' || addr], lambda x: x IS NOT NULL)) AS block FROM keyed),
+sizes AS (SELECT block, count(*) AS size FROM blocks GROUP BY 1)"""
+_PAIRS_SQL = """, pairs AS (
+  SELECT DISTINCT x.record_id AS a, y.record_id AS b FROM blocks x JOIN blocks y ON x.block = y.block AND x.record_id < y.record_id
+  JOIN sizes s ON s.block = x.block WHERE s.size <= 200)"""
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return M.match_keys(contacts(spark, d))
+
+
+def _kept_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The same, computed once: what follows reads it many times."""
+    return cut(_keyed(spark, d))
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the true person as their cluster, so that later stages are tested by themselves."""
+    return _keyed(spark, d).withColumn("cluster", F.col("truth"))
+
+
+_text = lambda c: F.array_join(c, ",")
+
+
+@_query("norm_email", f"{_KEYED_SQL} SELECT record_id, email, ek AS email_key FROM keyed")
+def _(s, d):
+    e = N.email(F.col("email"))
+    return contacts(s, d).select("record_id", e.alias("email"), N.email_key(e).alias("email_key"))
+
+
+@_query("norm_phone", f"{_KEYED_SQL} SELECT record_id, phone FROM keyed")
+def _(s, d):
+    return contacts(s, d).select("record_id", N.phone(F.col("phone")).alias("phone"))
+
+
+@_query("norm_names", f"{_KEYED_SQL} SELECT record_id, first_name, last_name, suffix, fn, ln FROM keyed")
+def _(s, d):
+    return _keyed(s, d).select("record_id", "first_name", "last_name", "suffix", "fn", "ln")
+
+
+@_query("norm_postal_address", f"{_KEYED_SQL} SELECT record_id, postal, addr FROM keyed")
+def _(s, d):
+    return contacts(s, d).select("record_id", N.postal(F.col("zip")).alias("postal"), N.address_key(F.col("street")).alias("addr"))
+
+
+@_query(
+    "norm_dates",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS us, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at FROM orders""",
+)
+def _(s, d):
+    ship(s)
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return o.select(
+        "o_orderkey", N.date(F.date_format("o_orderdate", "M/d/yyyy")).alias("us"), N.date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso"),
+        N.timestamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at"),
+    )
+
+
+@_query("match_keys", f"{_KEYED_SQL} SELECT record_id, coalesce(ek, '') AS email_keys, coalesce(phone, '') AS phones, fn, fn_raw, ln, suffix, dob, postal, addr FROM keyed")
+def _(s, d):
+    return _keyed(s, d).select("record_id", _text("email_keys").alias("email_keys"), _text("phones").alias("phones"), "fn", "fn_raw", "ln", "suffix", "dob", "postal", "addr")
+
+
+@_query("has_identity", f"{_KEYED_SQL} SELECT source_id, count(*) AS records, count(*) FILTER (WHERE ek IS NOT NULL OR phone IS NOT NULL OR (ln IS NOT NULL AND fn IS NOT NULL AND (postal IS NOT NULL OR dob IS NOT NULL OR addr IS NOT NULL))) AS with_identity FROM keyed GROUP BY 1")
+def _(s, d):
+    named = F.col("ln").isNotNull() & F.col("fn").isNotNull() & F.coalesce("postal", "dob", "addr").isNotNull()
+    return _keyed(s, d).groupBy("source_id").agg(F.count("*").alias("records"), F.count_if((F.size("email_keys") > 0) | (F.size("phones") > 0) | named).alias("with_identity"))
+
+
+@_query("block_stats", f"{_KEYED_SQL}{_BLOCKS_SQL} SELECT split_part(block, ':', 1) AS family, count(*) AS blocks, CAST(max(size) AS BIGINT) AS largest FROM sizes GROUP BY 1")
+def _(s, d):
+    sizes = M.block_sizes(M.blocks(_keyed(s, d)))
+    return sizes.groupBy(F.split_part("block", F.lit(":"), F.lit(1)).alias("family")).agg(F.count("*").alias("blocks"), F.max("size").alias("largest"))
+
+
+@_query("oversized_blocks", f"{_KEYED_SQL}{_BLOCKS_SQL} SELECT block, size FROM sizes WHERE size > 20")
+def _(s, d):
+    return M.block_sizes(M.blocks(_keyed(s, d))).where("size > 20")
+
+
+@_query("candidate_pairs", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b FROM pairs")
+def _(s, d):
+    return M.candidate_pairs(M.blocks(_keyed(s, d)))
+
+
+@_query(
+    "ambiguous_ids",
+    f"""{_KEYED_SQL}, ids AS (SELECT *, unnest(list_filter(['e:' || ek, 'p:' || phone, 'na:' || fn || '|' || ln || '|' || addr, 'np:' || fn || '|' || ln || '|' || postal], lambda x: x IS NOT NULL)) AS ident FROM keyed)
+SELECT ident FROM ids GROUP BY 1 HAVING count(DISTINCT dob) > 1 OR count(DISTINCT suffix) > 1
+UNION SELECT ident FROM ids WHERE ident LIKE 'n%' GROUP BY 1 HAVING count(suffix) > 0 AND count(suffix) < count(*)""",
+)
+def _(s, d):
+    rules = "several birth dates or suffixes", "suffix sometimes"
+    return M.ambiguous_identifiers(_kept_keys(s, d)).where(F.col("rule").isin(*rules)).select("ident").distinct()
+
+
+@_query("ambiguous_ids_all")
+def _(s, d):
+    return M.ambiguous_identifiers(_kept_keys(s, d))
+
+
+@_query("rare_names", f"{_KEYED_SQL} SELECT fn, ln FROM keyed WHERE fn IS NOT NULL AND ln IS NOT NULL AND postal IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT postal) = 1")
+def _(s, d):
+    return M.rare_names(_keyed(s, d))
+
+
+def _compared(s, d):
+    keyed = _kept_keys(s, d)
+    return M.compare(M.candidate_pairs(M.blocks(keyed)), M.with_context(keyed))
+
+
+@_query(
+    "pair_compare",
+    f"""{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b,
+  CASE WHEN x.dob IS NULL OR y.dob IS NULL THEN 'missing' WHEN x.dob = y.dob THEN 'agree' ELSE 'conflict' END AS birth_date,
+  CASE WHEN x.suffix IS NOT NULL AND y.suffix IS NOT NULL THEN 'agree' WHEN coalesce(x.suffix, y.suffix) IS NOT NULL THEN 'partial' ELSE 'missing' END AS name_suffix,
+  x.fn = y.fn AS same_first, x.ln = y.ln AS same_last
+FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b""",
+)
+def _(s, d):
+    return _compared(s, d).select("a", "b", "birth_date", "name_suffix", (F.col("first_name") == "agree").alias("same_first"), (F.col("last_name") == "agree").alias("same_last"))
+
+
+@_query("pair_score_band")
+def _(s, d):
+    return M.score_and_band(_compared(s, d)).drop("a_truth", "b_truth")
+
+
+@_query("adjudicated_pairs")
+def _(s, d):
+    return M.adjudicate(M.score_and_band(_compared(s, d))).where("band = 'gray'").select("a", "b", "score", "decision", "confidence", "evidence", "verdict")
+
+
+@_query("clusters_constrained")
+def _(s, d):
+    known = cut(M.with_context(_kept_keys(s, d)))
+    pairs = M.candidate_pairs(M.blocks(known))
+    return C.cluster(known, cut(M.decide(M.score_and_band(M.compare(pairs, known))).where("final = 'match'")))
+
+
+@_query(
+    "components_unconstrained",
+    f"""{_KEYED_SQL}, e AS (SELECT ek, min(record_id) AS m FROM keyed WHERE ek IS NOT NULL GROUP BY 1)
+SELECT record_id AS node, m AS component FROM keyed JOIN e USING (ek) WHERE ek IN (SELECT ek FROM keyed GROUP BY 1 HAVING count(*) > 1)""",
+)
+def _(s, d):
+    rows = _keyed(s, d).select("record_id", F.explode("email_keys").alias("k"))
+    star = rows.join(rows.groupBy("k").agg(F.min("record_id").alias("b")), "k").where("record_id <> b")
+    return C.components(star.select(F.col("record_id").alias("a"), "b"))
+
+
+_TRUST_SQL = "ORDER BY trust_rank DESC, observed_at DESC NULLS LAST, record_id"
+_RECENT_SQL = "ORDER BY observed_at DESC NULLS LAST, trust_rank DESC, record_id"
+
+
+@_query("golden_names", f"{_KEYED_SQL} SELECT truth AS cluster, first_name AS value, record_id AS record, source_id AS source FROM keyed WHERE first_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_TRUST_SQL}) = 1")
+def _(s, d):
+    return G.best_value(_members(s, d), "first_name")
+
+
+@_query("golden_dob", f"{_KEYED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY truth {_TRUST_SQL}) AS p FROM keyed WHERE dob IS NOT NULL) SELECT truth AS cluster, dob, count(*) AS votes FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY truth ORDER BY count(*) DESC, min(p)) = 1")
+def _(s, d):
+    return G.golden_dob(_members(s, d))
+
+
+@_query("golden_contacts", f"{_KEYED_SQL} SELECT truth AS cluster, email AS primary_email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+def _(s, d):
+    return G.golden_contacts(_members(s, d)).where("primary_email is not null").select("cluster", "primary_email")
+
+
+@_query("golden_address", f"{_KEYED_SQL} SELECT truth AS cluster, street, postal, record_id AS record FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+def _(s, d):
+    return G.golden_address(_members(s, d))
+
+
+_CONSENT_SQL = f"{_KEYED_SQL}, c AS (SELECT truth AS cluster, consent AS granted, observed_at, source_id AS source FROM keyed WHERE consent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth ORDER BY observed_at DESC, consent, source_id, record_id) = 1)"
+
+
+def _consent(s, d):
+    return G.resolve_consent(_members(s, d).where("consent is not null").withColumn("granted", F.col("consent")))
+
+
+@_query("consent_resolved", f"{_CONSENT_SQL} SELECT cluster, granted, observed_at, source FROM c")
+def _(s, d):
+    return _consent(s, d)
+
+
+@_query("consent_channel", f"{_KEYED_SQL} SELECT DISTINCT x.truth AS cluster, y.observed_at, y.record_id, y.source_id FROM keyed x JOIN keyed y ON x.ek = y.ek AND x.truth <> y.truth AND y.consent = false")
+def _(s, d):
+    return G.channel_denials(_members(s, d))
+
+
+@_query("consent_contact_hold", f"{_KEYED_SQL} SELECT x.truth AS cluster, x.record_id AS grant_record, y.record_id AS deny_record FROM keyed x JOIN keyed y ON x.truth = y.truth AND x.consent AND NOT y.consent AND (x.ek <> y.ek OR x.phone <> y.phone)")
+def _(s, d):
+    return G.contact_hold(_members(s, d))
+
+
+@_query("consent_name_hold", f"{_CONSENT_SQL} SELECT c.cluster, max(y.observed_at) AS observed_at FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted JOIN keyed y ON y.fn = x.fn AND y.ln = x.ln AND y.truth <> x.truth AND y.consent = false AND y.observed_at >= c.observed_at GROUP BY 1")
+def _(s, d):
+    m = _members(s, d)
+    return G.same_name_hold(m.withColumn("granted", F.col("consent")))
+
+
+@_query("export_consented", f"{_CONSENT_SQL}, p AS (SELECT truth AS cluster, email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1) SELECT cluster, email FROM c JOIN p USING (cluster) WHERE granted ORDER BY cluster LIMIT 100")
+def _(s, d):
+    first = G.golden_contacts(_members(s, d)).where("primary_email is not null").select("cluster", F.col("primary_email").alias("email"))
+    return _consent(s, d).where("granted").select("cluster").join(first, "cluster").orderBy("cluster").limit(100)
+
+
+@_query("upsert_diff", f"{_KEYED_SQL} SELECT record_id AS key, CASE WHEN truth % 5 = 0 THEN 'new' WHEN truth % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM keyed WHERE truth % 2 = 0")
+def _(s, d):
+    rows = _keyed(s, d).withColumn("digest", F.sha2(F.concat_ws("|", "fn", "ln", "postal"), 256))
+    state = rows.where("truth % 5 <> 0").select(F.col("record_id").alias("key"), F.when(F.col("truth") % 3 == 0, F.lit("other")).otherwise(F.col("digest")).alias("digest"))
+    return S.upsert_diff(state, rows.where("truth % 2 = 0").select(F.col("record_id").alias("key"), F.lit(1).alias("seq"), "digest"))
+
+
+@_query(
+    "consent_change_capture",
+    """SELECT user_id AS subject, granted, event_id AS seq FROM (
+  SELECT user_id, event_id, event_type = 'signup' AS granted, lag(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events WHERE event_type IN ('signup', 'error'))
+WHERE was IS NULL OR was <> granted""",
+)
+def _(s, d):
+    ship(s)
+    e = s.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("signup", "error"))
+    # the order of arrival is the order of time here
+    e = e.select(F.col("user_id").alias("subject"), F.lit("email_marketing").alias("purpose"), F.col("event_id").alias("seq"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("at"), (F.col("event_type") == "signup").alias("granted"))
+    return S.consent_changes(e).select("subject", "granted", "seq")
+
+
+@_query("suppression_antijoin", f"{_KEYED_SQL}, gone AS (SELECT DISTINCT ek FROM keyed WHERE truth % 7 = 0 AND ek IS NOT NULL) SELECT record_id FROM keyed WHERE ek IS NULL OR ek NOT IN (SELECT ek FROM gone)")
+def _(s, d):
+    keyed, key = _keyed(s, d), b"suppression key"
+    gone = keyed.where("truth % 7 = 0").select(F.explode("email_keys").alias("k")).select(N.keyed_hash(F.col("k"), "email", key).alias("hash")).distinct()
+    return S.suppress(keyed, gone, key).select("record_id")
+
+
+@_query("flatten_event_props", "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def _(s, d):
+    ship(s)
+    return S.flatten(s.read.parquet(f"{d}/events.parquet"), "event_id", "props")
+
+
+def _flat_contacts(s, d):
+    c = contacts(s, d)
+    return S.flatten(c.select("record_id", F.to_json(F.struct("email", "phone", F.struct("dob", "zip").alias("person"))).alias("payload")), "record_id", "payload")
+
+
+@_query("field_facts", f"WITH c AS ({CONTACTS_SQL}), f AS (SELECT unnest([{{'field': 'email', 'v': email}}, {{'field': 'phone', 'v': phone}}, {{'field': 'person.dob', 'v': dob}}, {{'field': 'person.zip', 'v': zip}}], recursive := true) FROM c) SELECT field, count(v) AS non_null FROM f GROUP BY 1")
+def _(s, d):
+    return S.field_facts(_flat_contacts(s, d)).select("field", "non_null")
+
+
+@_query("quarantine_gate")
+def _(s, d):
+    return S.quarantine(S.field_facts(_flat_contacts(s, d)), {"email": "email", "person.zip": "phone"})
+
+
+@_query("profile_diff", f"{_KEYED_SQL} SELECT truth AS profile, CASE WHEN truth % 4 = 0 THEN 'created' WHEN truth % 4 = 1 THEN 'retired' WHEN truth % 4 = 2 THEN 'updated' ELSE 'kept' END AS change FROM keyed GROUP BY truth")
+def _(s, d):
+    p = _members(s, d).groupBy(F.col("cluster").alias("profile")).agg(F.count("*").cast("string").alias("digest"))
+    before = p.where("profile % 4 <> 0").select("profile", F.when(F.col("profile") % 4 == 2, F.lit("x")).otherwise(F.col("digest")).alias("digest"))
+    return S.profile_diff(before, p.where("profile % 4 <> 1"))
+
+
+@_query("queue_consolidation", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = o_orderkey % 10 THEN 'moot' WHEN row_number() OVER (PARTITION BY least(o_custkey % 10, o_orderkey % 10), greatest(o_custkey % 10, o_orderkey % 10) ORDER BY o_totalprice DESC, o_orderkey) = 1 THEN 'queued' ELSE 'superseded' END AS outcome FROM orders")
+def _(s, d):
+    ship(s)
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return S.consolidate_queue(o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("cluster_a"), (F.col("o_orderkey") % 10).alias("cluster_b"), F.col("o_totalprice").alias("score")))
+
+
+@_query("breakers", f"{_KEYED_SQL}, z AS (SELECT count(*) AS n FROM keyed GROUP BY truth) SELECT count(*) AS clusters, max(n) AS largest, max(n) > 25 OR count(*) < 80 AS halt FROM z")
+def _(s, d):
+    return S.breakers(_members(s, d), previous_profiles=100)
+
+
+@_query("ledger_verify", "SELECT user_id AS chain, count(*) AS events, CAST(NULL AS BIGINT) AS first_bad FROM events GROUP BY 1")
+def _(s, d):
+    ship(s)
+    e = s.read.parquet(f"{d}/events.parquet")
+    seq = M.rank_within("event_id", over=["user_id"]).cast("bigint")
+    return S.ledger_verify(S.ledger_links(e.select(F.col("user_id").alias("chain"), seq.alias("seq"), F.col("event_type").alias("body"))))
+
+
+@_query("stats_counts", f"{_KEYED_SQL} SELECT source_id, count(*) AS records, count(DISTINCT truth) AS profiles, max(observed_at) AS latest FROM keyed GROUP BY 1")
+def _(s, d):
+    return _keyed(s, d).groupBy("source_id").agg(F.count("*").alias("records"), F.countDistinct("truth").alias("profiles"), F.max("observed_at").alias("latest"))
+
+
+@_query("profile_search", f"{_KEYED_SQL} SELECT truth AS cluster, count(*) AS members FROM keyed WHERE contains(lower(email), 'smith') GROUP BY 1 ORDER BY members DESC, cluster LIMIT 50")
+def _(s, d):
+    hit = _keyed(s, d).where(F.contains(F.lower("email"), F.lit("smith")))
+    return hit.groupBy(F.col("truth").alias("cluster")).agg(F.count("*").alias("members")).orderBy(F.desc("members"), "cluster").limit(50)
+
+
+@_query("pairwise_metrics", f"{_KEYED_SQL}, t AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY truth)), f AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln)), h AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln, truth)) SELECT round(h.p / f.p, 6) AS precision_, round(h.p / t.p, 6) AS recall_ FROM t, f, h")
+def _(s, d):
+    return S.pairwise_metrics(_keyed(s, d).select(F.concat_ws("|", "fn", "ln").alias("cluster"), "truth"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top).as_posix())
     sc.addPyFile(path)
     sc._kinmerge_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder, its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinmerge-"))
+    return df.checkpoint()
