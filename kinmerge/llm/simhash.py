@@ -115,14 +115,15 @@ def _grouped(marked: DataFrame, most: int) -> DataFrame:
     # an id under several fingerprints links them: each such row gives an edge to the id's least fingerprint
     several = marked.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top and doc_id is not null")
     shared = marked.join(several, "doc_id").where("fp > b").select(F.col("fp").alias("a"), "b")
-    found = connected_components(links(distinct, most).unionByName(shared), "a", "b")
+    # saved tables on both sides of a join let Spark split a hot fingerprint or component
+    found = save(connected_components(links(distinct, most).unionByName(shared), "a", "b"), "components")
     return marked.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "h", "fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     grouped = _grouped(save(fingerprints(docs), "fingerprints"), most)
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = save(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return grouped.join(least, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
