@@ -28,7 +28,7 @@ from .common import id_remainder, table
 from .text import as_bytes, slices, spans, word_hashes
 
 #: Texts at most that the classifier is fitted on, of those labelled toxic and of all.
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
+MOST_POSITIVE, MOST_UNLABELLED = 2000, 4000
 THRESHOLD = 0.3
 #: Standard errors by which a word's share of positives must differ from its share of unlabelled texts.
 EVIDENCE = 6.0
@@ -83,10 +83,10 @@ def _featured(docs: DataFrame) -> DataFrame:
                 own = offsets[lo : hi + 1]
                 hashes, row = _row_words(data[own[0] : own[-1]], own - own[0])
                 cuts = np.searchsorted(row, np.arange(1, hi - lo))
-                lists += [np.unique(x).view(np.int64) for x in np.split(hashes, cuts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["positive", "words"])
+                lists += [np.unique(x).tobytes() for x in np.split(hashes, cuts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], names=["positive", "words"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, words array<bigint>")
+    return docs.select("positive", "text").mapInArrow(run, "positive boolean, words binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive=MOST_POSITIVE, most_unlabelled=MOST_UNLABELLED) -> Model:
@@ -105,15 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive=MOST_POSITIVE, most_un
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     # broadcast is bounded by the two limits
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _featured(texts).toPandas()
-    groups = {}
-    for flag in (True, False):
-        seen = {}
-        for x in rows.loc[rows["positive"] == flag, "words"]:
-            x = np.asarray(x, np.int64).view(np.uint64)
-            seen.setdefault((len(x), int(np.bitwise_xor.reduce(x)) if len(x) else 0), x)  # copies count once
-        groups[flag] = [seen[k] for k in sorted(seen)]
-    return _train(groups[True], groups[False], prior) if groups[True] and groups[False] else none
+    groups = {True: {}, False: {}}
+    for row in _featured(texts).toLocalIterator():
+        seen, x = groups[row["positive"]], np.frombuffer(row["words"], np.uint64)
+        seen.setdefault((len(x), int(np.bitwise_xor.reduce(x)) if len(x) else 0), x)  # copies count once
+    positive, unlabelled = ([seen[k] for k in sorted(seen)] for seen in (groups[True], groups[False]))
+    return _train(positive, unlabelled, prior) if positive and unlabelled else none
 
 
 def _train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
