@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 #: Entries a worker's caches of words and of pieces hold before they start anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 END = "</w>"
 _SPACE = r"\t-\r \x85\xa0  -     　"  # Unicode's White_Space
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -129,8 +129,8 @@ def lookahead(merges: Iterable) -> int:
 class Transducer:
     """Encodes streams of text; state is bounded by the lookahead, caches by ``CACHE_ENTRIES``."""
 
-    def __init__(self, merges: Merges, window: int | None = None):
-        self.merges = merges
+    def __init__(self, merges: Merges, window: int | None = None, entries: int = CACHE_ENTRIES):
+        self.merges, self._entries = merges, entries
         #: symbols read before stable tokens leave
         self.window = window or max(4096, 4 * merges.lookahead)
         self._words: dict[bytes, bytes] = {}
@@ -162,7 +162,7 @@ class Transducer:
     def _of_piece(self, piece: str) -> bytes:
         packed = self._packed_piece(piece)
         if len(piece) <= 256:
-            if len(self._pieces) >= CACHE_ENTRIES:
+            if len(self._pieces) >= self._entries:
                 self._pieces.clear()
             self._pieces[piece] = packed
         return packed
@@ -177,7 +177,7 @@ class Transducer:
                 out += [self._pieces.get(p) or self._of_piece(p) for p in pieces(part)]
         packed = b"".join(out)
         if len(word) <= 256:
-            if len(self._words) >= CACHE_ENTRIES:
+            if len(self._words) >= self._entries:
                 self._words.clear()
             self._words[word] = packed
         return packed
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = coder(path)
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):  # ids outgrow texts
             packed = [encoder.encode(t) if t is not None else b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))

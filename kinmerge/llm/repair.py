@@ -207,7 +207,7 @@ class LibraryEncoder(Transducer):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(Merges(path))
+        super().__init__(Merges(path), entries=600_000)
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()

@@ -28,10 +28,10 @@ from .common import id_remainder, table
 from .text import as_bytes, slices, spans, word_hashes
 
 #: Texts at most that the classifier is fitted on, of those labelled toxic and of all.
-MOST_POSITIVE, MOST_UNLABELLED = 2000, 4000
+MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 THRESHOLD = 0.3
 #: Standard errors by which a word's share of positives must differ from its share of unlabelled texts.
-EVIDENCE = 6.0
+EVIDENCE = 5.0
 STEPS = 300
 
 
