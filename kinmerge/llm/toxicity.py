@@ -8,7 +8,8 @@ that estimate falls below zero, over-fitting is undone by a step the other way.
 The samples it is fitted on are bounded by documented parameters; every text
 is scored whole.
 
-Labels are learnt from rows only whose crc32(doc_id as text) mod 4 is not 2.
+The prior is the toxic share among labelled rows, which are taken as drawn at
+random. Labels are learnt from rows only whose crc32(doc_id as text) mod 4 is not 2.
 Null, empty and wordless texts get the score of no evidence; a null doc_id is
 neither held out nor learnt from; without labelled toxic rows every score is
 the prior, 0 for no labels at all. Columns other than those named are left alone.
