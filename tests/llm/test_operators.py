@@ -142,7 +142,7 @@ def test_secrets(docs):
 
 
 def test_toxicity(spark, empty):
-    rows = [(i, some_text(20) + (" Vile, scum" if i % 8 == 0 else "")) for i in range(800)] + [(None, "scum"), (900, None), (901, "")]
+    rows = [(i, some_text(20) + (" Vile, scum" if i % 8 == 0 else "")) for i in range(800)] + [(None, "Vile scum"), (900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 800, 3)], "doc_id bigint, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
