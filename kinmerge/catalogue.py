@@ -11,9 +11,11 @@ from .fixture import CONTACTS_SQL, contacts
 from .functions import normalize as N
 from .operators import cluster as C
 from .operators import golden as G
+from .operators import mapping as MAP
 from .operators import matching as M
 from .operators import state as S
 from .session import cut, ship
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,3 +347,209 @@ def _(s, d):
 @_query("pairwise_metrics", f"{_KEYED_SQL}, t AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY truth)), f AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln)), h AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln, truth)) SELECT round(h.p / f.p, 6) AS precision_, round(h.p / t.p, 6) AS recall_ FROM t, f, h")
 def _(s, d):
     return S.pairwise_metrics(_keyed(s, d).select(F.concat_ws("|", "fn", "ln").alias("cluster"), "truth"))
+
+
+def _payloads(s, d):
+    """Contacts as JSON objects of a source, with a nested part."""
+    c = contacts(s, d)
+    body = F.struct("email", "phone", "first_name", "last_name", "street", "consent", "observed_at", F.struct("dob", "zip").alias("person"))
+    return c.select("record_id", F.to_json(body).alias("payload"))
+
+
+def _flat(s, d):
+    return S.flatten(_payloads(s, d), "record_id", "payload")
+
+
+def _mapping(s, d):
+    return MAP.propose(MAP.collected(MAP.facts(_flat(s, d))))
+
+
+@_query("source_incremental", "SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01 00:00:00'")
+def _(s, d):
+    ship(s)
+    return files.rows(s.read.parquet(f"{d}/orders.parquet"), "o_orderkey", "o_orderdate", "1995-01-01 00:00:00").select("key")
+
+
+@_query("source_cursor", "SELECT max(user_id) AS cursor FROM events")
+def _(s, d):
+    ship(s)
+    return files.next_cursor(files.rows(s.read.parquet(f"{d}/events.parquet"), "event_id").withColumn("updated", F.get_json_object("payload", "$.user_id").cast("bigint")))
+
+
+@_query("source_identify", "SELECT CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS VARCHAR) AS user_key, coalesce(CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS VARCHAR), 'anon' || event_id) AS key FROM events WHERE event_type = 'signup'")
+def _(s, d):
+    ship(s)
+    user = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "signup", "identify").otherwise("track")
+    e = s.read.parquet(f"{d}/events.parquet").select(F.to_json(F.struct(kind.alias("type"), user.alias("userId"), F.concat(F.lit("anon"), "event_id").alias("anonymousId"))).alias("payload"))
+    return files.identified(e).select(F.get_json_object("payload", "$.userId").alias("user_key"), "key")
+
+
+@_query("mapping_facts", f"WITH c AS ({CONTACTS_SQL}), f AS (SELECT unnest([{{'field': 'email', 'v': email}}, {{'field': 'phone', 'v': phone}}, {{'field': 'person.dob', 'v': dob}}, {{'field': 'person.zip', 'v': zip}}], recursive := true) FROM c) SELECT field, count(v) AS non_null, CASE WHEN field = 'email' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS email_valid, CASE WHEN field = 'person.zip' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS us_postal FROM f GROUP BY 1")
+def _(s, d):
+    named = F.col("field").isin("email", "phone", "person.dob", "person.zip")
+    # a phone or date of at most ten characters is a possible foreign postal code, so only the zip column is looked at
+    zip_only = F.when(F.col("field") == "person.zip", F.col("valid")["postal_code"]).otherwise(0.0)
+    return MAP.facts(_flat(s, d)).where(named).select("field", "non_null", F.col("valid")["email"].alias("email_valid"), zip_only.alias("us_postal"))
+
+
+@_query(
+    "mapping_proposed",
+    """SELECT * FROM (VALUES ('consent', 'attribute', 0.8::DOUBLE), ('email', 'email', 0.95), ('first_name', 'first_name', 0.95), ('last_name', 'last_name', 0.95), ('observed_at', 'attribute', 0.8),
+  ('person.dob', 'birth_date', 0.95), ('person.zip', 'postal_code', 0.95), ('phone', 'phone', 0.95), ('street', 'address_line1', 0.95)) AS t(field, target, confidence)""",
+)
+def _(s, d):
+    return s.createDataFrame([(f, u.target, float(u.confidence)) for f, u in _mapping(s, d).items()], "field string, target string, confidence double")
+
+
+@_query("mapping_gates", "SELECT * FROM (VALUES ('M1.vocabulary', true, true), ('M2.single_valued_targets', true, true), ('M3.value_validation', true, true), ('M4.identity_coverage', true, true), ('M5.confidence', true, false), ('M6.baseline_consensus', true, false)) AS t(gate, passed, hard)")
+def _(s, d):
+    known = MAP.collected(MAP.facts(_flat(s, d)))
+    return s.createDataFrame(MAP.gates(MAP.propose(known), known, MAP.propose(known)), "gate string, passed boolean, hard boolean")
+
+
+@_query("mapping_drift", "SELECT * FROM (VALUES ('consent', 'new'), ('fax', 'gone'), ('phone', 'filled')) AS t(field, change)")
+def _(s, d):
+    return MAP.drift(_flat(s, d), ["email", "fax", "first_name", "last_name", "street", "observed_at", "person.dob", "person.zip"], ["phone"])
+
+
+@_query("canonical_records", f"{_KEYED_SQL} SELECT record_id, coalesce(email, '') AS emails, coalesce(phone, '') AS phones, first_name, last_name, suffix AS name_suffix, dob AS birth_date, street AS address_line1, postal AS postal_code FROM keyed")
+def _(s, d):
+    flat = _flat(s, d).where("value is not null").groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    out = MAP.canonicalize(flat, _mapping(s, d))
+    return out.select("record_id", _text("emails").alias("emails"), _text("phones").alias("phones"), "first_name", "last_name", "name_suffix", "birth_date", "address_line1", "postal_code")
+
+
+@_query("ingest_stats", f"{_KEYED_SQL} SELECT count(*) AS seen, count(*) FILTER (WHERE truth % 7 <> 0 AND truth % 3 = 0) AS new, count(*) FILTER (WHERE truth % 7 <> 0 AND truth % 3 = 1) AS changed, count(*) FILTER (WHERE truth % 7 <> 0 AND truth % 3 = 2) AS unchanged, count(*) FILTER (WHERE truth % 7 = 0) AS suppressed, count(*) FILTER (WHERE truth % 7 <> 0 AND email IS NULL AND phone IS NULL) AS no_identity FROM keyed")
+def _(s, d):
+    change = F.element_at(F.array(F.lit("new"), F.lit("changed"), F.lit("unchanged")), (F.col("truth") % 3 + 1).cast("int"))
+    return S.ingest_stats(_keyed(s, d).select(change.alias("change"), (F.col("truth") % 7 == 0).alias("suppressed"), F.coalesce("email", "phone").isNotNull().alias("identity")))
+
+
+@_query("consent_current", "SELECT user_id AS record_id, event_type = 'signup' AS granted, ts AS at FROM events WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'signup') = 1")
+def _(s, d):
+    ship(s)
+    e = s.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("signup", "error"))
+    e = e.select(F.col("user_id").alias("record_id"), F.lit("email_marketing").alias("purpose"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("granted"))
+    return G.current_events(e).select("record_id", "granted", "at")
+
+
+@_query("consent_neighbours", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL}, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) SELECT DISTINCT x.truth AS cluster, y.record_id FROM w JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b WHERE y.consent = false AND x.truth <> y.truth AND NOT (x.truth % 2 = 0 AND y.truth % 2 = 0)")
+def _(s, d):
+    m = cut(_members(s, d))
+    pairs = M.candidate_pairs(M.blocks(m))
+    even = m.where("truth % 2 = 0").select("record_id")
+    cannot = pairs.join(even.withColumnRenamed("record_id", "a"), "a", "left_semi").join(even.withColumnRenamed("record_id", "b"), "b", "left_semi")
+    return G.neighbour_denials(m, pairs, cannot)
+
+
+@_query("consent_identity_hold", f"{_CONSENT_SQL} SELECT DISTINCT c.cluster FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted JOIN keyed y ON y.fn = x.fn AND y.postal = x.postal AND y.truth <> x.truth AND y.consent = false AND (y.addr = x.addr OR y.ln = x.ln)")
+def _(s, d):
+    return G.identity_hold(_members(s, d).withColumn("granted", F.col("consent")))
+
+
+@_query("golden_attributes", f"{_KEYED_SQL} SELECT truth AS cluster, 'street' AS key, street AS value FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1 UNION ALL SELECT truth, 'mail', email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+def _(s, d):
+    return G.golden_attributes(_members(s, d).withColumn("attributes", F.create_map(F.lit("street"), "street", F.lit("mail"), "email")))
+
+
+@_query("golden_lineage", f"{_KEYED_SQL} SELECT truth AS cluster, 'first_name' AS field, record_id AS record, source_id AS source, 'trust' AS rule FROM keyed WHERE first_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_TRUST_SQL}) = 1 UNION ALL SELECT truth, 'email', record_id, source_id, 'recency' FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+def _(s, d):
+    return G.lineage(_members(s, d), {"first_name": "trust", "email": "recency"})
+
+
+@_query("state_digest")
+def _(s, d):
+    return G.state_digest(_members(s, d))
+
+
+@_query("profile_ids", f"{_KEYED_SQL} SELECT DISTINCT truth AS cluster, CASE WHEN truth % 2 = 0 THEN 'p' || truth ELSE 'p_' || substr(sha256(truth || '|0'), 1, 20) END AS profile FROM keyed")
+def _(s, d):
+    m = _members(s, d).select("cluster", "record_id")
+    before = m.where("cluster % 2 = 0").select("record_id", F.concat(F.lit("p"), F.col("cluster").cast("string")).alias("profile"))
+    return S.assign_ids(cut(m.withColumn("cluster", F.col("cluster").cast("string"))), cut(before)).withColumn("cluster", F.col("cluster").cast("bigint"))
+
+
+@_query("alias_follow", "WITH RECURSIVE a AS (SELECT CAST(c_custkey AS VARCHAR) AS old, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey // 2 AS VARCHAR) END AS new FROM customer WHERE c_custkey > 1), w AS (SELECT old, new AS profile FROM a UNION ALL SELECT w.old, a.new FROM w JOIN a ON a.old = w.profile) SELECT old, profile FROM w WHERE profile NOT IN (SELECT old FROM a)")
+def _(s, d):
+    ship(s)
+    c = s.read.parquet(f"{d}/customer.parquet").where("c_custkey > 1")
+    return S.follow_aliases(c.select(F.col("c_custkey").cast("string").alias("old"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise((F.col("c_custkey") / 2).cast("bigint").cast("string")).alias("new")))
+
+
+@_query("review_conflicts", "SELECT least(o_custkey, o_orderkey % 500) AS a, greatest(o_custkey, o_orderkey % 500) AS b, min(o_orderstatus) AS reason FROM orders GROUP BY 1, 2 HAVING (a + b) % 3 <> 0")
+def _(s, d):
+    ship(s)
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 500).alias("b"), F.col("o_orderstatus").alias("reason"))
+    return S.new_conflicts(o, o.where("(a + b) % 3 = 0"))
+
+
+@_query("constraints_merged", "SELECT least(o_custkey, o_orderkey % 500) AS a, greatest(o_custkey, o_orderkey % 500) AS b, arg_max(CASE WHEN o_orderkey % 2 = 0 THEN 'must_link' ELSE 'cannot_link' END, o_orderkey) AS kind FROM orders GROUP BY 1, 2")
+def _(s, d):
+    ship(s)
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "must_link").otherwise("cannot_link")
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 500).alias("b"), kind.alias("kind"), F.col("o_orderkey").alias("seq"))
+    return S.add_constraints(o.drop("seq").where("a % 2 = 0").dropDuplicates(["a", "b"]), o)
+
+
+@_query("split_profile", f"{_KEYED_SQL} SELECT least(x.record_id, y.record_id) AS a, greatest(x.record_id, y.record_id) AS b, 'cannot_link' AS kind FROM keyed x JOIN keyed y ON x.truth = y.truth AND x.source_id = 'web' AND y.source_id <> 'web'")
+def _(s, d):
+    m = _members(s, d)
+    return S.split_profile(m, m.where("source_id = 'web'"))
+
+
+_ERASED_SQL = f"{_KEYED_SQL}, gone AS (SELECT * FROM keyed WHERE truth IN (SELECT truth FROM keyed WHERE phone IN (SELECT phone FROM keyed WHERE truth % 11 = 0)))"
+
+
+def _erased(m):
+    phones = m.where("truth % 11 = 0").select(F.lit("phone").alias("kind"), F.explode("phones").alias("value")).distinct()
+    return S.erased_records(m, phones)
+
+
+@_query("erasure_records", f"{_ERASED_SQL} SELECT truth AS cluster, record_id FROM gone")
+def _(s, d):
+    return _erased(_members(s, d))
+
+
+@_query("erasure_suppressions", f"{_ERASED_SQL}, others AS (SELECT * FROM keyed WHERE record_id NOT IN (SELECT record_id FROM gone)) SELECT DISTINCT 'email' AS kind, ek AS value FROM gone WHERE ek IS NOT NULL AND ek NOT IN (SELECT ek FROM others WHERE ek IS NOT NULL) UNION ALL SELECT DISTINCT 'phone', phone FROM gone WHERE ek IS NULL AND phone IS NOT NULL AND phone NOT IN (SELECT phone FROM others WHERE phone IS NOT NULL)")
+def _(s, d):
+    m = _kept_keys(s, d).withColumn("cluster", F.col("truth"))
+    return S.new_suppressions(m, _erased(m))
+
+
+@_query("review_queue", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b, x.first_name AS a_name, y.first_name AS b_name FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b ORDER BY a, b LIMIT 500")
+def _(s, d):
+    k = _kept_keys(s, d)
+    names = lambda side: k.select(F.col("record_id").alias(side), F.col("first_name").alias(f"{side}_name"))
+    page = M.candidate_pairs(M.blocks(k)).orderBy("a", "b").limit(500)
+    return page.join(names("a"), "a", "left").join(names("b"), "b", "left").select("a", "b", "a_name", "b_name")
+
+
+@_query("profile_members", f"{_KEYED_SQL} SELECT truth AS cluster, record_id, source_id, email FROM keyed WHERE truth = 9")
+def _(s, d):
+    return _members(s, d).where("cluster = 9").select("cluster", "record_id", "source_id", "email")
+
+
+@_query("ledger_tail", "SELECT event_id, event_type FROM events WHERE event_id > 100 AND event_type = 'signup' ORDER BY event_id LIMIT 1000")
+def _(s, d):
+    ship(s)
+    return s.read.parquet(f"{d}/events.parquet").where("event_id > 100 and event_type = 'signup'").orderBy("event_id").limit(1000).select("event_id", "event_type")
+
+
+@_query("impure_clusters", f"{_KEYED_SQL} SELECT fn || '|' || ln AS cluster, count(DISTINCT truth) AS people, count(DISTINCT dob) > 1 OR count(DISTINCT suffix) > 1 AS distinguishable FROM keyed GROUP BY 1 HAVING count(DISTINCT truth) > 1")
+def _(s, d):
+    return S.impure_clusters(_keyed(s, d).withColumn("cluster", F.concat_ws("|", "fn", "ln")))
+
+
+@_query("consent_violations", f"{_CONSENT_SQL}, g AS (SELECT DISTINCT c.cluster, x.truth + x.truth % 2 AS person FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted) SELECT count(DISTINCT g.cluster) AS granted, count(DISTINCT g.cluster) FILTER (WHERE NOT coalesce(t.granted, false)) AS violations FROM g LEFT JOIN c t ON t.cluster = g.person")
+def _(s, d):
+    own = _consent(s, d)
+    g = own.where("granted").select("cluster", (F.col("cluster") + F.col("cluster") % 2).alias("person"))
+    return S.consent_violations(g, own.select(F.col("cluster").alias("person"), "granted"))
+
+
+@_query("id_stability", f"{_KEYED_SQL}, v AS (SELECT truth AS was, CASE WHEN truth % 3 = 0 AND source_id <> 'crm' THEN truth + 1 ELSE truth END AS now, count(*) AS n FROM keyed GROUP BY 1, 2), t AS (SELECT was, now FROM v QUALIFY row_number() OVER (PARTITION BY was ORDER BY n DESC, now) = 1) SELECT count(*) AS profiles, count(*) FILTER (WHERE was = now) AS stable FROM t")
+def _(s, d):
+    m = _keyed(s, d)
+    now = F.when((F.col("truth") % 3 == 0) & (F.col("source_id") != "crm"), F.col("truth") + 1).otherwise(F.col("truth"))
+    return S.id_stability(m.select("record_id", F.col("truth").alias("profile")), m.select("record_id", now.alias("profile")))

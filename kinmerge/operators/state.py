@@ -44,9 +44,9 @@ def flatten(json_rows: DataFrame, key: str, payload: str, depth: int = 4) -> Dat
     kind = "map<string,string>"
     rows = json_rows.select(key, F.explode(F.from_json(payload, kind)).alias("field", "value"))
     for _ in range(depth):
-        nested = F.when(F.col("value").startswith("{"), F.from_json("value", kind))
-        inner = rows.withColumn("inner", nested).where("inner is not null").select(key, "field", F.explode("inner").alias("part", "value"))
-        rows = rows.where(nested.isNull()).unionByName(inner.select(key, F.concat_ws(".", "field", "part").alias("field"), "value"))
+        inner = F.map_entries(F.when(F.col("value").startswith("{"), F.from_json("value", kind)))
+        parts = F.transform(inner, lambda e: F.struct(F.concat_ws(".", "field", e["key"]).alias("field"), e["value"].alias("value")))
+        rows = rows.select(key, F.explode(F.coalesce(parts, F.array(F.struct("field", "value")))).alias("x")).select(key, "x.*")
     return rows
 
 
@@ -131,3 +131,91 @@ def pairwise_metrics(members: DataFrame) -> DataFrame:
     both, found, true = pairs("cluster", "truth"), pairs("cluster"), pairs("truth")
     one = both.select(F.col("p").alias("hit")).join(found.select(F.col("p").alias("found")), F.lit(True)).join(true.select(F.col("p").alias("real")), F.lit(True))
     return one.select(F.round(F.col("hit") / F.col("found"), 6).alias("precision_"), F.round(F.col("hit") / F.col("real"), 6).alias("recall_"))
+
+
+def ingest_stats(rows: DataFrame) -> DataFrame:
+    """One row of counts over (change, suppressed, identity) of a batch."""
+    kept = ~F.col("suppressed")
+    return rows.agg(
+        F.count("*").alias("seen"), *(F.count_if(kept & (F.col("change") == c)).alias(c) for c in ("new", "changed", "unchanged")),
+        F.count_if("suppressed").alias("suppressed"), F.count_if(kept & ~F.col("identity")).alias("no_identity"),
+    )
+
+
+def follow_aliases(aliases: DataFrame) -> DataFrame:
+    """(old, profile): where each alias (old, new) ends; '' if the profile is gone, null if the chain runs in a circle.
+
+    Each round doubles the distance followed; after as many rounds as the number
+    of aliases has bits, what still leads on is a circle.
+    """
+    from ..session import cut
+
+    at = cut(aliases.select("old", F.col("new").alias("profile")))
+    for _ in range(max(1, at.count().bit_length() + 1)):
+        step = at.select(F.col("old").alias("profile"), F.col("profile").alias("next"))
+        # a step leads on where the place reached is an alias itself
+        if not at.join(step, "profile", "left_semi").limit(1).count():
+            return at
+        at = cut(at.join(step, "profile", "left").select("old", F.coalesce("next", "profile").alias("profile")))
+    on = at.select(F.col("old").alias("profile")).distinct().withColumn("circles", F.lit(True))
+    return at.join(on, "profile", "left").select("old", F.when(F.col("circles").isNull(), F.col("profile")).alias("profile"))
+
+
+def new_conflicts(refused: DataFrame, queued: DataFrame) -> DataFrame:
+    """(a, b, reason) of refused unions, one for each sorted pair, whose pair was never queued."""
+    pair = refused.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "reason").groupBy("a", "b").agg(F.min("reason").alias("reason"))
+    return pair.join(queued.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def add_constraints(held: DataFrame, new: DataFrame) -> DataFrame:
+    """(a, b, kind) after new ones (with seq): pairs sorted, once each; the last kind said of a pair stands."""
+    pair = lambda df, seq: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", seq.alias("seq"))
+    both = pair(held, F.lit(-1).cast("bigint")).unionByName(pair(new, F.col("seq").cast("bigint")))
+    return both.groupBy("a", "b").agg(F.max_by("kind", "seq").alias("kind"))
+
+
+def split_profile(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(a, b, kind): cannot-links between the chosen records of each profile and the rest of it."""
+    marked = members.select("cluster", "record_id").join(chosen.select("record_id").distinct().withColumn("out", F.lit(True)), "record_id", "left")
+    out, rest = marked.where("out").select("cluster", F.col("record_id").alias("x")), marked.where("out is null").select("cluster", F.col("record_id").alias("y"))
+    return out.join(rest, "cluster").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("cannot_link").alias("kind"))
+
+
+def erased_records(members: DataFrame, targets: DataFrame) -> DataFrame:
+    """(cluster, record_id) of all records of the profiles that hold a target identifier (kind, value)."""
+    ids = members.select("cluster", F.explode(_held_identifiers()).alias("i")).select("cluster", "i.*")
+    hit = ids.join(targets.select("kind", "value"), ["kind", "value"], "left_semi").select("cluster").distinct()
+    return members.join(hit, "cluster", "left_semi").select("cluster", "record_id")
+
+
+def _held_identifiers(phones: str = "phones"):
+    tag = lambda c, kind: F.transform(c, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return F.concat(tag("email_keys", "email"), tag(phones, "phone"))
+
+
+def new_suppressions(members: DataFrame, erased: DataFrame) -> DataFrame:
+    """(kind, value) to suppress after an erasure: phones only of records without an e-mail, and nothing that others hold too."""
+    ids = members.select("record_id", F.explode(_held_identifiers()).alias("i"), F.size("email_keys").alias("n")).select("record_id", "i.*", "n")
+    gone = ids.join(erased.select("record_id"), "record_id", "left_semi").where("kind = 'email' or n = 0").select("kind", "value").distinct()
+    return gone.join(ids.join(erased.select("record_id"), "record_id", "left_anti"), ["kind", "value"], "left_anti")
+
+
+def id_stability(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: profiles before, and those of which most members (of ties the smaller id) still have the same profile."""
+    both = before.select("record_id", F.col("profile").alias("was")).join(after.select("record_id", F.col("profile").alias("now")), "record_id")
+    votes = both.groupBy("was", "now").agg(F.count("*").alias("n"))
+    top = votes.groupBy("was").agg(F.min_by("now", F.struct(-F.col("n"), F.col("now"))).alias("now"))
+    return top.agg(F.count("*").alias("profiles"), F.count_if(F.col("was") == F.col("now")).alias("stable"))
+
+
+def impure_clusters(members: DataFrame) -> DataFrame:
+    """(cluster, people, distinguishable): clusters of several people, and whether birth dates or suffixes would have told."""
+    told = (F.countDistinct("dob") > 1) | (F.countDistinct("suffix") > 1)
+    return members.groupBy("cluster").agg(F.countDistinct("truth").alias("people"), told.alias("distinguishable")).where("people > 1")
+
+
+def consent_violations(granted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: clusters counted as granted (cluster, person), and how many of their people's own latest word (person, granted) is a denial."""
+    both = granted.select("cluster", "person").join(truth.select("person", F.col("granted").alias("own")), "person", "left")
+    each = both.groupBy("cluster").agg(F.bool_or(~F.coalesce("own", F.lit(False))).alias("wrong"))
+    return each.agg(F.count("*").alias("granted"), F.count_if("wrong").alias("violations"))
