@@ -61,7 +61,7 @@ def _facts(n=100, **valid):
 def test_mapping_rules_and_gates():
     known = {
         "E-Mail Addr": _facts(email=1.0), "Tel": _facts(phone=1.0), "second_dob": _facts(birth_date=1.0), "DOB": _facts(birth_date=1.0), "id": _facts(),
-        "state": _facts(region=1.0), "empty": _facts(0), "Title": _facts(), "blob": _facts(email=0.96), "odd": _facts(phone=0.99, birth_date=0.1), "zip": _facts(postal_code=0.2),
+        "state": _facts(region=1.0), "empty": _facts(0), "Title": _facts(job_title=1.0), "blob": _facts(email=0.96), "odd": _facts(phone=0.99, birth_date=0.1), "zip": _facts(postal_code=0.2),
     }
     got = {f: (u.target, u.confidence) for f, u in MAP.propose(known).items()}
     assert got == {
