@@ -114,13 +114,16 @@ def _into(shape: str, digits: str) -> str:
 
 
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_FIRST = "".join(sorted({t[0] for t in (*_TITLES_MALE, *_TITLES_FEMALE, *_TITLES_ANY)}))
 _PATTERN = re.compile(
-    r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
+    # an address is tried at the start of its local part only, which has 64 characters at most, and what cannot start the other kinds is passed over at once: long words cost no more than others
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
+    rf"|(?=[\d(+{_FIRST}])(?:"
+    r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<account>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d){8,12}(?!\w))"
-    rf"|(?P<name>\b(?P<title>{'|'.join((*_TITLES_MALE, *_TITLES_FEMALE, *_TITLES_ANY))})\b\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?)",
+    rf"|(?P<name>\b(?P<title>{'|'.join((*_TITLES_MALE, *_TITLES_FEMALE, *_TITLES_ANY))})\b\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?))",
 )
 _HINT = re.compile(r"[@\d]|\b(?:" + "|".join((*_TITLES_MALE, *_TITLES_FEMALE, *_TITLES_ANY)) + r")\b")
 KINDS = ("email", "ip", "ssn", "account", "phone", "name")
