@@ -14,6 +14,7 @@ from .operators import golden as G
 from .operators import mapping as MAP
 from .operators import matching as M
 from .operators import state as S
+from .plans import decisions as D
 from .session import cut, ship
 from .sources import files
 
@@ -553,3 +554,87 @@ def _(s, d):
     m = _keyed(s, d)
     now = F.when((F.col("truth") % 3 == 0) & (F.col("source_id") != "crm"), F.col("truth") + 1).otherwise(F.col("truth"))
     return S.id_stability(m.select("record_id", F.col("truth").alias("profile")), m.select("record_id", now.alias("profile")))
+
+
+_POLICY = D.policy_digest()
+
+
+def _evidenced(s, d):
+    known = cut(M.with_context(_kept_keys(s, d)))
+    scored = M.score_and_band(M.compare(M.candidate_pairs(M.blocks(known)), known))
+    return known, cut(D.with_evidence(scored, known, _POLICY))
+
+
+def _nobody(s):
+    return s.createDataFrame([], "a string, b string, digest string, decision string, score double, band string")
+
+
+@_query("decision_cache", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b, 'kept' AS decided_by FROM pairs")
+def _(s, d):
+    _, scored = _evidenced(s, d)
+    none = s.createDataFrame([], "a string, b string")
+    first = cut(D.decide(scored, _nobody(s), none))
+    return D.decide(scored, first, none).select("a", "b", "decided_by")
+
+
+@_query("proposer_fallback")
+def _(s, d):
+    """A proposer that always cites what is untrue is refused everywhere; the rules decide as if it had not been asked."""
+    _, scored = _evidenced(s, d)
+    lie = '{"decision": "match", "confidence": 0.99, "evidence": [{"field": "email", "status": "agree"}, {"field": "phone", "status": "agree"}]}'
+    none = s.createDataFrame([], "a string, b string")
+    return D.decide(scored, _nobody(s), none, lambda task: lie).select("a", "b", "decision", "decided_by")
+
+
+@_query("replay", "SELECT true AS ok, CAST(0 AS BIGINT) AS missing, true AS same_state, true AS chain_ok")
+def _(s, d):
+    _, scored = _evidenced(s, d)
+    kept = D.decide(scored, _nobody(s), s.createDataFrame([], "a string, b string"))
+    events = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("chain"), M.rank_within("event_id", over=["user_id"]).cast("bigint").alias("seq"), F.col("event_type").alias("body"))
+    state = G.state_digest(_members(s, d))
+    return D.replay_report(D.replayed(scored, kept), state, cut(state), S.ledger_verify(S.ledger_links(events)))
+
+
+def _reviewed(s, d):
+    ship(s)
+    o = s.read.parquet(f"{d}/orders.parquet")
+    kind = F.when(F.col("o_orderstatus") == "F", "match_adjudication").otherwise("schema_mapping")
+    subject = F.when(F.col("o_orderstatus") == "F", F.concat_ws("|", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 500).cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    queued = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), subject.alias("subject"))
+    return queued, S.review(queued, o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 == 0).alias("approved"), F.lit(1).cast("bigint").alias("seq")))
+
+
+@_query("review_links", "SELECT least(CAST(o_custkey AS VARCHAR), CAST(o_orderkey % 500 AS VARCHAR)) AS a, greatest(CAST(o_custkey AS VARCHAR), CAST(o_orderkey % 500 AS VARCHAR)) AS b, CASE WHEN o_orderkey % 2 = 0 THEN 'must_link' ELSE 'cannot_link' END AS kind FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0")
+def _(s, d):
+    return _reviewed(s, d)[1][1].select("a", "b", "kind")
+
+
+@_query("review_outcomes", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS outcome FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0")
+def _(s, d):
+    return _reviewed(s, d)[1][0]
+
+
+@_query("sources_overview", """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS source, o_orderkey AS version FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0)
+SELECT CAST(c_custkey AS VARCHAR) AS source, max(version) AS mapping_version FROM customer LEFT JOIN r ON source = CAST(c_custkey AS VARCHAR) GROUP BY 1""")
+def _(s, d):
+    queued, (_, _, settled) = _reviewed(s, d)
+    versions = queued.where("kind = 'schema_mapping'").select(F.col("subject").alias("source"), F.col("id").alias("version"), F.lit("proposed").alias("status"), F.col("id").alias("proposal"))
+    return S.sources_overview(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("source")), S.activate_mappings(versions, settled))
+
+
+@_query("mapping_accuracy", "SELECT 'contacts' AS source, CAST(0.8889 AS DOUBLE) AS accuracy")
+def _(s, d):
+    got = s.createDataFrame([("contacts", f, u.target) for f, u in _mapping(s, d).items()], "source string, field string, target string")
+    want = {"consent": None, "email": "email", "first_name": "first_name", "last_name": "last_name", "observed_at": "updated_at", "person.dob": "birth_date", "person.zip": "postal_code", "phone": "phone", "street": "address_line1"}
+    return S.mapping_accuracy(got, s.createDataFrame([("contacts", f, t) for f, t in want.items()], "source string, field string, target string"))
+
+
+@_query("residual_identifiers", f"{_KEYED_SQL} SELECT DISTINCT 'contacts' AS \"table\", email AS word FROM keyed WHERE truth % 11 = 0 AND email IS NOT NULL")
+def _(s, d):
+    m = _keyed(s, d)
+    return S.residual_identifiers({"contacts": m.select("record_id", "email", "first_name")}, m.where("truth % 11 = 0").select(F.col("email").alias("word")).where("word is not null"))
+
+
+@_query("proposal_by_id", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'match_adjudication' ELSE 'schema_mapping' END AS kind FROM orders WHERE o_orderkey = 7")
+def _(s, d):
+    return _reviewed(s, d)[0].where("id = 7").select("id", "kind")

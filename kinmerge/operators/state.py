@@ -219,3 +219,63 @@ def consent_violations(granted: DataFrame, truth: DataFrame) -> DataFrame:
     both = granted.select("cluster", "person").join(truth.select("person", F.col("granted").alias("own")), "person", "left")
     each = both.groupBy("cluster").agg(F.bool_or(~F.coalesce("own", F.lit(False))).alias("wrong"))
     return each.agg(F.count("*").alias("granted"), F.count_if("wrong").alias("violations"))
+
+
+def review(queued: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What stewards' verdicts (id, approved, seq) on queued proposals (id, kind, subject) come to.
+
+    Three tables: (id, outcome); new constraints (a, b, kind, seq) from pairs written
+    ``a|b``; and (id, source, status) of mappings. A verdict on what is not queued
+    has no effect, and the first of several counts, as the proposal is settled then.
+    """
+    first = verdicts.groupBy("id").agg(F.min_by(F.struct("approved", "seq"), "seq").alias("v"))
+    done = queued.join(first, "id").select("id", "kind", "subject", "v.approved", "v.seq")
+    outcome = done.select("id", F.when(F.col("approved"), "approved").otherwise("rejected").alias("outcome"))
+    x, y = F.split_part("subject", F.lit("|"), F.lit(1)), F.split_part("subject", F.lit("|"), F.lit(2))
+    pairs = done.where(F.col("kind").isin("match_adjudication", "cluster_conflict"))
+    links = pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col("approved"), "must_link").otherwise("cannot_link").alias("kind"), "seq")
+    mappings = done.where("kind = 'schema_mapping'").select("id", F.col("subject").alias("source"), F.when(F.col("approved"), "active").otherwise("rejected").alias("status"))
+    return outcome, links, mappings
+
+
+def activate_mappings(versions: DataFrame, settled: DataFrame) -> DataFrame:
+    """(source, version, status, proposal) after ``review``'s mappings: of each source the newest approved version is active, the one active before is superseded."""
+    said = versions.join(settled.select(F.col("id").alias("proposal"), F.col("status").alias("said")), "proposal", "left")
+    now = said.withColumn("status", F.coalesce("said", "status"))
+    newest = now.groupBy("source").agg(F.max(F.when(F.col("status") == "active", F.col("version"))).alias("active"))
+    status = F.when((F.col("status") == "active") & (F.col("version") < F.col("active")), "superseded").otherwise(F.col("status"))
+    return now.join(newest, "source").select("source", "version", status.alias("status"), "proposal")
+
+
+def sources_overview(sources: DataFrame, versions: DataFrame) -> DataFrame:
+    """sources (source, ...) with the version of their active mapping, null without one."""
+    active = versions.where("status = 'active'").select("source", F.col("version").alias("mapping_version"))
+    return sources.join(active, "source", "left")
+
+
+def mapping_accuracy(mapped: DataFrame, expected: DataFrame) -> DataFrame:
+    """(source, accuracy): share of expected (source, field, target) that mapped (source, field, target) has.
+
+    A field expected to have no target may be used for anything that does not identify a person.
+    """
+    identity = ("birth_date", "email", "phone", "first_name", "last_name", "full_name")
+    both = expected.join(mapped.select("source", "field", F.col("target").alias("got")), ["source", "field"], "left")
+    free = F.col("target").isNull()
+    right = F.when(free, ~F.coalesce(F.col("got").isin(*identity), F.lit(False))).otherwise(F.coalesce(F.col("got") == F.col("target"), F.lit(False)))
+    return both.groupBy("source").agg(F.round(F.avg(right.cast("double")), 4).alias("accuracy"))
+
+
+def residual_identifiers(tables: dict[str, DataFrame], words: DataFrame) -> DataFrame:
+    """(table, word): erased values (column word) that any text of a table still holds as a whole token, case aside.
+
+    Rows are cut into tokens, each with the punctuation at its ends taken off, and
+    meet the words by equality, so the search is a join and not a product.
+    """
+    wanted = words.select(F.lower("word").alias("word")).distinct()
+    out = None
+    for name, df in sorted(tables.items()):
+        tokens = F.split(F.lower(F.to_json(F.struct("*"))), r'[\s",:{}\[\]|;()<>]+')
+        held = df.select(F.explode(tokens).alias("token")).select(F.regexp_replace("token", r"^[.!?']+|[.!?']+$", "").alias("word"))
+        hit = held.join(wanted, "word", "left_semi").distinct().select(F.lit(name).alias("table"), "word")
+        out = hit if out is None else out.unionByName(hit)
+    return out
