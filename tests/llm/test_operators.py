@@ -185,6 +185,23 @@ def test_embedding_dedup(vectors):
     assert got[305]["component_id"] <= 3 and got[306]["kept"] and not got[None]["kept"]
 
 
+def test_embedding_passes(spark, vectors):
+    rows, df = vectors
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    assert embedding_dedup.passes_for(0, 0.98, 16) == 1 and 10 <= embedding_dedup.passes_for(5000, 0.98, 16) < embedding_dedup.passes_for(10**9, 0.98, 16) < 64
+    # pairs that nothing else links, just over the least cosine, among many others: none is lost
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((2000, 24))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.981 * x + np.sqrt(1 - 0.981**2) * y
+    both = spark.createDataFrame([(i, v.tolist(), 1, "extra") for i, v in enumerate(np.concatenate([x, z]))], "vec_id bigint, embedding array<double>, label int, rep string")
+    got = embedding_dedup.near_duplicates(both).where("n_links > 0").count()
+    assert got >= 3996
+
+
 def test_top_k(vectors, monkeypatch):
     monkeypatch.setattr(topk, "RANGE_ROWS", 50)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
