@@ -202,6 +202,35 @@ def test_embedding_passes(spark, vectors):
     assert got >= 3996
 
 
+@pytest.mark.parametrize("exact_rows", [0, 1 << 14])
+def test_embedding_dense(spark, monkeypatch, exact_rows):
+    monkeypatch.setattr(embedding_dedup, "EXACT_ROWS", exact_rows, raising=False)
+    rng = np.random.default_rng(12)
+
+    def around(n, dims, cosine):  # vectors about one of theirs whose cosines lie about so high
+        x = rng.standard_normal(dims) + rng.standard_normal((n, dims)) * np.sqrt(1 / cosine - 1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    cone, copies, free = around(1500, 16, 0.93), around(400, 32, 0.977), rng.standard_normal((3000, 32))  # one narrow label; a hot group among others
+    groups = {1: cone, 2: np.concatenate([copies, free / np.linalg.norm(free, axis=1, keepdims=True)])}
+    rows, want, at = [], {}, 0
+    for label, x in groups.items():
+        close = x @ x.T >= 0.98
+        np.fill_diagonal(close, False)
+        least = np.arange(len(x))
+        while True:
+            new = np.minimum(least, np.where(close, least[None, :], len(x)).min(axis=1))
+            if (new == least).all():
+                break
+            least = new
+        want |= {at + i: (int(close[i].sum()), at + int(least[i])) for i in range(len(x))}
+        rows += [(at + i, v.tolist(), label) for i, v in enumerate(x)]
+        at += len(x)
+    assert sum(n for n, _ in want.values()) > 2000
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
 def test_top_k(vectors, monkeypatch):
     monkeypatch.setattr(topk, "RANGE_ROWS", 50)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
