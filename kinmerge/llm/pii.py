@@ -32,6 +32,9 @@ from .common import table
 #: Key where the caller gives none: good for tests; a real run states its own.
 KEY = b"kinmerge surrogate key"
 
+#: Characters that are encrypted as one number at most.
+PART_PLACES = 256
+
 MALE = ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Pierre", "Louis", "Hans", "Carlos", "Pablo", "Jürgen", "José", "Иван", "Пётр", "Сергей", "Николай", "Алексей", "Γιώργος", "Νίκος", "Κώστας", "Δημήτρης")
 FEMALE = ("Mary", "Linda", "Susan", "Karen", "Nancy", "Sarah", "Emma", "Anna", "Marie", "Claire", "Greta", "Lucía", "Carmen", "Elena", "Sofía", "Мария", "Анна", "Елена", "Ольга", "Татьяна", "Μαρία", "Ελένη", "Κατερίνα", "Σοφία")
 _TITLES_MALE, _TITLES_FEMALE, _TITLES_ANY = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "госпожа", "Κυρία"), ("Dr", "Prof")
@@ -83,20 +86,27 @@ class Cipher:
                 return x
 
     def string(self, text: str, tweak: bytes) -> str:
-        """Each character becomes one of its class; others stay. One to one on strings of one format."""
-        value, size, places = 0, 1, []
-        for c in text:
-            if c in _PLACE:
-                k, i = _PLACE[c]
-                value, size = value * len(_CLASSES[k]) + i, size * len(_CLASSES[k])
-                places.append(k)
+        """Each character becomes one of its class; others stay. One to one on strings of one format.
+
+        Long strings go in parts, each under a tweak that holds the surrogates of those before it.
+        """
+        places = [_PLACE[c] for c in text if c in _PLACE]
         shape = hashlib.sha256("".join(str(_PLACE[c][0]) + "," if c in _PLACE else c for c in text).encode()).digest()
-        value = self.number(value, size, tweak + shape)
-        new = []
-        for k in reversed(places):
-            value, i = divmod(value, len(_CLASSES[k]))
-            new.append(_CLASSES[k][i])
-        return "".join(new.pop() if c in _PLACE else c for c in text)
+        new, before = [], b""
+        for at in range(0, len(places), PART_PLACES):
+            part = places[at : at + PART_PLACES]
+            value, size = 0, 1
+            for k, i in part:
+                value, size = value * len(_CLASSES[k]) + i, size * len(_CLASSES[k])
+            value = self.number(value, size, tweak + shape + before)
+            own = []
+            for k, _ in reversed(part):
+                value, i = divmod(value, len(_CLASSES[k]))
+                own.append(_CLASSES[k][i])
+            new += reversed(own)
+            before = hashlib.sha256(before + "".join(own).encode()).digest()
+        it = iter(new)
+        return "".join(next(it) if c in _PLACE else c for c in text)
 
 
 def luhn(digits: str) -> int:
@@ -116,8 +126,8 @@ def _into(shape: str, digits: str) -> str:
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _FIRST = "".join(sorted({t[0] for t in (*_TITLES_MALE, *_TITLES_FEMALE, *_TITLES_ANY)}))
 _PATTERN = re.compile(
-    # an address is tried at the start of its local part only, which has 64 characters at most, and what cannot start the other kinds is passed over at once: long words cost no more than others
-    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
+    # an address is tried at the start of its local part only and never given back, and what cannot start the other kinds is passed over at once: long words cost no more than others
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     rf"|(?=[\d(+{_FIRST}])(?:"
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"

@@ -255,3 +255,19 @@ def test_pii(spark):
     df = spark.createDataFrame([(i, f"call 509-555-{i:04d} now") for i in range(50)] + [(99, None), (98, "")], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in pii.surrogates(df, b"key").collect()}
     assert len({got[i]["text"] for i in range(50)}) == 50 and got[99]["text"] is None and got[98]["n_entities"] == 0
+
+
+def test_pii_long_addresses(spark):
+    s = pii.Surrogates(b"key")
+    for before in ("_" * 70, "." * 80, "text" * 40, "x" * 20_000, "9z" * 1000):
+        text = f"see {before}ann@mail.example.com now"
+        new, found = s.apply(text)
+        assert [(f[0], f[1], f[2]) for f in found] == [("email", 4, len(text) - 4)]
+        assert len(new) == len(text) and new.endswith(".com now") and "ann@mail.example" not in new
+    # parts of long strings are one to one too, wherever two strings differ
+    many = {"ab3" * 300} | {("ab3" * 300)[:i] + "z" + ("ab3" * 300)[i + 1 :] for i in range(0, 900, 3)}
+    assert len({s._cipher.string(x, b"local") for x in many}) == len(many)
+    assert s.apply("w" * 2_000_000 + " ") == ("w" * 2_000_000 + " ", [])
+    assert s.apply("w" * 500_000 + " 1")[1] == []
+    got = pii.surrogates(spark.createDataFrame([(1, "_" * 70 + "ann@mail.example.com"), (2, "Mr. " + "xu" * 9000 + ", a@" + "b" * 9000 + ".com")], "doc_id bigint, text string"), b"key").collect()
+    assert {r["doc_id"]: r["kinds"] for r in got} == {1: "email", 2: "name,email"}
