@@ -3,7 +3,7 @@
 Documents are dealt out by ranges of doc_id, encoded and packed into shards of
 about ``SHARD_TOKENS`` ids, whole documents always. In each shard the most
 frequent pairs of neighbouring symbols are replaced by new symbols, round after
-round, each new symbol keeping its two parts and the length of what it stands
+round until no pair is frequent or the symbols run out, each new symbol keeping its two parts and the length of what it stands
 for. A file is a row (part, shard, n_docs, n_tokens, blob) of a Parquet table
 written by Spark's own committer, so a lost executor leaves no half file; rows
 by (part, shard) run in ascending doc_id order.
@@ -31,7 +31,6 @@ from .common import save, table, width
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 RULES_A_ROUND = 4096
 LEAST_COUNT = 8
 _MAGIC = b"RPGR"
@@ -75,7 +74,7 @@ def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(known[rank] == codes, rank, np.int32(len(pairs))), pairs
 
 
-def grammar(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
+def grammar(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules, first): rules[k] holds the two parts of symbol first + k."""
     seq = ids.astype(np.uint32)
     first = int(seq.max(initial=0)) + 1
@@ -83,9 +82,7 @@ def grammar(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
     most = (1 << 16) - first if first < (1 << 16) else 1 << 20
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= most:
-            break
+    while len(seq) > 1 and made < most:
         codes = _pair_codes(seq)
         pairs = _frequent(codes)[: most - made]
         if not len(pairs):
@@ -104,8 +101,10 @@ def grammar(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
             break
         half = np.uint64(32) if codes.dtype == np.uint64 else np.uint32(16)
         low = codes.dtype.type((1 << int(half)) - 1)
+        used = np.bincount(rank[at], minlength=none) > 0  # pairs that others cover everywhere take no symbol
+        pairs = pairs[used]
         rules.append(np.stack([pairs >> half, pairs & low], 1).astype(np.uint32))
-        seq[at] = (first + made + rank[at]).astype(np.uint32)
+        seq[at] = (first + made + (np.cumsum(used) - 1)[rank[at]]).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]

@@ -101,6 +101,19 @@ def test_repair_files(docs, rows):
     assert len(shard.symbols) < len(ids) / 2 and (shard.ids() == ids).all() and (shard.document(2) == ids[500:]).all() and shard.doc_ids == [1, None, 3]
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 20_000, 1000)
+    copies = np.tile(passage, 64)
+    among = np.concatenate([np.append(rng.integers(0, 20_000, 500), passage[100:400]) for _ in range(40)])
+    for ids, most in ((copies, 64), (among, 20_000 + 40 * 20), (np.full(50_000, 7), 16)):
+        seq, rules, first = repair.grammar(ids)
+        assert len(seq) <= most and (repair.expand(seq, rules, first) == ids).all()
+        assert len(seq) < 2 or not len(repair._frequent(repair._pair_codes(seq)))
+        shard = repair.Shard(repair.pack([1, 2], np.array([300, len(ids) - 300]), ids))
+        assert (shard.document(0) == ids[:300]).all() and (shard.document(1) == ids[300:]).all()
+
+
 def test_simhash_links_and_components(spark, docs, rows, empty):
     from xxhash import xxh64_intdigest
 
