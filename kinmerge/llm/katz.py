@@ -151,11 +151,11 @@ def _bucketed(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[a]), a, z
 
 
-_SENT = "m int, bucket bigint, chunk bigint, keys binary, counts binary, held binary"
+_SENT = "m int, bucket bigint, chunk bigint, keys binary, counts binary"
 
 
 def _sent(chunks: DataFrame, order: int, bits: int) -> DataFrame:
-    """Each chunk's distinct n-grams with their counts in training texts and whether held-out texts have them."""
+    """Each chunk's distinct n-grams with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,21 +165,20 @@ def _sent(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                 out = []
                 for m in range(1, order + 1):
                     at = t.valid(m)
-                    # the lowest bit tells training from held-out occurrences, and sorting keeps them together
+                    # the lowest bit tells training from held-out occurrences, and sorting keeps them together; those of held-out texts ask for totals
                     marked = np.sort(t.keys[m - 1][at] | (~t.held[at]).astype(np.uint64))
                     first = np.flatnonzero(np.append(True, (marked[1:] & _EVEN) != (marked[:-1] & _EVEN))) if len(marked) else np.zeros(0, np.int64)
                     keys = marked[first] & _EVEN
                     learnt = np.add.reduceat(marked & _U(1), first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
-                    held = (marked[first] & _U(1)) == 0
-                    out += [(m, k, row["chunk"], _pack_keys(keys[a:z]), _planes(learnt[a:z]), np.packbits(held[a:z]).tobytes()) for k, a, z in (_bucketed(keys, bits) if len(keys) else ())]
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    out += [(m, k, row["chunk"], _pack_keys(keys[a:z]), _planes(learnt[a:z])) for k, a, z in (_bucketed(keys, bits) if len(keys) else ())]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _SENT.split(", ")])
 
     return chunks.mapInArrow(run, _SENT)
 
 
 _ADDED_UP = "kind string, m int, bucket bigint, chunk bigint, keys binary, counts binary, flags binary, r array<bigint>, n array<bigint>"
-OWNER, HELD_SOMEWHERE = 1, 2
+OWNER = 1
 
 
 def _added_up(key: tuple, rows: pa.Table) -> pa.Table:
@@ -189,11 +188,9 @@ def _added_up(key: tuple, rows: pa.Table) -> pa.Table:
     chunks = rows.column("chunk").to_pylist()
     keys = [_unpack_keys(x) for x in rows.column("keys").to_pylist()]
     counts = np.concatenate([_unplaned(x, np.uint32) for x in rows.column("counts").to_pylist()])
-    held = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(rows.column("held").to_pylist(), keys)])
     distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-    somewhere = np.bincount(place, held, len(distinct)) > 0
-    flags = np.where(somewhere, HELD_SOMEWHERE, 0).astype(np.uint8)[place]
+    flags = np.zeros(len(place), np.uint8)
     flags[first] |= OWNER
     sums = total.astype(np.uint64)[place]
     cuts = np.cumsum([0, *map(len, keys)])
@@ -288,7 +285,6 @@ def _score_chunk(row: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], o
             out.append(_table("wait", len(keys), chunk=np.full(len(keys), row["chunk"]), text=pairs[:, 0].astype(np.int32), m=np.full(len(keys), m, np.int32), context=keys, times=times))
         own = first_at[m - 1][((flags[m - 1] & OWNER) > 0)]
         own = own[(p[m - 1][own] > 0)]
-        own = own[(flags[m - 2][index[m - 2][own - 1]] & HELD_SOMEWHERE) > 0]  # only texts held out can meet what is unseen
         if len(own):
             contexts, place = np.unique(index[m - 2][own - 1], return_inverse=True)
             keys = t.keys[m - 2][first_at[m - 2][contexts]].view(np.int64)
@@ -312,7 +308,8 @@ class Katz:
     """A model learnt from the rows of docs that are not held out, and the scores of all rows.
 
     ``counts`` (m, bucket, keys, counts) and ``weights`` (m, context, alpha) are
-    its saved tables; weights are kept for contexts that a held-out text has.
+    its saved tables; weights has every context seen in training, so that any
+    text can be scored.
     """
 
     def __init__(self, docs: DataFrame, order: int = ORDER):

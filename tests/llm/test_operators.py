@@ -180,6 +180,16 @@ def test_katz(docs, rows, order, empty):
     assert katz.Katz(empty, order).scores.count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_weights_of_all_contexts(docs, rows, order):
+    brute = Brute([r[:2] for r in rows], order)
+    weights = katz.Katz(docs, order).weights.collect()
+    for m in range(2, order + 1):
+        got, want = sorted(r["alpha"] for r in weights if r["m"] == m), sorted(brute.alpha(h) for h in brute.after[m - 1])
+        assert len(got) == len(want) and np.allclose(got, want)
+    assert len({(r["m"], r["context"]) for r in weights}) == len(weights)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
