@@ -1,14 +1,18 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A text is cut at white space and then by the tokenizer's pattern; merges never
-cross those cuts. Within a piece, what follows can change a token only as far
-back as a chain of ever later merges reaches. ``lookahead`` computes the
-longest such chain of the merge list, so a token that ends that far before the
-end of what has been read is stable and leaves. Pieces of any length then take
-constant memory, and the result equals encoding the whole text at once.
+Texts arrive in chunks (``units``), which are cut into pieces that no merge
+crosses. Within a piece, what follows can change a token only as far back as a
+chain of ever later merges reaches. ``lookahead`` computes the longest such
+chain of the merge list, so a token that ends that far before the end of what
+has been read is stable and leaves; the end of a piece settles the rest. The
+pieces of a chunk go through side by side, each holding ``window`` symbols at
+most, so memory depends on neither texts nor words, and the result equals
+encoding the whole text at once. ``Decoder`` is the way back, a machine that
+takes ids some at a time and holds a character's bytes until they are complete.
 
 Nulls encode as empty texts; an empty text has no ids; equal rows give equal
-results; columns other than doc_id and text are left alone.
+results; texts are read whole at any length; an empty table gives an empty one;
+columns other than doc_id and text are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,33 +21,17 @@ import codecs
 import hashlib
 import json
 import re
-import unicodedata
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .units import HARD, UnitEncoder, tables
 
-#: Entries a worker's caches of words and of pieces hold before they start anew.
-CACHE_ENTRIES = 250_000
 END = "</w>"
-_SPACE = r"\t-\r \x85\xa0  -     　"  # Unicode's White_Space
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-
-
-def _ranges(kind: str, below: int) -> str:
-    return "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] == kind)
-
-
-_LETTERS, _NUMBERS = _ranges("L", 0x250), _ranges("N", 0x250)
-#: The same pattern where only characters below U+0250 occur: there it is a plain character class.
-_PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
-#: Characters for which composing and lower-casing may not be one to one.
-_HARD = re.compile("[^\x00-ɏ]|İ")
+_NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def byte_symbols() -> list[str]:
@@ -54,57 +42,99 @@ def byte_symbols() -> list[str]:
     return [s or chr(next(spare)) for s in out]
 
 
-_SYMBOL = byte_symbols()
-_SYMBOLS = {b: s for b, s in enumerate(_SYMBOL)}
-
-
-def pieces(word: str) -> list[str]:
-    """A word (no ASCII white space) normalised and cut as the tokenizer cuts it, in byte symbols."""
-    if word.isascii() and word.isprintable():
-        return _PLAIN_PIECES.findall(word.lower())
-    if not _HARD.search(word):
-        found = _PLAIN_PIECES.findall(word.lower())
-    else:
-        found = _PIECES.findall("".join(c.lower() for c in unicodedata.normalize("NFC", word)))
-    return [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in found]
+class PairTable:
+    """Places of pairs of numbers below 2**32 in a list, looked up many at once."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.none = len(left)
+        keys = self._key(left, right)
+        self._levels: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        todo = np.arange(len(keys), dtype=np.int32)
+        bits = max(4, len(keys).bit_length() + 2)
+        factor = 0x9E3779B97F4A7C15
+        while len(todo):  # what shares a slot with another goes to a further table
+            shift = np.uint64(64 - bits)
+            slot = (keys[todo] * np.uint64(factor)) >> shift
+            _, first = np.unique(slot, return_index=True)
+            held, place = np.full(1 << bits, _NO_PAIR), np.full(1 << bits, self.none, np.int32)
+            held[slot[first]], place[slot[first]] = keys[todo[first]], todo[first]
+            self._levels.append((np.uint64(factor), held, place))
+            todo = np.delete(todo, first)
+            factor = (factor * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF | 1
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair, ``none`` for others."""
+        key = self._key(left, right)
+        out = np.full(len(key), self.none, np.int32)
+        for factor, held, place in self._levels:
+            slot = (key * factor) >> np.uint64(64 - (len(held).bit_length() - 1))
+            hit = held[slot] == key
+            out[hit] = place[slot[hit]]
+        return out
 
 
 class Merges:
-    """A vocabulary and its merge list."""
+    """A vocabulary and its merge list, as arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.ids: dict[str, int] = dict(model["vocab"])
+        model, vocab = spec["model"], spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.rank = {tuple(m): r for r, m in enumerate(model["merges"])}
-        self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, i in (self.ids | self.special).items():
+        #: tokens by id, in byte symbols
+        self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for token, i in (vocab | self.special).items():
             self.tokens[i] = token
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lookahead = lookahead(model["merges"])
-
-    def tokenize(self, symbols: list[str]) -> list[str]:
-        """Merge neighbours, lowest rank first and leftmost among equals, until no rule applies."""
-        rank, none = self.rank.get, len(self.rank)
-        while len(symbols) > 1:
-            ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            a = symbols[ranks.index(best)]
-            b = symbols[ranks.index(best) + 1]
-            merged, i, last = [], 0, len(symbols) - 1
-            while i <= last:
-                if i < last and symbols[i] == a and symbols[i + 1] == b:
-                    merged.append(a + b)
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
-        return symbols
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        left, right = (np.array([vocab[p[k]] for p in pairs], np.uint32) for k in (0, 1))
+        self.rank = PairTable(left, right)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        symbols = byte_symbols()
+        #: ids of single bytes inside a piece, and at its end
+        self.byte, self.last_byte = (np.array([vocab[s + e] for s in symbols], np.uint32) for e in ("", END))
+        #: bytes that each token stands for
+        self.length = np.array([len(t.removesuffix(END)) for t in self.tokens], np.int64)
+        self.lookahead = lookahead(pairs)
+
+    def tokenize(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge neighbours inside each piece, lowest rank first and leftmost among equals, until no rule applies.
+
+        ``piece`` numbers the piece of each id, in ascending order; so does the result.
+        """
+        none = self.rank.none
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            rank = np.full(len(ids), none, np.int32)
+            inner = np.flatnonzero(piece[1:] == piece[:-1])
+            rank[inner] = self.rank(ids[inner], ids[inner + 1])
+            opens = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            best = np.minimum.reduceat(rank, opens)
+            size = np.diff(np.append(opens, len(ids)))
+            if (best == none).any():  # pieces that no rule applies to are done
+                out = np.repeat(best == none, size)
+                done.append((ids[out], piece[out]))
+                ids, piece, rank = ids[~out], piece[~out], rank[~out]
+                best, size = best[best != none], size[best != none]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            # in a run of one symbol every second pair: those at an even distance from the run's start
+            run = np.append(True, (at[1:] != at[:-1] + 1) | (rank[at[1:]] != rank[at[:-1]]) | (piece[at[1:]] != piece[at[:-1]]))
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
+            ids[at] = self.merged[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, piece = ids[stay], piece[stay]
+        if not done:
+            return ids, piece
+        ids, piece = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(piece, kind="stable")
+        return ids[order], piece[order]
 
 
 def lookahead(merges: Iterable) -> int:
@@ -117,7 +147,7 @@ def lookahead(merges: Iterable) -> int:
     rank, so going through them backwards gives each symbol's longest reach.
     """
     reach: dict[str, int] = {}
-    for left, right in reversed([tuple(m) for m in merges]):
+    for left, right in reversed(list(merges)):
         whole = left + right
         moved = len(left.removesuffix(END)) + max(reach.get(left, 0), reach.get(whole, 0))
         kept = reach.get(whole, 0)
@@ -127,116 +157,240 @@ def lookahead(merges: Iterable) -> int:
 
 
 class Transducer:
-    """Encodes streams of text; state is bounded by the lookahead, caches by ``CACHE_ENTRIES``."""
-
-    def __init__(self, merges: Merges, window: int | None = None, entries: int = CACHE_ENTRIES):
-        self.merges, self._entries = merges, entries
-        #: symbols read before stable tokens leave
-        self.window = window or max(4096, 4 * merges.lookahead)
-        self._words: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def piece(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Ids of one piece, read symbol by symbol; the last symbol carries the end of word."""
-        ids, held, margin = self.merges.ids, [], self.merges.lookahead
-        before = None
-        for s in symbols:
-            if before is not None:
-                held.append(before)
-            before = s
-            if len(held) >= self.window:
-                at = 0
-                for token in self.merges.tokenize(held):
-                    if len(held) - at - len(token) < margin:
-                        break
-                    yield ids[token]
-                    at += len(token)
-                held = held[at:]
-        if before is not None:
-            for token in self.merges.tokenize([*held, before + END]):
-                yield ids[token]
-
-    def _packed_piece(self, piece: str) -> bytes:
-        return array("I", self.piece(piece)).tobytes()
-
-    def _of_piece(self, piece: str) -> bytes:
-        packed = self._packed_piece(piece)
-        if len(piece) <= 256:
-            if len(self._pieces) >= self._entries:
-                self._pieces.clear()
-            self._pieces[piece] = packed
-        return packed
-
-    def _of_word(self, word: bytes) -> bytes:
-        text, special = word.decode(), self.merges.special
-        out = []
-        for part in self.merges.cut.split(text) if self.merges.cut and "<" in text else (text,):
-            if part in special:
-                out.append(np.array([special[part]], "<u4").tobytes())
-            else:
-                out += [self._pieces.get(p) or self._of_piece(p) for p in pieces(part)]
-        packed = b"".join(out)
-        if len(word) <= 256:
-            if len(self._words) >= self._entries:
-                self._words.clear()
-            self._words[word] = packed
-        return packed
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        known, other = self._words.get, self._of_word
-        return b"".join([x if (x := known(w)) is not None else other(w) for w in text.split()])
+    """Encodes streams of symbols; what it holds of a piece is bounded by the lookahead."""
+
+    def __init__(self, merges: Merges, window: int | None = None):
+        self.merges = merges
+        #: symbols of a piece read before its stable tokens leave
+        self.window = window or 2 * merges.lookahead + 64
+
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids side by side, number of ids of each) of pieces that go through side by side."""
+        m = self.merges
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        whole = size <= self.window
+        data = np.frombuffer(b"".join(texts if whole.all() else [t for t, w in zip(texts, whole) if w]), np.uint8)
+        ids = m.byte[data]
+        ends = np.cumsum(size[whole])[size[whole] > 0] - 1
+        ids[ends] = m.last_byte[data[ends]]
+        ids, piece = m.tokenize(ids, np.repeat(np.flatnonzero(whole), size[whole]))
+        counts = np.bincount(piece, minlength=len(texts))
+        if not whole.all():
+            out = np.split(ids, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(~whole):
+                out[i] = np.concatenate(list(self.piece([texts[i]])))
+            ids, counts = np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        return ids, counts
+
+    def piece(self, blocks: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of one piece that comes in blocks; the last byte carries the end of the piece."""
+        m = self.merges
+        held, last = np.zeros(0, np.uint32), None
+        for block in blocks:
+            for at in range(0, len(block), self.window):
+                data = np.frombuffer(block, np.uint8)[at : at + self.window]
+                if last is not None:
+                    held = np.append(held, m.byte[last])
+                held, last = np.append(held, m.byte[data[:-1]]), data[-1]
+                if len(held) >= self.window:
+                    tokens = m.tokenize(held.copy(), np.zeros(len(held), np.int32))[0]
+                    ends = np.cumsum(m.length[tokens])
+                    stable = int(np.searchsorted(ends, len(held) - m.lookahead, "right"))
+                    if stable:
+                        yield tokens[:stable]
+                        held = held[ends[stable - 1] :]
+        if last is not None:
+            held = np.append(held, m.last_byte[last])
+            yield m.tokenize(held, np.zeros(len(held), np.int32))[0]
+
+
+class Splitter:
+    """The tokenizer's own normaliser and pattern: for words outside ``units``' tables, and for words too long to hold."""
+
+    def __init__(self, path: str, special: dict[str, int]):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        self._normalise = t.normalizer.normalize_str if t.normalizer else str
+        self._split = t.pre_tokenizer.pre_tokenize_str
+        self._byte = {s: b for b, s in enumerate(byte_symbols())}
+        self._special = special
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        #: no special token and no sequence that the pattern looks ahead for is longer
+        self._margin = max([4, *map(len, special)])
+
+    def pieces(self, word: str) -> list[bytes | int]:
+        """The bytes of a word's pieces; a special token as its id."""
+        out: list[bytes | int] = []
+        for part in self._marks.split(word) if self._marks else [word]:
+            if part in self._special:
+                out.append(self._special[part])
+            elif part:
+                out += [bytes(map(self._byte.__getitem__, p)) for p, _ in self._split(self._normalise(part))]
+        return out
+
+    def _safe(self, text: str) -> int:
+        """The last place where text can be cut: NFC composes nothing across it, and neither a special token nor a 's-like piece spans it."""
+        kind, _ = tables()
+        spans = [m.span() for m in self._marks.finditer(text)] if self._marks else []
+        for at in range(len(text) - self._margin, 0, -1):
+            before = text[max(0, at - 3) : at]
+            quote = before.endswith("'") and not before.endswith("''") or before[-2:-1] == "'" and before[-3:-2] != "'"
+            if not quote and (c := ord(text[at])) < len(kind) and kind[c] != HARD and not any(a < at < z for a, z in spans):
+                return at
+        return 0
+
+    def stream(self, blocks: Iterable[str]) -> Iterator[tuple[bytes | int, bool]]:
+        """(bytes or special id, whether they go on the piece before) of one word that comes in blocks."""
+        held, before = "", ""  # before: the end of the piece still open, as the pattern must see it
+        for last, block in _with_last(blocks):
+            held += block
+            at = len(held) if last else self._safe(held)
+            if not at:
+                continue
+            now, held = held[:at], held[at:]
+            for part in self._marks.split(now) if self._marks else [now]:
+                if part in self._special:
+                    yield self._special[part], False
+                    before = ""
+                    continue
+                new = self._normalise(part)
+                if not new:
+                    continue
+                joined = before + new
+                for k, (p, (a, z)) in enumerate(self._split(joined)):
+                    raw = bytes(map(self._byte.__getitem__, p))
+                    if k == 0 and before and a == 0:
+                        if z > len(before):
+                            yield raw[len(before.encode()) :], True
+                    else:
+                        yield raw, False
+                    open_ = joined[a:z]
+                # the end of a piece of two or more tells how it goes on, but a number never does; after a 's-like piece letters start anew
+                closed = z < len(joined) or open_[-1:].isnumeric() or (open_[0] == "'" and len(open_) > 1 and open_[1] != "'" and open_[1:].isalpha())
+                before = "" if closed else open_[-2:] if open_[0] != "'" or len(open_) > 2 else open_
+
+
+def _with_last(items: Iterable) -> Iterator[tuple[bool, object]]:
+    it = iter(items)
+    try:
+        now = next(it)
+    except StopIteration:
+        return
+    for after in it:
+        yield False, now
+        now = after
+    yield True, now
+
+
+def by_pieces(units: list[str], easy: list[bool], splitter: Splitter, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units, side by side, and their numbers; ``encode`` does so for pieces."""
+    if all(easy):
+        return encode([u.encode("utf-8", "surrogatepass") for u in units])
+    pieces: list[bytes] = []
+    special: list[tuple[int, int]] = []  # (piece before which it stands, its id)
+    parts = np.zeros(len(units), np.int64)
+    for i, (u, plain) in enumerate(zip(units, easy)):
+        cut = [u.encode("utf-8", "surrogatepass")] if plain else splitter.pieces(u)
+        parts[i] = len(cut)
+        for p in cut:
+            if isinstance(p, int):
+                special.append((len(pieces), p))
+                p = b""  # holds the place
+            pieces.append(p)
+    ids, counts = encode(pieces)
+    if special:
+        at = np.array([k for k, _ in special])
+        ids = np.insert(ids, np.cumsum(counts)[at], [i for _, i in special]).astype(np.uint32)
+        counts[at] += 1
+    upto = np.append(0, np.cumsum(counts))
+    ends = np.cumsum(parts)
+    return ids, upto[ends] - upto[ends - parts]
+
+
+class Coder:
+    """What a process keeps of a vocabulary: merges, splitter, transducer, and the decoder's tables. No texts."""
+
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.splitter = Splitter(path, self.merges.special)
+        self.transducer = Transducer(self.merges)
+        self.tables = Decoder.tables_of(self.merges)
+
+    def units(self, units: list[str], easy: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, side by side, and their numbers: easy units are pieces, others go through the splitter."""
+        return by_pieces(units, easy, self.splitter, self.transducer.pieces)
+
+    def long(self, blocks: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of one word that comes in blocks, however long."""
+        stream = self.splitter.stream(blocks)
+        item = next(stream, None)
+        while item is not None:
+            if isinstance(item[0], int):
+                yield np.array([item[0]], np.uint32)
+                item = next(stream, None)
+                continue
+            first, item = item[0], None
+
+            def one_piece(first: bytes = first) -> Iterator[bytes]:
+                nonlocal item
+                yield first
+                for x in stream:
+                    if isinstance(x[0], int) or not x[1]:
+                        item = x
+                        return
+                    yield x[0]
+
+            yield from self.transducer.piece(one_piece())
+
+    def encoder(self, **limits: int) -> UnitEncoder:
+        """An encoder of streams of texts with a cache of its own, to be let go with the task."""
+        return UnitEncoder(self.units, self.long, self.merges.special, **limits)
 
 
 class Decoder:
     """Ids back to text, some at a time.
 
-    ``feed`` gives what a decoder-less tokenizer's ``decode`` gives: tokens with
-    single spaces between them. ``feed_text`` undoes the byte symbols instead: it
-    turns bytes into characters as soon as they are complete, and ends of words
-    into spaces.
+    ``feed`` gives two things for each array of ids: what a decoder-less
+    tokenizer's ``decode`` gives, tokens with single spaces between them, and the
+    text itself, in which byte symbols are bytes again, turned into characters
+    as soon as they are complete, and ends of words are spaces.
     """
 
-    def __init__(self, tokens: list[str], special: Iterable[str] = ()):
-        self._tokens, self._special, self._any = tokens, frozenset(special), False
-        self._packed = [t.encode() for t in tokens]
-        self._byte = {s: b for b, s in enumerate(_SYMBOL)}
+    def __init__(self, tables: tuple[list[bytes], list[bytes]]):
+        self._shown, self._raw = tables
+        self._any = False
         self._utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int]) -> bytes:
-        out = b" ".join(map(self._packed.__getitem__, ids))
-        if self._any and out:
-            out = b" " + out
-        self._any |= bool(out)
-        return out
+    @staticmethod
+    def tables_of(merges: Merges) -> tuple[list[bytes], list[bytes]]:
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        raw = [t.encode() if t in merges.special else bytes(map(byte.__getitem__, t.removesuffix(END))) + b" " * t.endswith(END) for t in merges.tokens]
+        return [t.encode() for t in merges.tokens], raw
 
-    def feed_text(self, ids: Iterable[int]) -> str:
-        out = []
-        for token in map(self._tokens.__getitem__, ids):
-            if token in self._special:
-                out.append(self._utf8.decode(b"", True) + token)
-                continue
-            body = token.removesuffix(END)
-            raw = bytes(self._byte[c] for c in body)
-            out.append(self._utf8.decode(raw + b" " * (body != token)))
-        return "".join(out)
+    def feed(self, ids: Iterable[int]) -> tuple[bytes, str]:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        shown = b" ".join(map(self._shown.__getitem__, ids))
+        if self._any and shown:
+            shown = b" " + shown
+        self._any |= bool(shown)
+        return shown, self._utf8.decode(b"".join(map(self._raw.__getitem__, ids)))
 
     def end(self) -> str:
-        return self._utf8.decode(b"", True)
-
-    def restart(self) -> None:
+        """What an unfinished character comes to; the decoder is as new afterwards."""
         self._any = False
+        out = self._utf8.decode(b"", True)
         self._utf8.reset()
+        return out
 
 
-_held: dict[str, tuple[Transducer, Decoder]] = {}
+_held: dict[str, Coder] = {}
 
 
-def coder(path: str) -> tuple[Transducer, Decoder]:
-    """This process's transducer and decoder for a vocabulary file."""
+def coder(path: str) -> Coder:
+    """This process's coder for a vocabulary file."""
     if path not in _held:
-        m = Merges(path)
-        _held[path] = Transducer(m), Decoder(m.tokens, m.special)
+        _held[path] = Coder(path)
     return _held[path]
 
 
@@ -246,45 +400,84 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with ids array<int> for each whole text."""
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of a column one by one, as bytes."""
+    for t in column.cast(pa.large_binary()):
+        yield t.as_py()
+
+
+#: Ids in a batch that leaves a task, at least; a text's own may be more.
+BATCH_IDS = 1 << 18
+
+
+def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
+    """docs with the ids of each whole text, array<int>, in ``column``; one of that name that is there already is replaced."""
     path = path or default_path()
+    names = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = coder(path)
-        for b in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):  # ids outgrow texts
-            packed = [encoder.encode(t) if t is not None else b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+        encoder = coder(path).encoder()
+        for b in batches:
+            at, ids, lengths, held, own = 0, [], [], 0, 0
+
+            def rows(upto: int) -> pa.RecordBatch:
+                offsets = np.cumsum([0, *lengths]).astype(np.int32)
+                flat = np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                part = b.slice(at, upto - at)
+                return pa.RecordBatch.from_arrays([*part.columns, lists], names=[*b.schema.names, column])
+
+            row = 0
+            for x, closed in encoder.stream(texts_of(b.column(b.schema.get_field_index("text")))):
+                ids.append(x)
+                own += len(x)
+                if closed:
+                    lengths.append(own)
+                    held, own, row = held + own, 0, row + 1
+                    if held >= BATCH_IDS:
+                        yield rows(row)
+                        at, ids, lengths, held = row, [], [], 0
+            if row > at:
+                yield rows(row)
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    kept = docs.select(*(f"`{c}`" for c in names))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256) of each whole text, encoded and decoded again.
+
+    ``text_sha256`` is that of the text that the decoder restores: lower case, a space after each piece.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coder(path)
+        own = coder(path)
+        encoder, decoder = own.encoder(), Decoder(own.tables)
+        sha = hashlib.sha256
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).cast(pa.large_binary()):
-                t = t.as_py()
-                packed = encoder.encode(t) if t else b""
-                decoder.restart()
-                n.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                digest = hashlib.sha256()
-                for at in range(0, len(packed), 4 << 16):
-                    digest.update(decoder.feed(memoryview(packed[at : at + (4 << 16)]).cast("I")))
-                text_sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, columns = [], ([], [], [])
+            count, digest = 0, (sha(), sha(), sha())
+            for ids, closed in encoder.stream(texts_of(b.column(1))):
+                count += len(ids)
+                for at in range(0, len(ids), 1 << 16):
+                    part = ids[at : at + (1 << 16)]
+                    shown, plain = decoder.feed(part)
+                    digest[0].update(part.astype("<u4", copy=False).tobytes())
+                    digest[1].update(shown)
+                    digest[2].update(plain.encode())
+                if closed:
+                    digest[2].update(decoder.end().encode())
+                    n.append(count)
+                    for c, d in zip(columns, digest):
+                        c.append(d.hexdigest())
+                    count, digest = 0, (sha(), sha(), sha())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

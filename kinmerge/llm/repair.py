@@ -3,21 +3,27 @@
 Documents are dealt out by ranges of doc_id, encoded and packed into shards of
 about ``SHARD_TOKENS`` ids, whole documents always. In each shard the most
 frequent pairs of neighbouring symbols are replaced by new symbols, round after
-round until no pair is frequent or the symbols run out, each new symbol keeping its two parts and the length of what it stands
-for. A file is a row (part, shard, n_docs, n_tokens, blob) of a Parquet table
-written by Spark's own committer, so a lost executor leaves no half file; rows
-by (part, shard) run in ascending doc_id order.
+round until no pair is frequent, each new symbol keeping its two parts and the
+length of what it stands for. A file is a row (part, shard, n_docs, n_tokens,
+blob) of a Parquet table written by Spark's own committer, so a lost executor
+leaves no half file; rows by (part, shard) run in ascending doc_id order.
+
+The tokenizers library encodes whole texts by way of ``units``: each distinct
+piece of a chunk goes through the library's own normaliser, splitter and model
+once, and words outside the unit tables go through it whole.
 
 A null text encodes as empty and has its end id only; rows with equal doc_id
-stand in the order of a hash of their texts; a null doc_id comes first; columns
-other than doc_id and text are left alone; an empty table writes no shard.
+stand in the order of a hash of their texts; a null doc_id comes first; texts
+are read whole at any length; columns other than doc_id and text are left
+alone, whatever their names; an empty table writes no shard.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Merges, Transducer, default_path
+from .bpe import END, default_path, texts_of
 from .common import save, table, width
+from .units import UnitEncoder
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -59,35 +66,39 @@ def _frequent(codes: np.ndarray) -> np.ndarray:
 _SLOTS = 1 << 18
 
 
-def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each code among pairs, pairs left): a slot table; of pairs that share a slot the first stays."""
-    shift = 14 if codes.dtype == np.uint32 else 46
-    factor = codes.dtype.type(0x9E3779B1 if codes.dtype == np.uint32 else 0x9E3779B97F4A7C15)
-    slot = (pairs * factor) >> codes.dtype.type(shift)
-    _, first = np.unique(slot, return_index=True)
-    pairs = pairs[np.sort(first)]
-    slot = ((pairs * factor) >> codes.dtype.type(shift)).astype(np.int64)
-    rank_at = np.full(_SLOTS, len(pairs), np.int32)
-    rank_at[slot] = np.arange(len(pairs))
-    rank = rank_at[(codes * factor) >> codes.dtype.type(shift)]
-    known = np.append(pairs, codes.dtype.type(0))
-    return np.where(known[rank] == codes, rank, np.int32(len(pairs))), pairs
+def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The rank of each code among pairs, their number for codes that are none of them."""
+    none = len(pairs)
+    small = codes.dtype == np.uint32
+    shift = codes.dtype.type(14 if small else 46)
+    out = np.full(len(codes), none, np.int32)
+    factor, todo = 0x9E3779B1 if small else 0x9E3779B97F4A7C15, np.arange(none)
+    while len(todo):  # pairs that share a slot with another are looked up in a further table
+        slot = (pairs[todo] * codes.dtype.type(factor)) >> shift
+        _, first = np.unique(slot, return_index=True)
+        rank_at = np.full(_SLOTS, none, np.int32)
+        rank_at[slot[first]] = todo[first]
+        rank = rank_at[(codes * codes.dtype.type(factor)) >> shift]
+        near = np.flatnonzero(rank < none)
+        near = near[pairs[rank[near]] == codes[near]]
+        out[near] = rank[near]
+        todo = np.delete(todo, first)
+        factor = factor * 0x2C1B3C6D & (0xFFFFFFFF if small else 0xFFFFFFFFFFFFFFFF) | 1
+    return out
 
 
 def grammar(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules, first): rules[k] holds the two parts of symbol first + k."""
     seq = ids.astype(np.uint32)
     first = int(seq.max(initial=0)) + 1
-    # leave 16-bit symbols where the vocabulary does
-    most = (1 << 16) - first if first < (1 << 16) else 1 << 20
     rules: list[np.ndarray] = []
     made = 0
-    while len(seq) > 1 and made < most:
+    while len(seq) > 1:
         codes = _pair_codes(seq)
-        pairs = _frequent(codes)[: most - made]
+        pairs = _frequent(codes)
         if not len(pairs):
             break
-        rank, pairs = _rank_of(codes, pairs)
+        rank = _rank_of(codes, pairs)
         none = len(pairs)
         near = np.flatnonzero(rank < none)
         own = rank[near]
@@ -125,21 +136,47 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+def rule_expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): what every rule stands for, side by side."""
+    starts = np.append(0, np.cumsum(lengths))
+    out = np.empty(int(starts[-1]), np.uint32)
+    done = 0
+    while done < len(rules):
+        known = (rules[done:] < first + done).all(axis=1)
+        upto = len(rules) if known.all() else done + int(np.argmin(known))
+        at = starts[done:upto].copy()
+        for side in (0, 1):
+            part = rules[done:upto, side].astype(np.int64) - first
+            plain = part < 0
+            out[at[plain]] = rules[done:upto, side][plain]
+            size = np.where(plain, 1, lengths[np.maximum(part, 0)])
+            out[_places(at[~plain], size[~plain])] = out[_places(starts[part[~plain]], size[~plain])]
+            at += size
+        done = upto
+    return out, starts
+
+
+def _places(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... for size[0] places, then the same for the next."""
+    upto = np.cumsum(size)
+    return np.repeat(at - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    seq = seq.astype(np.uint32)
-    while True:
-        made = seq >= first
-        if not made.any():
-            return seq
-        at = np.arange(len(seq)) + np.cumsum(made) - made
-        out = np.empty(len(seq) + int(made.sum()), np.uint32)
-        plain = ~made
-        out[at[plain]] = seq[plain]
-        parts = rules[seq[made] - first]
-        out[at[made]] = parts[:, 0]
-        out[at[made] + 1] = parts[:, 1]
-        seq = out
+    lengths = expansion_lengths(rules, first)
+    return _expanded(seq.astype(np.int64), *rule_expansions(rules, lengths, first), lengths, first)
+
+
+def _expanded(seq: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    made = seq >= first
+    rule = np.where(made, seq - first, 0)
+    size = np.where(made, lengths[rule], 1) if len(lengths) else np.ones(len(seq), np.int64)
+    out = np.empty(int(size.sum()), np.uint32)
+    at = np.cumsum(size) - size
+    out[at[~made]] = seq[~made]
+    out[_places(at[made], size[made])] = ids[_places(starts[rule[made]], size[made])]
+    return out
 
 
 # --- the file --------------------------------------------------------------
@@ -180,80 +217,124 @@ class Shard:
         self.expansions = take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{size}", symbols).astype(np.uint32)
         self.starts = np.append(0, np.cumsum(self.lengths))
+        self._rules = rule_expansions(self.rules, self.expansions, self.first)
+        self._ends: np.ndarray | None = None
+
+    @staticmethod
+    def documents_of(blob: bytes) -> list[int | None]:
+        """The ids of a shard's documents; nothing else of it is read."""
+        _, docs, _, _, _, _, missing = _HEAD.unpack_from(blob)
+        ids = np.frombuffer(blob, "<i8", docs, _HEAD.size).tolist()
+        gone = np.unpackbits(np.frombuffer(blob, "u1", -(-docs // 8), _HEAD.size + 8 * docs))[:docs] if missing else np.zeros(docs, bool)
+        return [None if g else i for i, g in zip(ids, gone)]
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        return _expanded(symbols.astype(np.int64), *self._rules, self.expansions, self.first)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return self._expand(self.symbols)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document: only the symbols that reach into it are expanded."""
-        spans = np.where(self.symbols >= self.first, self.expansions[np.maximum(self.symbols.astype(np.int64) - self.first, 0)] if len(self.expansions) else 1, 1)
-        ends = np.cumsum(spans)
         a, b = self.starts[i], self.starts[i + 1]
         if a == b:
             return np.zeros(0, np.uint32)
-        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
-        part = expand(self.symbols[lo : hi + 1], self.rules, self.first)
-        skip = a - (ends[lo] - spans[lo])
+        if self._ends is None:
+            rule = self.symbols.astype(np.int64) - self.first
+            self._ends = np.cumsum(np.where(rule >= 0, self.expansions[np.maximum(rule, 0)], 1) if len(self.rules) else np.ones(len(rule), np.int64))
+        lo, hi = np.searchsorted(self._ends, a, "right"), np.searchsorted(self._ends, b, "left")
+        part = self._expand(self.symbols[lo : hi + 1])
+        skip = a - (self._ends[lo - 1] if lo else 0)
         return part[skip : skip + b - a]
 
 
 # --- on tables -------------------------------------------------------------
 
 
-class LibraryEncoder(Transducer):
-    """Whole texts to ids by the tokenizers library; each distinct piece goes through it once."""
+class Library:
+    """The tokenizers library as an encoder of units."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__(Merges(path), entries=600_000)
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self.special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-        self._tokenize = self._library.model.tokenize
-        self._packed = [i.to_bytes(4, "little") for i in range(self._library.get_vocab_size())]
+    def units(self, units: list[str], easy: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, side by side, and their numbers: pieces go through the library together, parted by spaces, other words one by one."""
+        plain = units if all(easy) else [u for u, e in zip(units, easy) if e]
+        ids = self._ids(" ".join(plain))
+        ends = np.flatnonzero(self._ends[ids])
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer cuts pieces anew")
+        sizes = np.diff(ends, prepend=-1)
+        if len(plain) == len(units):
+            return ids, sizes
+        own = iter(np.split(ids, ends[:-1] + 1))
+        out = [next(own) if e else self._ids(u) for u, e in zip(units, easy)]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
-    def _packed_piece(self, piece: str) -> bytes:
-        packed = self._packed
-        return b"".join([packed[t.id] for t in self._tokenize(piece)])
+    def long(self, blocks: Iterable[str]) -> Iterator[np.ndarray]:
+        yield self._ids("".join(blocks))
 
+    def encoder(self, **limits: int) -> UnitEncoder:
+        return UnitEncoder(self.units, self.long, self.special, **limits)
 
-_encoders: dict[str, LibraryEncoder] = {}
+
+_libraries: dict[str, Library] = {}
+
+
+def library(path: str) -> Library:
+    """This process's library for a vocabulary file; it holds no texts."""
+    return _libraries.get(path) or _libraries.setdefault(path, Library(path))
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write docs as shards in the shared folder; gives the table (part, shard, n_docs, n_tokens, blob)."""
     path = path or default_path()
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, LibraryEncoder(path))
+        encoder = library(path).encoder()
         part, shard = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
-        held = 0
+        lengths: list[int] = []
+        held = own = 0
 
         def full() -> pa.RecordBatch:
-            nonlocal ids, names, held, shard
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            blob = pack(names, lengths, np.frombuffer(b"".join(ids), "<u4"))
+            nonlocal ids, names, lengths, held, shard
+            blob = pack(names, np.array(lengths, np.int64), np.concatenate(ids))
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
                 names=["part", "shard", "n_docs", "n_tokens", "blob"],
             )
-            ids, names, held, shard = [], [], 0, shard + 1
+            ids, names, lengths, held, shard = [], [], [], 0, shard + 1
             return row
 
         for b in batches:
-            for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                t = t.as_py()
-                ids.append((encoder.encode(t) if t else b"") + end)
-                names.append(name)
-                held += len(ids[-1]) // 4
+            name = iter(b.column(0).to_pylist())
+            for x, closed in encoder.stream(texts_of(b.column(1))):
+                ids.append(x)
+                own += len(x)
+                if not closed:
+                    continue
+                ids.append(end)
+                names.append(next(name))
+                lengths.append(own + 1)
+                held, own = held + own + 1, 0
                 if held >= shard_tokens:
                     yield full()
-        if ids:
+        if lengths:
             yield full()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("_h"))
@@ -304,6 +385,32 @@ def read_digests(shards: DataFrame) -> DataFrame:
     return rows.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(shards: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents wanted (column doc_id), by random access: of a shard only the symbols that reach into them are expanded.
+
+    The ids wanted meet the shards' own lists of documents in a join first, so a
+    shard that holds none of them is never opened by a task.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, shard, blob in zip(b.column(0), b.column(1), b.column(2)):
+                names = Shard.documents_of(blob.as_py())
+                n = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(names, pa.int64())], names=["part", "shard", "place", "doc_id"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, places in zip(b.column(0), b.column(1)):
+                s = Shard(blob.as_py())
+                for i in places.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([s.doc_ids[i]], pa.int64()), pa.array([s.document(i).view(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    places = shards.select("part", "shard", "blob").mapInArrow(listed, "part int, shard int, place int, doc_id bigint")
+    wanted = places.join(doc_ids.select(F.col("doc_id").cast("bigint")).distinct(), "doc_id", "left_semi").groupBy("part", "shard").agg(F.collect_list("place").alias("places"))  # at most a shard's documents
+    return shards.join(wanted, ["part", "shard"]).select("blob", "places").mapInArrow(fetch, "doc_id bigint, ids array<int>")
+
+
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Re-Pair shards and read back."""
     return read_digests(write(table(spark, sf_dir, "documents")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +16,19 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes or code points that one step of a hash goes over: what its tables are long.
+_STEP = 1 << 16
+_tables: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i below n, by doubling; kept for the next call."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
+def _power_table(base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i to ``_STEP``, by doubling."""
+    if base not in _tables:
         held = np.ones(1, np.uint64)
-        while len(held) < n:
+        while len(held) <= _STEP:
             held = np.concatenate([held, held * _U(pow(base, len(held), 1 << 64))])
-        _powers[base] = held
-    return held[:n]
+        _tables[base] = held[: _STEP + 1]
+    return _tables[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,19 +80,39 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes (A-Z lower-cased if asked).
+def polynomial_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each span of data, whose items ``value_of`` turns into 64-bit values; spans are in order and do not overlap.
 
-    Prefix sums of keyed bytes times powers of an odd base give every span's
-    polynomial in a few vector operations; a finaliser spreads the bits.
+    Prefix sums of the values times powers of an odd base give every span's
+    polynomial in a few vector operations, ``_STEP`` values at a time; a
+    finaliser spreads the bits.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    power, inverse = _power_table(_BASE), _power_table(_INVERSE)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(ends, base + _STEP, "right"))
+        if hi <= lo:  # one span longer than a step: the polynomial in blocks
+            value = 0
+            for k, at in enumerate(range(base, int(ends[lo]), _STEP)):
+                block = value_of(data[at : min(at + _STEP, int(ends[lo]))])
+                value += int(np.sum(block * power[: len(block)], dtype=np.uint64)) * pow(_BASE, k * _STEP, 1 << 64)
+            out[lo] = _U(value & 0xFFFFFFFFFFFFFFFF)
+            lo += 1
+            continue
+        a, z = starts[lo:hi] - base, ends[lo:hi] - base
+        prefix = np.zeros(int(z[-1]) + 1, np.uint64)
+        np.cumsum(value_of(data[base : base + int(z[-1])]) * power[: int(z[-1])], out=prefix[1:])
+        out[lo:hi] = (prefix[z] - prefix[a]) * inverse[a]
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span's bytes (A-Z lower-cased if asked)."""
     keyed = _BYTE[_LOWER] if lower else _BYTE
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(keyed[data] * _power_table(_BASE, len(data)), out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return polynomial_hashes(data, starts, ends, lambda x: keyed[x])
 
 
 def word_counts(column: pa.Array) -> np.ndarray:
