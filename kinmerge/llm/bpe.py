@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .units import HARD, UnitEncoder, tables
+from .units import HARD, UnitEncoder, table_for, tables
 
 END = "</w>"
 _NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -309,13 +309,14 @@ def by_pieces(units: list[str], easy: list[bool], splitter: Splitter, encode: Ca
 
 
 class Coder:
-    """What a process keeps of a vocabulary: merges, splitter, transducer, and the decoder's tables. No texts."""
+    """What a process keeps of a vocabulary: merges, splitter, transducer, the decoder's tables, and a table of units of fixed size. No texts."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.splitter = Splitter(path, self.merges.special)
         self.transducer = Transducer(self.merges)
         self.tables = Decoder.tables_of(self.merges)
+        self._units = table_for()
 
     def units(self, units: list[str], easy: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, side by side, and their numbers: easy units are pieces, others go through the splitter."""
@@ -343,9 +344,9 @@ class Coder:
 
             yield from self.transducer.piece(one_piece())
 
-    def encoder(self, **limits: int) -> UnitEncoder:
-        """An encoder of streams of texts with a cache of its own, to be let go with the task."""
-        return UnitEncoder(self.units, self.long, self.merges.special, **limits)
+    def encoder(self) -> UnitEncoder:
+        """An encoder of streams of texts; a task's own, over the process's table."""
+        return UnitEncoder(self.units, self.long, self.merges.special, table=self._units)
 
 
 class Decoder:

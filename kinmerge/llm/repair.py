@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import END, default_path, texts_of
 from .common import save, table, width
-from .units import UnitEncoder
+from .units import ENTRIES, UnitEncoder, table_for
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -265,6 +265,7 @@ class Library:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(1 + max(vocabulary.values()), bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
+        self._units = table_for(entries=2 * ENTRIES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -286,15 +287,16 @@ class Library:
     def long(self, blocks: Iterable[str]) -> Iterator[np.ndarray]:
         yield self._ids("".join(blocks))
 
-    def encoder(self, **limits: int) -> UnitEncoder:
-        return UnitEncoder(self.units, self.long, self.special, **limits)
+    def encoder(self) -> UnitEncoder:
+        """An encoder of streams of texts; a task's own, over the process's table."""
+        return UnitEncoder(self.units, self.long, self.special, table=self._units)
 
 
 _libraries: dict[str, Library] = {}
 
 
 def library(path: str) -> Library:
-    """This process's library for a vocabulary file; it holds no texts."""
+    """This process's library for a vocabulary file, with a table of units of fixed size; it holds no texts."""
     return _libraries.get(path) or _libraries.setdefault(path, Library(path))
 
 

@@ -25,7 +25,7 @@ from .text import mix, polynomial_hashes
 SPACE, LETTER, NUMBER, OTHER, HARD = range(5)
 #: Bytes of text cut at once.
 CHUNK = 1 << 18
-#: Distinct units that a task remembers, at about 100 bytes each; at least a chunk's.
+#: Distinct units that a process remembers, at about 100 bytes each; at least a chunk's.
 ENTRIES = 1 << 18
 _LIMIT = 0xD7A4
 _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -162,6 +162,12 @@ def cut(text: str, marks: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, np
     return low, starts, ends, np.ones(len(starts), bool) if easy_word is None else easy_word[starts]
 
 
+def table_for(chunk: int = CHUNK, entries: int = ENTRIES) -> UnitTable:
+    """An empty table; a chunk's own units always fit."""
+    entries = max(entries, chunk + 1)
+    return UnitTable(entries, 8 * entries, 8 * entries)
+
+
 def _flat(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """at[0], at[0] + 1, ... for size[0] places, then the same for the next."""
     upto = np.cumsum(size)
@@ -174,11 +180,9 @@ class UnitEncoder:
     ``long`` turns the blocks of a word longer than a chunk into arrays of ids.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], long: Callable[[Iterator[str]], Iterator[np.ndarray]], special: Iterable[str] = (), chunk: int = CHUNK, entries: int = ENTRIES):
+    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], long: Callable[[Iterator[str]], Iterator[np.ndarray]], special: Iterable[str] = (), chunk: int = CHUNK, table: UnitTable | None = None):
         self._encode, self._long, self.chunk = encode, long, chunk
-        # a chunk's own units always fit
-        entries = max(entries, chunk + 1)
-        self._table = UnitTable(entries, 8 * entries, 8 * entries)
+        self._table = table or table_for(chunk)
         special = sorted(special, key=len, reverse=True)
         self._marks = re.compile("|".join(map(re.escape, special))) if special else None
 
