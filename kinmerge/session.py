@@ -27,9 +27,27 @@ def ship(spark: SparkSession) -> None:
     sc._kinmerge_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a folder of this machine serves, but only under a master that
+    runs in this process; on a cluster what one machine wrote another could not read.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    held = getattr(sc, "_kinmerge_shared_dir", None)
+    if held is None:
+        held = sc._kinmerge_shared_dir = "file://" + tempfile.mkdtemp(prefix="kinmerge-")
+    return held
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinmerge-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
