@@ -3,34 +3,70 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: A word, as every operator of this subpackage understands it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch of texts: with texts of some thousand characters a few megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, as rows here are whole texts; a smaller setting of the session's own stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path goes to Spark's reader unchanged, so any store works."""
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    held = getattr(spark.sparkContext, "_kinmerge_checkpoint_dir", None)
-    if held is None:
-        held = "file://" + tempfile.mkdtemp(prefix="kinmerge-")
-        spark.sparkContext._kinmerge_checkpoint_dir = held
-    return held
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a master that runs in this process may do without."""
+    return shared_dir(spark)
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that none of the columns has, case aside."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_of_equals(docs: DataFrame, keys: DataFrame, key_id: str, key_hash: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of keys the one row of docs with its doc_id (null is a value) and its text's hash, with docs' columns and those kept of keys.
+
+    keys has (key_id, key_hash, n, *kept), n being the rows of docs that are equal in both; several rows of keys
+    may name one text. Texts pass through a hash join whose other side holds no text, and are not sorted; only
+    where rows are equal is one chosen among them.
+    """
+    h, = unused([*docs.columns, *keys.columns], "h")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col(h) == F.col(key_hash))
+    columns = [*(f"`{c}`" for c in docs.columns), *kept]
+    single = hashed.join(keys.where("n = 1").hint("shuffle_hash"), same).select(*columns)
+    place, = unused(docs.columns, "place")
+    several = keys.where("n > 1")
+    first = hashed.join(several.select(key_id, key_hash).distinct().hint("shuffle_hash"), same, "left_semi")
+    first = first.withColumn(place, F.row_number().over(W.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(place) == 1)
+    return single.unionByName(first.join(several.hint("shuffle_hash"), same).select(*columns))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import one_of_equals, save, table, unused
 from .text import as_bytes, mix, spans, word_counts
 
 BLOCK_WORDS = 128
@@ -209,13 +209,14 @@ class Mix:
             F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"), F.max("size").alias("size")
         )  # one text's own blocks: bounded by its length
         # equal rows have places of their own in the stream; the first of them stands for each
-        docs = self.docs.withColumn("_h", F.xxhash64("text"))
-        docs = docs.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))).where("_n = 1").drop("_n")
-        runs = runs.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_rh"), F.col("runs").alias("_runs"), F.col("size").alias("_size"))
-        joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_rh")))
-        whole = (F.size("_runs") > 0) & (F.aggregate("_runs", F.lit(0).cast("bigint"), lambda a, r: a + r["word_to"] - r["word_from"]) == F.col("_size"))
-        text = F.when(whole, F.col("text")).otherwise(F.pandas_udf(cut_words, "string")("text", "_runs"))
-        return joined.withColumn("text", text).select(*self.docs.columns)
+        equal = self.placed.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+        of, h, taken, size = unused(self.docs.columns, "of", "h", "taken", "size")
+        keys = runs.join(equal.withColumnsRenamed({"doc_id": "id", "h": "hash"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
+        keys = save(keys.select(F.col("doc_id").alias(of), F.col("h").alias(h), F.col("runs").alias(taken), F.col("size").alias(size), "n"), "taken")
+        joined = one_of_equals(self.docs, keys, of, h, (taken, size))
+        whole = F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, r: a + r["word_to"] - r["word_from"]) == F.col(size)
+        text = F.when(whole, F.col("text")).otherwise(F.pandas_udf(cut_words, "string")("text", taken))
+        return joined.withColumn("text", text).select(*(f"`{c}`" for c in self.docs.columns))
 
 
 def cut_words(text: pd.Series, runs: pd.Series) -> pd.Series:

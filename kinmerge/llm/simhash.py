@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import one_of_equals, save, table
 from .components import connected_components
 
 SEED, SHINGLE_WORDS, MOST_BITS = 42, 4, 4
@@ -129,13 +128,13 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """docs with one row left of each component: the smallest doc_id, a null one last, then the least text hash."""
-    grouped = _grouped(save(fingerprints(docs), "fingerprints"), most)
+    marked = save(fingerprints(docs), "fingerprints")
+    grouped = _grouped(marked, most)
     first = grouped.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_kept"), F.col("x.h").alias("_kept_h"))
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    rank = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))  # equal rows: any one of them
-    one = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")), "left_semi")
-    return one.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    first = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.h").alias("kept_h"))
+    counts = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    keys = first.join(counts, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("kept_id", "kept_h", "n")
+    return one_of_equals(docs, save(keys, "kept"), "kept_id", "kept_h").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
