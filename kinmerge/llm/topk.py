@@ -6,8 +6,9 @@ matrix; its summary holds each dimension's largest and smallest component. For
 a query the sum over dimensions of the larger product with either bounds every
 score in the block. Blocks are scored in descending order of that bound until
 it falls below the k-th best score so far. Each query first meets its own range,
-which gives a k-th score to start from; then it goes only to ranges whose bound
-reaches that score. Ties go to the smaller vec_id, so a bound equal to the k-th
+which gives a k-th score to start from; then queries meet the ranges' summaries
+in tiles, and each goes only to ranges whose bound reaches its score. Nothing
+of a range or a query passes the driver. Ties go to the smaller vec_id, so a bound equal to the k-th
 score does not end the search.
 
 Vectors that are null, empty or hold a null or non-finite component take no
@@ -32,9 +33,9 @@ from .vectors import finite, matrix, one_each, sign_codes
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 RANGE_ROWS, BLOCK_ROWS = 8192, 128
-#: Ranges at most: their summaries go to every task, two numbers a dimension for each.
-MOST_RANGES = 1 << 14
-#: Queries that meet one range in one task.
+#: Ranges at most, as a sample of each goes to the driver when rows are dealt out; and ranges whose summaries a task holds at once.
+MOST_RANGES, TILE_RANGES = 1 << 16, 256
+#: Queries that meet one range, or one tile of summaries, in one task.
 QUERY_ROWS = 4096
 SEED = 11
 _EXACT = float(1 << 53)
@@ -128,34 +129,38 @@ def top_k(rows: DataFrame, k: int = K, scale: int = SCALE, query_every: int = QU
         return pa.table([pa.array(v, t_) for v, t_ in zip(zip(*out), kinds)], names=names)
 
     first = save(ranged.groupBy("part", "dim").applyInArrow(within, found_kind), "first", "kind")
-    summaries: dict[int, tuple] = {}
-    # bounded: ranges are at most MOST_RANGES, and more only for the places where the length changes
-    got = first.where("kind = 'summary'").select("part", "dim", "high", "low").collect()
-    for dim in {r["dim"] for r in got}:
-        own = [r for r in got if r["dim"] == dim]
-        summaries[dim] = np.array([r["part"] for r in own], np.int32), np.array([r["high"] for r in own]), np.array([r["low"] for r in own])
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, dim, q, floor, vec in zip(*(c.to_pylist() for c in b.columns)):
-                parts, high, low = summaries[dim]
+    tile = F.floor(F.col("part") / TILE_RANGES)
+    summaries = first.where("kind = 'summary'").select(tile.alias("t"), F.col("dim").alias("d"), F.col("part").alias("p"), "high", "low")
+    queries = first.where("kind = 'query'").select("part", "dim", "query_id", "floor", "vec")
+    # the queries in blocks against all tiles of summaries of their length
+    blocks = max(1, -(-(n // query_every) // QUERY_ROWS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
+    tiles = summaries.select("t", "d").distinct()
+    asking = queries.select(block, "part", "dim", "query_id", "floor", "vec").join(tiles, F.col("dim") == F.col("d")).withColumn("tile", F.col("t") + 0).drop("t", "d")
+    shown = summaries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def routed(key: tuple, ranges_: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(ranges_) and len(asked):
+            parts, high, low = ranges_.column("p").to_numpy(), matrix(ranges_.column("high")), matrix(ranges_.column("low"))
+            dim = high.shape[1]
+            for home, q, floor, vec in zip(*(asked.column(c).to_pylist() for c in ("part", "query_id", "floor", "vec"))):
                 v = np.array(vec)
                 bounds = np.maximum(v * high, v * low).sum(axis=1)
-                go = parts != part
+                go = parts != home
                 if floor is not None:
                     go &= bounds + np.abs(bounds) * 1e-12 >= floor
-                to = parts[go]
-                if len(to):
-                    m = len(to)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(to), pa.array([dim] * m, pa.int32()), pa.array([q] * m, pa.int64()), pa.array([floor] * m, pa.int64()), pa.array([vec] * m, pa.list_(pa.float64()))],
-                        names=["part", "dim", "query_id", "floor", "vec"],
-                    )
-
-    queries = first.where("kind = 'query'").select("part", "dim", "query_id", "floor", "vec")
-    salts = max(1, -(-(n // query_every) // QUERY_ROWS))
-    sent = queries.mapInArrow(routed, "part int, dim int, query_id bigint, floor bigint, vec array<double>").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
-    salted = ranged.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+                out += [(int(p), dim, q, floor) for p in parts[go]]
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.table([pa.array(v, t_) for v, t_ in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["part", "dim", "query_id", "floor"])
+
+    way = shown.groupBy("t", "d", "b").cogroup(asking.groupBy("tile", "dim", "block")).applyInArrow(routed, "part int, dim int, query_id bigint, floor bigint")
+    way = save(way, "routed")
+    # a range is repeated for the blocks of queries that come to it, and for none where none do
+    wanted = way.groupBy("part", "dim").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("salts"))
+    sent = way.join(wanted, ["part", "dim"]).join(queries.select("query_id", "vec"), "query_id")
+    sent = sent.select("part", "dim", "query_id", "floor", "vec", F.pmod(F.xxhash64("query_id"), F.col("salts")).alias("salt"))
+    salted = ranged.join(wanted, ["part", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
 
     def beyond(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
