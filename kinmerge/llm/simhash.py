@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_of_equals, save, table
+from .common import one_of_equals, save, table, width
 from .components import connected_components
 
 SEED, SHINGLE_WORDS, MOST_BITS = 42, 4, 4
@@ -81,6 +81,8 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """
     segments = _segments(most)
     m = len(segments)
+    # a fingerprint becomes many keys: they are made in as many tasks as the session sets
+    fps = fps.repartition(width(fps), "fp")
 
     def part(i: int) -> Column:
         shift, bits = segments[i % m]
