@@ -2,7 +2,9 @@
 
 The corpus is cut into chunks of whole texts, each saved with its distinct word
 hashes. For every order a chunk sends its distinct n-grams, as sorted 63-bit
-keys, to buckets by key range. A bucket adds up the counts of all chunks, keeps
+keys, to buckets by key range, one row a bucket: rows are chunks times buckets,
+a chunk's n-grams over ``BUCKET_TOKENS`` at the least, and never more than the
+n-grams themselves. A bucket adds up the counts of all chunks, keeps
 them as a part of the model table, and answers each chunk with the totals of
 the n-grams it sent, in the same order; one chunk is named owner of each n-gram
 and adds it to its context's sums, from which the backoff weights follow:
@@ -38,7 +40,7 @@ from .text import as_bytes, mix, slices, spans, word_hashes
 
 ORDER = 2
 CHUNK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 18
+BUCKET_TOKENS = 1 << 21
 ADDED = 0.1
 _U = np.uint64
 _END = _U(0x5851F42D4C957F2D)
