@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_remainder, table
 from .text import as_bytes, slices, spans, word_hashes
 
-#: Texts at most that the classifier is fitted on, of those labelled toxic and of all.
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
+#: Texts at most that the classifier is fitted on, of those labelled toxic and of all; and distinct words at most of one of them.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 3000, 6000, 1 << 14
 THRESHOLD = 0.3
 #: Standard errors by which a word's share of positives must differ from its share of unlabelled texts.
 EVIDENCE = 5.0
@@ -74,7 +74,7 @@ _PARTS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """(positive, words): the distinct word hashes of each text."""
+    """(positive, words): the distinct word hashes of each text, the ``MOST_WORDS`` least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,7 +84,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 own = offsets[lo : hi + 1]
                 hashes, row = _row_words(data[own[0] : own[-1]], own - own[0])
                 cuts = np.searchsorted(row, np.arange(1, hi - lo))
-                lists += [np.unique(x).tobytes() for x in np.split(hashes, cuts)]
+                lists += [np.unique(x)[:MOST_WORDS].tobytes() for x in np.split(hashes, cuts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], names=["positive", "words"])
 
     return docs.select("positive", "text").mapInArrow(run, "positive boolean, words binary")
@@ -109,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive=MOST_POSITIVE, most_un
     groups = {True: {}, False: {}}
     for row in _featured(texts).toLocalIterator():
         seen, x = groups[row["positive"]], np.frombuffer(row["words"], np.uint64)
-        seen.setdefault((len(x), int(np.bitwise_xor.reduce(x)) if len(x) else 0), x)  # copies count once
+        # copies count once; where ids repeat, what goes beyond the limits is left out
+        if len(seen) < (most_positive if row["positive"] else most_unlabelled):
+            seen.setdefault((len(x), int(np.bitwise_xor.reduce(x)) if len(x) else 0), x)
     positive, unlabelled = ([seen[k] for k in sorted(seen)] for seen in (groups[True], groups[False]))
     return _train(positive, unlabelled, prior) if positive and unlabelled else none
 
