@@ -5,37 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fixture import CONTACTS_SQL, contacts
 from .functions import normalize as N
 from .operators import cluster as C
+from .operators import consent as K
 from .operators import golden as G
 from .operators import mapping as MAP
 from .operators import matching as M
 from .operators import state as S
 from .plans import decisions as D
+from .plans import resolve as R
 from .session import cut, ship
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The year of the day that the queries are run as of: dates beyond it are no dates.
+THIS_YEAR = 2026
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _KEYED_SQL = f"""WITH contacts AS ({CONTACTS_SQL}),
 n AS (SELECT *, regexp_matches(last_name, ' Jr$') AS has_jr, regexp_replace(last_name, ' Jr$', '') AS ln0,
-    regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS dg FROM contacts),
-keyed AS (SELECT record_id, source_id, trust_rank, truth, observed_at, consent,
+    regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS dg, regexp_replace(strip_accents(lower(first_name)), '[^a-z]', '', 'g') AS raw FROM contacts),
+keyed AS (SELECT record_id, source_id, trust_rank, truth, observed_at, consent, sms, company, job_title,
   lower(email) AS email,
   CASE WHEN phone IS NULL THEN NULL WHEN phone LIKE '+%' THEN '+' || dg ELSE '+1' || dg END AS phone,
   CASE WHEN first_name = upper(first_name) THEN upper(first_name[1]) || lower(first_name[2:]) ELSE first_name END AS first_name,
   CASE WHEN ln0 = upper(ln0) THEN upper(ln0[1]) || lower(ln0[2:]) ELSE ln0 END AS last_name,
-  CASE WHEN has_jr THEN 'jr' END AS suffix, dob, street, zip AS postal,
+  CASE WHEN has_jr THEN 'jr' END AS suffix, dob, street, zip AS postal, city AS city_name, regexp_replace(strip_accents(lower(city)), '[^a-z]', '', 'g') AS city,
   CASE WHEN email IS NULL THEN NULL
     WHEN split_part(lower(email), '@', 2) IN ('gmail.com', 'googlemail.com') THEN replace(split_part(split_part(lower(email), '@', 1), '+', 1), '.', '') || '@gmail.com'
     ELSE split_part(split_part(lower(email), '@', 1), '+', 1) || '@' || split_part(lower(email), '@', 2) END AS ek,
-  CASE lower(first_name) WHEN 'jim' THEN 'james' WHEN 'bob' THEN 'robert' WHEN 'liz' THEN 'elizabeth' ELSE lower(first_name) END AS fn,
-  lower(first_name) AS fn_raw, lower(ln0) AS ln, replace(lower(street), ' street', ' st') AS addr FROM n)"""
+  CASE raw WHEN 'jim' THEN 'james' WHEN 'bob' THEN 'robert' WHEN 'liz' THEN 'elizabeth' ELSE raw END AS fn,
+  raw AS fn_raw, regexp_replace(strip_accents(lower(ln0)), '[^a-z]', '', 'g') AS ln, replace(lower(street), ' street', ' st') AS addr FROM n)"""
 _BLOCKS_SQL = """, blocks AS (
   SELECT DISTINCT record_id, unnest(list_filter([
     'e:' || ek, 'p:' || phone, 'lp:' || ln || '|' || postal, 'ld:' || ln || '|' || dob, 'fd:' || fn || '|' || dob,
@@ -46,6 +51,64 @@ _PAIRS_SQL = """, pairs AS (
   JOIN sizes s ON s.block = x.block WHERE s.size <= 200)"""
 
 
+def _jw(a: str, b: str) -> str:
+    """Jaro-Winkler in SQL, the prefix counted always; equal to ours where transpositions are even in number, as in all names here."""
+    prefix = " + ".join(f"CAST(left({a}, {k}) = left({b}, {k}) AND least(length({a}), length({b})) >= {k} AS INT)" for k in range(1, 5))
+    return f"(jaro_similarity({a}, {b}) + 0.1 * ({prefix}) * (1 - jaro_similarity({a}, {b})))"
+
+
+_IDS_SQL = """, ids AS (SELECT *, list_filter(['e:' || ek, 'p:' || phone], lambda x: x IS NOT NULL) AS contacts, unnest(list_filter(['e:' || ek, 'p:' || phone, 'na:' || fn || '|' || ln || '|' || addr, 'np:' || fn || '|' || ln || '|' || postal], lambda x: x IS NOT NULL)) AS ident FROM keyed)"""
+_AMBIGUOUS_SQL = f"""{_IDS_SQL},
+others AS (SELECT ident, fn, ln, suffix, postal || '|' || addr AS loc, dob, record_id, unnest(CASE WHEN len(contacts) > 1 THEN list_filter(contacts, lambda x: x <> ident) ELSE [NULL] END) AS other FROM ids WHERE ident[1:2] IN ('e:', 'p:') AND fn IS NOT NULL AND ln IS NOT NULL),
+sides AS (SELECT ident, fn, ln, list(DISTINCT other) FILTER (WHERE other IS NOT NULL AND suffix IS NOT NULL) AS w, list(DISTINCT other) FILTER (WHERE other IS NOT NULL AND suffix IS NULL) AS o FROM others GROUP BY 1, 2, 3),
+places AS (SELECT ident, fn, ln, loc, count(DISTINCT record_id) AS n, list(DISTINCT dob) FILTER (WHERE dob IS NOT NULL) AS dobs, list(DISTINCT other) FILTER (WHERE other IS NOT NULL) AS others FROM others WHERE ident LIKE 'e:%' AND loc IS NOT NULL GROUP BY 1, 2, 3, 4),
+fns AS (SELECT DISTINCT ident, fn FROM ids WHERE ident[1:2] IN ('e:', 'p:') AND fn IS NOT NULL),
+rules AS (
+  SELECT ident, 'several birth dates or suffixes' AS rule FROM ids GROUP BY 1 HAVING count(DISTINCT dob) > 1 OR count(DISTINCT suffix) > 1
+  UNION SELECT ident, 'suffix sometimes' FROM ids WHERE ident LIKE 'n%' GROUP BY 1 HAVING count(suffix) > 0 AND count(suffix) < count(*)
+  UNION SELECT x.ident, 'unlike first names' FROM fns x JOIN fns y ON x.ident = y.ident AND x.fn < y.fn WHERE {_jw('x.fn', 'y.fn')} < 0.8
+  UNION SELECT ident, 'contacts part with suffix' FROM sides WHERE len(w) > 0 AND len(o) > 0 AND NOT list_has_any(w, o)
+  UNION SELECT x.ident, 'one name at two places' FROM places x JOIN places y ON x.ident = y.ident AND x.fn = y.fn AND x.ln = y.ln AND x.loc < y.loc
+    WHERE greatest(x.n, y.n) > 1 AND NOT coalesce(list_has_any(x.dobs, y.dobs), false) AND len(x.others) > 0 AND len(y.others) > 0 AND NOT list_has_any(x.others, y.others)),
+amb AS (SELECT DISTINCT ident FROM rules),
+rare AS (SELECT fn, ln FROM keyed WHERE fn IS NOT NULL AND ln IS NOT NULL AND coalesce(postal, 'c:' || city) IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT coalesce(postal, 'c:' || city)) = 1)"""
+# Jaro-Winkler of addresses in full, as DuckDB's own halves odd numbers of transpositions down
+_STREETS_SQL = """,
+met AS (SELECT DISTINCT x.addr AS p, y.addr AS q, greatest(greatest(length(x.addr), length(y.addr)) // 2 - 1, 0) AS reach FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b WHERE x.addr <> y.addr),
+hits AS (SELECT p, q, string_split(list_reduce(list_transform(range(1, length(p) + 1), lambda i: CAST(i AS VARCHAR)), lambda acc, i: acc || coalesce(list_filter(range(greatest(1, CAST(i AS INT) - reach),
+  least(length(q), CAST(i AS INT) + reach) + 1), lambda j: q[j] = p[CAST(i AS INT)] AND NOT contains(acc, ',' || j || ','))[1] || ',', ''), ','), ',') AS found FROM met),
+placed AS (SELECT p, q, list_transform(list_filter(found, lambda x: x <> ''), lambda x: CAST(x AS INT)) AS h FROM hits),
+moves AS (SELECT p, q, len(h) AS m, len(list_filter(range(1, len(h) + 1), lambda k: q[h[k]] <> q[list_sort(h)[k]])) / 2 AS moved FROM placed),
+jaro AS (SELECT p, q, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(p) + m / length(q) + (m - moved) / m) / 3 END AS jaro FROM moves),
+streets AS (SELECT p, q, jaro + 0.1 * len(list_filter([1, 2, 3, 4], lambda k: left(p, k) = left(q, k) AND least(length(p), length(q)) >= k)) * (1 - jaro) AS jw FROM jaro)"""
+_COMPARED_SQL = f"""{_BLOCKS_SQL}{_PAIRS_SQL}{_AMBIGUOUS_SQL}{_STREETS_SQL},
+sided AS (SELECT a, b, x.truth AS ta, y.truth AS tb, x.fn AS f1, y.fn AS f2, x.ln AS l1, y.ln AS l2, x.suffix AS s1, y.suffix AS s2,
+  CASE WHEN x.ek IS NULL OR y.ek IS NULL THEN 'missing' WHEN x.ek <> y.ek THEN 'disagree' WHEN 'e:' || x.ek IN (SELECT ident FROM amb) THEN 'shared' ELSE 'agree' END AS email,
+  CASE WHEN x.phone IS NULL OR y.phone IS NULL THEN 'missing' WHEN x.phone <> y.phone THEN 'disagree' WHEN 'p:' || x.phone IN (SELECT ident FROM amb) THEN 'shared' ELSE 'agree' END AS phone,
+  CASE WHEN x.fn IS NULL OR y.fn IS NULL THEN 'missing' WHEN x.fn = y.fn THEN 'agree' WHEN greatest({_jw('x.fn', 'y.fn')}, {_jw('x.fn_raw', 'y.fn_raw')}) >= 0.9 THEN 'partial' ELSE 'disagree' END AS first_name,
+  CASE WHEN x.ln IS NULL OR y.ln IS NULL THEN 'missing' WHEN x.ln = y.ln THEN 'agree' WHEN {_jw('x.ln', 'y.ln')} >= 0.92 THEN 'partial' ELSE 'disagree' END AS last_name,
+  CASE WHEN x.dob IS NULL OR y.dob IS NULL THEN 'missing' WHEN x.dob = y.dob THEN 'agree' ELSE 'conflict' END AS birth_date,
+  CASE WHEN x.suffix = y.suffix THEN 'agree' WHEN x.suffix IS NOT NULL AND y.suffix IS NOT NULL THEN 'conflict' WHEN coalesce(x.suffix, y.suffix) IS NOT NULL THEN 'partial' ELSE 'missing' END AS name_suffix,
+  CASE WHEN x.addr IS NULL OR y.addr IS NULL THEN 'missing' WHEN x.addr = y.addr THEN CASE WHEN coalesce('na:' || x.fn || '|' || x.ln || '|' || x.addr IN (SELECT ident FROM amb), false) THEN 'shared' ELSE 'agree' END WHEN (SELECT jw FROM streets WHERE p = x.addr AND q = y.addr) >= 0.93 THEN 'partial' ELSE 'disagree' END AS address,
+  CASE WHEN x.postal IS NULL OR y.postal IS NULL THEN 'missing' WHEN x.postal <> y.postal THEN 'disagree' WHEN coalesce('np:' || x.fn || '|' || x.ln || '|' || x.postal IN (SELECT ident FROM amb), false) THEN 'shared' ELSE 'agree' END AS postal_code,
+  CASE WHEN x.city IS NULL OR y.city IS NULL THEN 'missing' WHEN x.city = y.city THEN 'agree' ELSE 'disagree' END AS city,
+  CASE WHEN x.fn = y.fn AND x.ln = y.ln THEN CASE WHEN EXISTS (SELECT 1 FROM rare WHERE rare.fn = x.fn AND rare.ln = x.ln) THEN 'rare' ELSE 'common' END ELSE 'missing' END AS name_frequency
+FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b),
+compared AS (SELECT a, b, ta, tb, email, phone, first_name, last_name, birth_date, name_suffix, address, postal_code, city, name_frequency, email = 'disagree' AND phone = 'disagree' AS dcc, birth_date = 'conflict' OR name_suffix = 'conflict' AS clash,
+  email = 'agree' OR phone = 'agree' AS contact, first_name IN ('agree', 'partial') AND last_name IN ('agree', 'partial') AS named, first_name = 'agree' AND last_name = 'agree' AS exact_name FROM sided),
+scored AS (SELECT *, round(CASE email WHEN 'agree' THEN 14.0 WHEN 'shared' THEN 1.0 WHEN 'disagree' THEN -2.0 ELSE 0.0 END::DOUBLE + CASE phone WHEN 'agree' THEN 9.0 WHEN 'shared' THEN 1.0 WHEN 'disagree' THEN -1.0 ELSE 0.0 END
+  + CASE first_name WHEN 'agree' THEN 4.0 WHEN 'partial' THEN 2.5 WHEN 'disagree' THEN -5.0 ELSE 0.0 END + CASE last_name WHEN 'agree' THEN 4.0 WHEN 'partial' THEN 2.5 WHEN 'disagree' THEN -5.0 ELSE 0.0 END
+  + CASE birth_date WHEN 'agree' THEN 8.0 ELSE 0.0 END + CASE address WHEN 'agree' THEN 4.0 WHEN 'shared' THEN 0.5 WHEN 'partial' THEN 2.0 WHEN 'disagree' THEN -0.5 ELSE 0.0 END
+  + CASE postal_code WHEN 'agree' THEN 2.0 WHEN 'disagree' THEN -1.0 ELSE 0.0 END + CASE city WHEN 'agree' THEN 0.5 ELSE 0.0 END + CASE name_frequency WHEN 'rare' THEN 1.5 ELSE 0.0 END + CASE WHEN dcc THEN -3.0 ELSE 0.0 END, 3) AS score FROM compared),
+banded AS (SELECT *, CASE WHEN clash THEN 'conflict' WHEN score >= 12 AND (contact OR birth_date = 'agree') AND first_name <> 'disagree' AND NOT dcc AND NOT (birth_date = 'agree' AND NOT contact AND last_name = 'partial') THEN 'match'
+  WHEN score <= 4 THEN 'non_match' ELSE 'gray' END AS band FROM scored),
+local AS (SELECT *, (postal_code = 'agree' AND city = 'agree' AND address <> 'disagree') OR (address = 'agree' AND (postal_code = 'agree' OR city = 'agree') AND postal_code <> 'disagree' AND city <> 'disagree') AS placed, email = 'shared' OR phone = 'shared' AS shared FROM banded),
+ruled AS (SELECT *, CASE WHEN clash THEN 1 WHEN first_name = 'disagree' THEN 2 WHEN named AND (first_name = 'agree' OR last_name = 'agree') AND name_suffix <> 'partial' AND placed AND shared AND NOT dcc THEN 3
+  WHEN named AND birth_date = 'agree' AND NOT contact AND last_name <> 'agree' THEN 10 WHEN named AND birth_date = 'agree' THEN 4 WHEN named AND contact THEN 5 WHEN exact_name AND address = 'agree' AND postal_code = 'agree' AND NOT dcc THEN 6
+  WHEN exact_name AND postal_code = 'agree' AND name_frequency = 'rare' AND NOT dcc THEN 7 WHEN last_name = 'disagree' AND NOT contact AND birth_date <> 'agree' THEN 8 WHEN named AND postal_code = 'disagree' AND address <> 'agree' THEN 9 ELSE 10 END AS rule FROM local),
+said AS (SELECT *, CASE WHEN rule IN (1, 2, 8, 9) THEN 'no_match' WHEN rule = 10 THEN 'abstain' ELSE 'match' END AS decision, CAST([0.99, 0.9, 0.89, 0.95, 0.93, 0.88, 0.87, 0.9, 0.86, 0.5][rule] AS DOUBLE) AS confidence FROM ruled)"""
+
+
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -57,7 +120,7 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    return M.match_keys(contacts(spark, d))
+    return M.match_keys(contacts(spark, d), THIS_YEAR)
 
 
 def _kept_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -94,16 +157,20 @@ def _(s, d):
     return contacts(s, d).select("record_id", N.postal(F.col("zip")).alias("postal"), N.address_key(F.col("street")).alias("addr"))
 
 
+_DATE_SHAPES = {"iso": "yyyy-MM-dd", "us": "M/d/yyyy", "dash": "M-d-yyyy", "slash": "yyyy/M/d", "dots": "d.M.yyyy", "short": "MMM d yyyy", "long": "MMMM d, yyyy", "packed": "yyyyMMdd"}
+
+
 @_query(
     "norm_dates",
-    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS us, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at FROM orders""",
+    "SELECT o_orderkey, " + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') AS {n}" for n in _DATE_SHAPES) + ", CAST(NULL AS VARCHAR) AS beyond, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS epoch FROM orders",
 )
 def _(s, d):
     ship(s)
     o = s.read.parquet(f"{d}/orders.parquet")
     return o.select(
-        "o_orderkey", N.date(F.date_format("o_orderdate", "M/d/yyyy")).alias("us"), N.date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso"),
-        N.timestamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at"),
+        "o_orderkey", *(N.date(F.date_format("o_orderdate", shape), THIS_YEAR).alias(name) for name, shape in _DATE_SHAPES.items()),
+        N.date(F.date_format("o_orderdate", "yyyy-MM-dd"), 1950).alias("beyond"),
+        N.timestamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), THIS_YEAR).alias("at"), N.timestamp(F.unix_timestamp("o_orderdate").cast("string"), THIS_YEAR).alias("epoch"),
     )
 
 
@@ -145,46 +212,59 @@ def _(s, d):
     return M.ambiguous_identifiers(_kept_keys(s, d)).where(F.col("rule").isin(*rules)).select("ident").distinct()
 
 
-@_query("ambiguous_ids_all")
+@_query("ambiguous_ids_all", f"{_KEYED_SQL}{_AMBIGUOUS_SQL} SELECT ident, rule FROM rules")
 def _(s, d):
     return M.ambiguous_identifiers(_kept_keys(s, d))
 
 
-@_query("rare_names", f"{_KEYED_SQL} SELECT fn, ln FROM keyed WHERE fn IS NOT NULL AND ln IS NOT NULL AND postal IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT postal) = 1")
+@_query("rare_names", f"{_KEYED_SQL} SELECT fn, ln FROM keyed WHERE fn IS NOT NULL AND ln IS NOT NULL AND coalesce(postal, 'c:' || city) IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT coalesce(postal, 'c:' || city)) = 1")
 def _(s, d):
     return M.rare_names(_keyed(s, d))
 
 
+def _known(s, d):
+    return cut(M.with_context(_kept_keys(s, d)))
+
+
 def _compared(s, d):
-    keyed = _kept_keys(s, d)
-    return M.compare(M.candidate_pairs(M.blocks(keyed)), M.with_context(keyed))
+    known = _known(s, d)
+    return M.compare(M.candidate_pairs(M.blocks(known)), known)
 
 
-@_query(
-    "pair_compare",
-    f"""{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b,
-  CASE WHEN x.dob IS NULL OR y.dob IS NULL THEN 'missing' WHEN x.dob = y.dob THEN 'agree' ELSE 'conflict' END AS birth_date,
-  CASE WHEN x.suffix IS NOT NULL AND y.suffix IS NOT NULL THEN 'agree' WHEN coalesce(x.suffix, y.suffix) IS NOT NULL THEN 'partial' ELSE 'missing' END AS name_suffix,
-  x.fn = y.fn AS same_first, x.ln = y.ln AS same_last
-FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b""",
-)
+@_query("oversized_skipped", f"{_KEYED_SQL}{_BLOCKS_SQL} SELECT split_part(block, ':', 1) AS family, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS records FROM sizes WHERE size > 200 GROUP BY 1")
+def _(s, d):
+    large = M.block_sizes(M.blocks(_keyed(s, d))).where(F.col("size") > M.MOST_IN_BLOCK)
+    return large.groupBy(F.split_part("block", F.lit(":"), F.lit(1)).alias("family")).agg(F.count("*").alias("blocks"), F.sum("size").alias("records"))
+
+
+_STATUSES = ", ".join(D.COMPARED)
+
+
+@_query("pair_compare", f"{_KEYED_SQL}{_COMPARED_SQL} SELECT a, b, {_STATUSES} FROM compared")
 def _(s, d):
-    return _compared(s, d).select("a", "b", "birth_date", "name_suffix", (F.col("first_name") == "agree").alias("same_first"), (F.col("last_name") == "agree").alias("same_last"))
+    return _compared(s, d).select("a", "b", *D.COMPARED)
 
 
-@_query("pair_score_band")
+@_query("pair_score_band", f"{_KEYED_SQL}{_COMPARED_SQL} SELECT a, b, {_STATUSES}, score, band FROM banded")
 def _(s, d):
     return M.score_and_band(_compared(s, d)).drop("a_truth", "b_truth")
 
 
-@_query("adjudicated_pairs")
+@_query("adjudicated_pairs", f"{_KEYED_SQL}{_COMPARED_SQL} SELECT a, b, score, decision, confidence, CASE WHEN decision = 'match' AND clash THEN 'rejected' WHEN confidence < 0.85 OR decision = 'abstain' THEN 'queued' ELSE 'auto_applied' END AS verdict FROM said WHERE band = 'gray'")
+def _(s, d):
+    return M.adjudicate(M.score_and_band(_compared(s, d))).where("band = 'gray'").select("a", "b", "score", "decision", "confidence", "verdict")
+
+
+@_query("pair_decisions", f"{_KEYED_SQL}{_COMPARED_SQL} SELECT a, b, score, band, CASE WHEN band = 'match' THEN 'match' WHEN band <> 'gray' THEN 'no_match' WHEN decision = 'abstain' OR (decision = 'match' AND ta % 10 = 1 AND tb % 10 = 1) THEN 'review' ELSE decision END AS final FROM said")
 def _(s, d):
-    return M.adjudicate(M.score_and_band(_compared(s, d))).where("band = 'gray'").select("a", "b", "score", "decision", "confidence", "evidence", "verdict")
+    scored = cut(M.score_and_band(_compared(s, d)))
+    cannot = scored.where("a_truth % 10 = 1 and b_truth % 10 = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return M.decide(scored, cannot).select("a", "b", "score", "band", "final")
 
 
 @_query("clusters_constrained")
 def _(s, d):
-    known = cut(M.with_context(_kept_keys(s, d)))
+    known = _known(s, d)
     pairs = M.candidate_pairs(M.blocks(known))
     return C.cluster(known, cut(M.decide(M.score_and_band(M.compare(pairs, known))).where("final = 'match'")))
 
@@ -219,43 +299,124 @@ def _(s, d):
     return G.golden_contacts(_members(s, d)).where("primary_email is not null").select("cluster", "primary_email")
 
 
-@_query("golden_address", f"{_KEYED_SQL} SELECT truth AS cluster, street, postal, record_id AS record FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+@_query("golden_address", f"{_KEYED_SQL} SELECT truth AS cluster, street, city_name AS city, postal, record_id AS record FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
 def _(s, d):
     return G.golden_address(_members(s, d))
 
 
-_CONSENT_SQL = f"{_KEYED_SQL}, c AS (SELECT truth AS cluster, consent AS granted, observed_at, source_id AS source FROM keyed WHERE consent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth ORDER BY observed_at DESC, consent, source_id, record_id) = 1)"
+def _first_sql(field: str, order: str) -> str:
+    """The first of a cluster's values in an order of records."""
+    return f"first({field} {order}) FILTER (WHERE {field} IS NOT NULL)"
 
 
-def _consent(s, d):
-    return G.resolve_consent(_members(s, d).where("consent is not null").withColumn("granted", F.col("consent")))
+@_query(
+    "golden_records",
+    f"""{_KEYED_SQL}, b AS (SELECT truth, dob, count(*) AS votes, min(p) AS p FROM (SELECT *, row_number() OVER (PARTITION BY truth {_TRUST_SQL}) AS p FROM keyed WHERE dob IS NOT NULL) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY truth {_RECENT_SQL}) AS q FROM keyed), m AS (SELECT truth, email, min(q) AS q FROM r WHERE email IS NOT NULL GROUP BY 1, 2), t AS (SELECT truth, phone, min(q) AS q FROM r WHERE phone IS NOT NULL GROUP BY 1, 2)
+SELECT k.truth AS cluster, {", ".join(f"{_first_sql(f, o)} AS {f}" for f, o in (("first_name", _TRUST_SQL), ("last_name", _TRUST_SQL), ("suffix", _TRUST_SQL), ("company", _RECENT_SQL), ("job_title", _RECENT_SQL)))},
+  (SELECT dob FROM b WHERE b.truth = k.truth ORDER BY votes DESC, p LIMIT 1) AS dob, coalesce((SELECT string_agg(email, ',' ORDER BY q) FROM m WHERE m.truth = k.truth), '') AS emails, coalesce((SELECT string_agg(phone, ',' ORDER BY q) FROM t WHERE t.truth = k.truth), '') AS phones,
+  first(street {_RECENT_SQL}) AS street, first(city_name {_RECENT_SQL}) AS city, first(postal {_RECENT_SQL}) AS postal FROM keyed k GROUP BY 1""",
+)
+def _(s, d):
+    return G.golden(_members(s, d)).withColumns({"emails": _text("emails"), "phones": _text("phones")}).drop("primary_email", "primary_phone")
+
+
+_PURPOSES = {"email_marketing": "consent", "sms_marketing": "sms"}
+_RESOLVE_SQL = "QUALIFY row_number() OVER (PARTITION BY cluster, purpose ORDER BY observed_at DESC, granted, source, record_id) = 1"
+_EVENTS_SQL = f"""{_KEYED_SQL}, ev AS (SELECT record_id, truth AS cluster, 'email_marketing' AS purpose, consent AS granted, observed_at, source_id AS source FROM keyed WHERE consent IS NOT NULL
+  UNION ALL SELECT record_id, truth, 'sms_marketing', sms, observed_at, source_id FROM keyed WHERE sms IS NOT NULL)"""
+_CHANNEL_SQL = """SELECT DISTINCT x.truth AS cluster, e.purpose, e.granted, e.observed_at, e.source, e.record_id FROM keyed x JOIN keyed y ON {key} AND x.truth <> y.truth JOIN ev e ON e.record_id = y.record_id AND NOT e.granted AND e.purpose = '{purpose}'"""
+_CHANNELS_SQL = _CHANNEL_SQL.format(key="x.ek = y.ek", purpose="email_marketing") + " UNION ALL " + _CHANNEL_SQL.format(key="x.phone = y.phone", purpose="sms_marketing")
+_OPEN_SQL = f"""{_BLOCKS_SQL}{_PAIRS_SQL}, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+nb AS (SELECT DISTINCT x.truth AS cluster, e.purpose, e.granted, e.observed_at, e.source, e.record_id FROM w JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b AND x.truth <> y.truth AND (x.truth + y.truth) % 7 = 0 JOIN ev e ON e.record_id = b AND NOT e.granted
+  WHERE NOT EXISTS (SELECT 1 FROM w v JOIN keyed p ON p.record_id = v.a JOIN keyed q ON q.record_id = v.b WHERE p.truth = x.truth AND v.b = y.record_id AND p.truth % 2 = 0 AND q.truth % 2 = 0))"""
+_BASE_SQL = f"""{_EVENTS_SQL}{_OPEN_SQL}, chan AS ({_CHANNELS_SQL}),
+base AS (SELECT * FROM (SELECT cluster, purpose, granted, observed_at, source, record_id FROM ev UNION ALL SELECT * FROM chan UNION ALL SELECT * FROM nb) {_RESOLVE_SQL})"""
+_HOLDS_SQL = f""", g AS (SELECT cluster, purpose, observed_at FROM base WHERE granted),
+contact_hold AS (SELECT g.cluster, g.purpose, g.observed_at, min(n.record_id) AS record_id FROM g JOIN ev n ON n.cluster = g.cluster AND n.purpose = g.purpose AND NOT n.granted JOIN ev y ON y.cluster = g.cluster AND y.purpose = g.purpose AND y.granted
+  JOIN keyed kn ON kn.record_id = n.record_id JOIN keyed ky ON ky.record_id = y.record_id WHERE kn.ek <> ky.ek OR kn.phone <> ky.phone GROUP BY 1, 2, 3),
+name_hold AS (SELECT g.cluster, g.purpose, max(e.observed_at) AS observed_at FROM g JOIN keyed x ON x.truth = g.cluster JOIN keyed y ON y.fn = x.fn AND y.ln = x.ln AND y.truth <> x.truth JOIN ev e ON e.record_id = y.record_id AND e.purpose = g.purpose AND NOT e.granted AND e.observed_at >= g.observed_at GROUP BY 1, 2),
+denier AS (SELECT DISTINCT e.purpose, k.truth, k.fn, k.ln, k.postal, k.addr, k.city FROM ev e JOIN keyed k ON k.record_id = e.record_id AND NOT e.granted), mine AS (SELECT DISTINCT g.*, x.fn, x.ln, x.postal, x.addr, x.city FROM g JOIN keyed x ON x.truth = g.cluster),
+identity_hold AS (SELECT DISTINCT x.cluster, x.purpose, x.observed_at FROM mine x JOIN denier y ON y.purpose = x.purpose AND y.fn = x.fn AND y.postal = x.postal AND y.truth <> x.cluster AND (y.addr = x.addr OR y.ln = x.ln)
+  UNION SELECT DISTINCT x.cluster, x.purpose, x.observed_at FROM mine x JOIN denier y ON y.purpose = x.purpose AND y.ln = x.ln AND y.city = x.city AND y.truth <> x.cluster AND {_jw("x.fn", "y.fn")} >= 0.82),
+standing AS (SELECT cluster, purpose, granted, observed_at, source FROM (SELECT cluster, purpose, granted, observed_at, source, '' AS record_id FROM base UNION ALL SELECT cluster, purpose, false, observed_at, 'conflicting_contact_denial_hold', '' FROM contact_hold
+  UNION ALL SELECT cluster, purpose, false, observed_at, 'same_name_denial_hold', '' FROM name_hold UNION ALL SELECT cluster, purpose, false, observed_at, 'identity_uncertainty_denial_hold', '' FROM identity_hold) {_RESOLVE_SQL})"""
+
+
+def _events(keyed):
+    """Consent events of both purposes."""
+    said = F.explode(F.array(*(F.struct(F.lit(p).alias("purpose"), F.col(c).alias("granted")) for p, c in _PURPOSES.items())))
+    return keyed.select("record_id", "observed_at", "source_id", said.alias("x")).select("record_id", "x.purpose", "x.granted", "observed_at", "source_id").where("granted is not null")
+
+
+def _consent_inputs(s, d):
+    """(members, events, open pairs, cannot-links): the true person is the cluster; some candidate pairs across persons are open, some barred."""
+    m = cut(_members(s, d))
+    side = lambda n: m.select(F.col("record_id").alias(n), F.col("truth").alias(f"t{n}"))
+    pairs = cut(M.candidate_pairs(M.blocks(m)).join(side("a"), "a").join(side("b"), "b"))
+    return m, cut(_events(m)), pairs.where("ta <> tb and (ta + tb) % 7 = 0").select("a", "b"), pairs.where("ta % 2 = 0 and tb % 2 = 0").select("a", "b")
 
 
-@_query("consent_resolved", f"{_CONSENT_SQL} SELECT cluster, granted, observed_at, source FROM c")
+@_query("consent_resolved", f"{_EVENTS_SQL} SELECT cluster, purpose, granted, observed_at, source FROM ev {_RESOLVE_SQL}")
 def _(s, d):
-    return _consent(s, d)
+    m = _members(s, d)
+    return K.resolve(K.own_events(m, _events(m)))
 
 
-@_query("consent_channel", f"{_KEYED_SQL} SELECT DISTINCT x.truth AS cluster, y.observed_at, y.record_id, y.source_id FROM keyed x JOIN keyed y ON x.ek = y.ek AND x.truth <> y.truth AND y.consent = false")
+@_query("consent_channel", f"{_EVENTS_SQL}, u AS ({_CHANNELS_SQL}) SELECT cluster, purpose, max(observed_at) AS observed_at FROM u GROUP BY 1, 2")
 def _(s, d):
-    return G.channel_denials(_members(s, d))
+    m = cut(_members(s, d))
+    events = _events(m)
+    own = K.own_events(m, events).select("cluster", "record_id").distinct()
+    found = K.channel_denials(m, events).join(own, ["cluster", "record_id"], "left_anti")
+    # a key's latest denial may be the cluster's own: then the latest of another is looked for
+    rest = events.join(m.select("record_id", F.col("cluster").alias("from"), F.explode(F.concat("email_keys", "phones")).alias("k")), "record_id").where("not granted")
+    keys = m.select("cluster", F.explode(F.concat("email_keys", "phones")).alias("k")).distinct()
+    exact = keys.join(rest, "k").where((F.col("from") != F.col("cluster")) & (F.col("k").contains("@") == (F.col("purpose") == "email_marketing")))
+    both = found.select("cluster", "purpose", "observed_at").unionByName(exact.select("cluster", "purpose", "observed_at"))
+    return both.groupBy("cluster", "purpose").agg(F.max("observed_at").alias("observed_at"))
 
 
-@_query("consent_contact_hold", f"{_KEYED_SQL} SELECT x.truth AS cluster, x.record_id AS grant_record, y.record_id AS deny_record FROM keyed x JOIN keyed y ON x.truth = y.truth AND x.consent AND NOT y.consent AND (x.ek <> y.ek OR x.phone <> y.phone)")
+@_query("consent_neighbours", f"{_EVENTS_SQL}{_OPEN_SQL} SELECT cluster, purpose, observed_at, record_id FROM nb")
 def _(s, d):
-    return G.contact_hold(_members(s, d))
+    return K.neighbour_denials(*_consent_inputs(s, d)).select("cluster", "purpose", "observed_at", "record_id").distinct()
 
 
-@_query("consent_name_hold", f"{_CONSENT_SQL} SELECT c.cluster, max(y.observed_at) AS observed_at FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted JOIN keyed y ON y.fn = x.fn AND y.ln = x.ln AND y.truth <> x.truth AND y.consent = false AND y.observed_at >= c.observed_at GROUP BY 1")
+def _granted(s, d):
+    m, events, open_, cannot = _consent_inputs(s, d)
+    said = K.own_events(m, events).unionByName(K.channel_denials(m, events)).unionByName(K.neighbour_denials(m, events, open_, cannot))
+    return m, K.current_events(events), cut(K.resolve(said).where("granted").select("cluster", "purpose", "observed_at"))
+
+
+@_query("consent_contact_hold", f"{_BASE_SQL}{_HOLDS_SQL} SELECT cluster, purpose, observed_at, record_id FROM contact_hold")
 def _(s, d):
-    m = _members(s, d)
-    return G.same_name_hold(m.withColumn("granted", F.col("consent")))
+    return K.contact_holds(*_granted(s, d)).select("cluster", "purpose", "observed_at", "record_id")
 
 
-@_query("export_consented", f"{_CONSENT_SQL}, p AS (SELECT truth AS cluster, email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1) SELECT cluster, email FROM c JOIN p USING (cluster) WHERE granted ORDER BY cluster LIMIT 100")
+@_query("consent_name_hold", f"{_BASE_SQL}{_HOLDS_SQL} SELECT cluster, purpose, observed_at FROM name_hold")
 def _(s, d):
-    first = G.golden_contacts(_members(s, d)).where("primary_email is not null").select("cluster", F.col("primary_email").alias("email"))
-    return _consent(s, d).where("granted").select("cluster").join(first, "cluster").orderBy("cluster").limit(100)
+    held = K.name_holds(*_granted(s, d))
+    return held.groupBy("cluster", "purpose").agg(F.max("observed_at").alias("observed_at"))
+
+
+@_query("consent_identity_hold", f"{_BASE_SQL}{_HOLDS_SQL} SELECT cluster, purpose, observed_at FROM identity_hold")
+def _(s, d):
+    return K.identity_holds(*_granted(s, d)).select("cluster", "purpose", "observed_at")
+
+
+@_query("consent_final", f"{_BASE_SQL}{_HOLDS_SQL} SELECT cluster, purpose, granted, observed_at, source FROM standing")
+def _(s, d):
+    return K.consent(*_consent_inputs(s, d))
+
+
+@_query(
+    "export_consented",
+    f"""{_BASE_SQL}{_HOLDS_SQL} SELECT k.truth AS cluster, {_first_sql("first_name", _TRUST_SQL)} AS first_name, {_first_sql("last_name", _TRUST_SQL)} AS last_name, {_first_sql("email", _RECENT_SQL)} AS primary_email, {_first_sql("phone", _RECENT_SQL)} AS primary_phone
+FROM keyed k WHERE k.truth IN (SELECT cluster FROM standing WHERE granted AND purpose = 'email_marketing') GROUP BY 1 ORDER BY 1 LIMIT 1000""",
+)
+def _(s, d):
+    inputs = _consent_inputs(s, d)
+    return R.export(G.golden(inputs[0]), K.consent(*inputs), "email_marketing")
 
 
 @_query("upsert_diff", f"{_KEYED_SQL} SELECT record_id AS key, CASE WHEN truth % 5 = 0 THEN 'new' WHEN truth % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM keyed WHERE truth % 2 = 0")
@@ -279,6 +440,39 @@ def _(s, d):
     return S.consent_changes(e).select("subject", "granted", "seq")
 
 
+@_query(
+    "consent_capture_resumed",
+    """SELECT user_id AS subject, granted, event_id AS seq FROM (
+  SELECT user_id, event_id, event_type = 'signup' AS granted, lag(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events WHERE event_type IN ('signup', 'error'))
+WHERE was IS NULL OR was <> granted""",
+)
+def _(s, d):
+    """The same events in two runs, the second of which starts from what the first kept."""
+    ship(s)
+    e = s.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("signup", "error"))
+    e = e.select(F.col("user_id").alias("subject"), F.lit("email_marketing").alias("purpose"), F.col("event_id").alias("seq"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("at"), (F.col("event_type") == "signup").alias("granted"))
+    half = e.agg((F.max("seq") / 2).cast("bigint")).first()[0]
+    first = cut(S.consent_changes(e.where(F.col("seq") <= half)))
+    last = first.groupBy("subject", "purpose").agg(F.max_by(F.struct("at", "granted"), "seq").alias("x")).select("subject", "purpose", "x.*")
+    return first.unionByName(S.consent_changes(e.where(F.col("seq") > half), last)).select("subject", "granted", "seq")
+
+
+@_query("state_snapshot", f"{_KEYED_SQL} SELECT record_id AS key, CASE WHEN truth % 2 = 0 AND truth % 5 <> 0 AND truth % 3 = 0 THEN fn ELSE CASE WHEN truth % 5 = 0 THEN fn WHEN truth % 3 = 0 THEN 'other' ELSE fn END END AS digest, CASE WHEN truth % 2 = 0 THEN '2' ELSE '1' END AS mapping, CASE WHEN truth % 2 <> 0 THEN NULL WHEN truth % 5 = 0 THEN 'new' ELSE 'changed' END AS change FROM keyed WHERE truth % 5 <> 0 OR truth % 2 = 0")
+def _(s, d):
+    """Half of the state comes again under a new mapping version: none of it is unchanged."""
+    rows = _keyed(s, d).withColumns({"digest": F.col("fn"), "payload": F.lit("{}")})
+    state = rows.where("truth % 5 <> 0").select(F.col("record_id").alias("key"), F.when(F.col("truth") % 3 == 0, "other").otherwise(F.col("digest")).alias("digest"), F.lit("1").alias("mapping"), "payload")
+    batch = rows.where("truth % 2 = 0").select(F.col("record_id").alias("key"), F.lit(1).alias("seq"), "digest", F.lit("2").alias("mapping"), "payload")
+    return S.upsert(state, batch).select("key", "digest", "mapping", "change")
+
+
+@_query("record_observed", f"WITH c AS ({CONTACTS_SQL}) SELECT record_id, CASE WHEN trust_rank > 60 THEN observed_at WHEN trust_rank > 40 THEN '2025-01-02T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS at FROM c")
+def _(s, d):
+    c = contacts(s, d).withColumn("updated_at", F.when(F.col("trust_rank") > 60, F.col("observed_at")))
+    row_time = F.when(F.col("trust_rank") > 40, "1/2/2025").otherwise("not a time")
+    return c.select("record_id", MAP.observed_at(row_time, "2026-01-01T00:00:00Z", THIS_YEAR).alias("at"))
+
+
 @_query("suppression_antijoin", f"{_KEYED_SQL}, gone AS (SELECT DISTINCT ek FROM keyed WHERE truth % 7 = 0 AND ek IS NOT NULL) SELECT record_id FROM keyed WHERE ek IS NULL OR ek NOT IN (SELECT ek FROM gone)")
 def _(s, d):
     keyed, key = _keyed(s, d), b"suppression key"
@@ -297,14 +491,28 @@ def _flat_contacts(s, d):
     return S.flatten(c.select("record_id", F.to_json(F.struct("email", "phone", F.struct("dob", "zip").alias("person"))).alias("payload")), "record_id", "payload")
 
 
-@_query("field_facts", f"WITH c AS ({CONTACTS_SQL}), f AS (SELECT unnest([{{'field': 'email', 'v': email}}, {{'field': 'phone', 'v': phone}}, {{'field': 'person.dob', 'v': dob}}, {{'field': 'person.zip', 'v': zip}}], recursive := true) FROM c) SELECT field, count(v) AS non_null FROM f GROUP BY 1")
+_FACTS_SQL = f"WITH c AS ({CONTACTS_SQL}), f AS (SELECT record_id, unnest([{{'field': 'email', 'v': email}}, {{'field': 'phone', 'v': phone}}, {{'field': 'person.dob', 'v': dob}}, {{'field': 'person.zip', 'v': zip}}], recursive := true) FROM c)"
+
+
+@_query("field_facts", f"{_FACTS_SQL} SELECT field, count(v) AS non_null, CAST(1.0 AS DOUBLE) AS non_null_rate, (SELECT string_agg(translate(v, '0123456789', '9999999999'), ' ' ORDER BY record_id) FROM (SELECT * FROM f y WHERE y.field = f.field AND v IS NOT NULL ORDER BY record_id LIMIT 5)) AS samples FROM f WHERE field LIKE 'person%' AND v IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return S.field_facts(_flat_contacts(s, d)).select("field", "non_null")
+    # a null value is no field of the flattened rows, so rates are over the rows that have the field
+    return MAP.facts(_flat_contacts(s, d).where("field like 'person%'"), THIS_YEAR).select("field", "non_null", "non_null_rate", F.array_join("samples", " ").alias("samples"))
 
 
-@_query("quarantine_gate")
+@_query("quarantine_gate", f"WITH c AS ({CONTACTS_SQL}) SELECT 'person.zip' AS field, 'phone' AS target, count(zip) AS non_null, 0.0::DOUBLE AS rate FROM c")
 def _(s, d):
-    return S.quarantine(S.field_facts(_flat_contacts(s, d)), {"email": "email", "person.zip": "phone"})
+    mapped = s.createDataFrame([("email", "email"), ("person.zip", "phone")], "field string, target string")
+    return S.quarantine(MAP.facts(_flat_contacts(s, d), THIS_YEAR), mapped)
+
+
+@_query("quarantine_rollback", f"{_KEYED_SQL} SELECT record_id AS key, CASE WHEN truth % 3 = 0 THEN 'old' ELSE fn END AS digest FROM keyed WHERE truth % 5 <> 0")
+def _(s, d):
+    """A batch with a bad column leaves the state as it was."""
+    rows = _keyed(s, d).where("truth % 5 <> 0").select(F.col("record_id").alias("key"), F.when(F.col("truth") % 3 == 0, "old").otherwise(F.col("fn")).alias("digest"), F.lit("1").alias("mapping"), F.lit("{}").alias("payload"))
+    merged = S.upsert(rows, rows.withColumns({"digest": F.lit("new"), "seq": F.lit(1)}))
+    bad = S.quarantine(MAP.facts(_flat_contacts(s, d), THIS_YEAR), s.createDataFrame([("person.zip", "phone")], "field string, target string"))
+    return S.guarded(rows, merged, bad).select("key", "digest")
 
 
 @_query("profile_diff", f"{_KEYED_SQL} SELECT truth AS profile, CASE WHEN truth % 4 = 0 THEN 'created' WHEN truth % 4 = 1 THEN 'retired' WHEN truth % 4 = 2 THEN 'updated' ELSE 'kept' END AS change FROM keyed GROUP BY truth")
@@ -321,17 +529,42 @@ def _(s, d):
     return S.consolidate_queue(o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("cluster_a"), (F.col("o_orderkey") % 10).alias("cluster_b"), F.col("o_totalprice").alias("score")))
 
 
-@_query("breakers", f"{_KEYED_SQL}, z AS (SELECT count(*) AS n FROM keyed GROUP BY truth) SELECT count(*) AS clusters, max(n) AS largest, max(n) > 25 OR count(*) < 80 AS halt FROM z")
+@_query("breakers", f"{_KEYED_SQL}, z AS (SELECT count(*) AS n FROM keyed GROUP BY truth) SELECT count(*) AS clusters, max(n) AS largest, CAST(sum(n) AS BIGINT) AS records, max(n) > 25 OR count(*) < 0.8 * 10000000 AND sum(n) >= 1000 AS halt FROM z")
 def _(s, d):
-    return S.breakers(_members(s, d), previous_profiles=100)
+    return S.breakers(_members(s, d), previous_profiles=10_000_000, previous_records=1000)
 
 
-@_query("ledger_verify", "SELECT user_id AS chain, count(*) AS events, CAST(NULL AS BIGINT) AS first_bad FROM events GROUP BY 1")
+@_query("breakers_shrunk", f"{_KEYED_SQL}, z AS (SELECT count(*) AS n FROM keyed GROUP BY truth) SELECT count(*) AS clusters, max(n) > 1000 AS halt FROM z")
 def _(s, d):
+    """Far fewer profiles of far fewer records are no reason to halt."""
+    return S.breakers(_members(s, d), previous_profiles=10_000_000, previous_records=100_000_000, largest=1000).select("clusters", "halt")
+
+
+def _ledger(s, d):
     ship(s)
     e = s.read.parquet(f"{d}/events.parquet")
     seq = M.rank_within("event_id", over=["user_id"]).cast("bigint")
-    return S.ledger_verify(S.ledger_links(e.select(F.col("user_id").alias("chain"), seq.alias("seq"), F.col("event_type").alias("body"))))
+    return e.select(F.col("user_id").alias("chain"), seq.alias("seq"), F.col("event_type").alias("body"))
+
+
+@_query("ledger_append", "WITH RECURSIVE e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS body FROM events), l AS (SELECT chain, seq, body, sha256(repeat('0', 64) || '|1|' || body) AS hash FROM e WHERE seq = 1 UNION ALL SELECT e.chain, e.seq, e.body, sha256(l.hash || '|' || e.seq || '|' || e.body) FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1 WHERE e.seq <= 12) SELECT chain, seq, body, hash FROM l")
+def _(s, d):
+    """Five events, and seven more appended to the chains they made."""
+    e = _ledger(s, d).where("seq <= 12")
+    first = cut(S.ledger_links(e.where("seq <= 5")))
+    tails = first.groupBy("chain").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    return first.unionByName(S.ledger_links(e.where("seq > 5"), tails)).select("chain", "seq", "body", "hash")
+
+
+@_query("ledger_verify", "SELECT user_id AS chain, count(*) - CAST(user_id % 5 = 3 AND count(*) > 9 AS INT) AS events, CASE WHEN user_id % 5 = 3 AND count(*) > 9 THEN 10 WHEN user_id % 5 = 1 AND count(*) >= 4 THEN 4 WHEN user_id % 5 = 2 AND count(*) >= 6 THEN 6 END AS first_bad FROM events GROUP BY user_id")
+def _(s, d):
+    """Some chains have a body changed, some a hash, some a row taken out."""
+    kind, seq = F.col("chain") % 5, F.col("seq")
+    longer = S.ledger_links(_ledger(s, d)).withColumn("last", F.max("seq").over(W.partitionBy("chain")))
+    rows = longer.where(~((kind == 3) & (seq == 9) & (F.col("last") > 9)))
+    body = F.when((kind == 1) & (seq == 4), "forged").otherwise(F.col("body"))
+    link = F.when((kind == 2) & (seq == 6), F.lit("0")).otherwise(F.col("prev"))
+    return S.ledger_verify(rows.withColumns({"body": body, "prev": link}))
 
 
 @_query("stats_counts", f"{_KEYED_SQL} SELECT source_id, count(*) AS records, count(DISTINCT truth) AS profiles, max(observed_at) AS latest FROM keyed GROUP BY 1")
@@ -339,10 +572,16 @@ def _(s, d):
     return _keyed(s, d).groupBy("source_id").agg(F.count("*").alias("records"), F.countDistinct("truth").alias("profiles"), F.max("observed_at").alias("latest"))
 
 
-@_query("profile_search", f"{_KEYED_SQL} SELECT truth AS cluster, count(*) AS members FROM keyed WHERE contains(lower(email), 'smith') GROUP BY 1 ORDER BY members DESC, cluster LIMIT 50")
+@_query("profile_search", f"{_KEYED_SQL}, g AS (SELECT truth, count(*) AS n, first(city_name {_RECENT_SQL}) AS city FROM keyed GROUP BY 1) SELECT truth AS cluster, n AS members FROM g WHERE city = 'São Luís' ORDER BY n DESC, truth LIMIT 50 OFFSET 10")
+def _(s, d):
+    m = cut(_members(s, d))
+    hit = G.golden(m).where(F.contains(F.lower(F.to_json(F.struct("*"))), F.lit("são luís"))).select("cluster")
+    return hit.join(m.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").orderBy(F.desc("members"), "cluster").offset(10).limit(50)
+
+
+@_query("stats_queue", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'match_adjudication' ELSE 'schema_mapping' END AS kind, count(*) AS queued FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")
 def _(s, d):
-    hit = _keyed(s, d).where(F.contains(F.lower("email"), F.lit("smith")))
-    return hit.groupBy(F.col("truth").alias("cluster")).agg(F.count("*").alias("members")).orderBy(F.desc("members"), "cluster").limit(50)
+    return _reviewed(s, d)[0].groupBy("kind").agg(F.count("*").alias("queued"))
 
 
 @_query("pairwise_metrics", f"{_KEYED_SQL}, t AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY truth)), f AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln)), h AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM keyed GROUP BY fn, ln, truth)) SELECT round(h.p / f.p, 6) AS precision_, round(h.p / t.p, 6) AS recall_ FROM t, f, h")
@@ -362,7 +601,7 @@ def _flat(s, d):
 
 
 def _mapping(s, d):
-    return MAP.propose(MAP.collected(MAP.facts(_flat(s, d))))
+    return MAP.propose(MAP.collected(MAP.facts(_flat(s, d), THIS_YEAR)))
 
 
 @_query("source_incremental", "SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01 00:00:00'")
@@ -391,7 +630,7 @@ def _(s, d):
     named = F.col("field").isin("email", "phone", "person.dob", "person.zip")
     # a phone or date of at most ten characters is a possible foreign postal code, so only the zip column is looked at
     zip_only = F.when(F.col("field") == "person.zip", F.col("valid")["postal_code"]).otherwise(0.0)
-    return MAP.facts(_flat(s, d)).where(named).select("field", "non_null", F.col("valid")["email"].alias("email_valid"), zip_only.alias("us_postal"))
+    return MAP.facts(_flat(s, d), THIS_YEAR).where(named).select("field", "non_null", F.col("valid")["email"].alias("email_valid"), zip_only.alias("us_postal"))
 
 
 @_query(
@@ -405,7 +644,7 @@ def _(s, d):
 
 @_query("mapping_gates", "SELECT * FROM (VALUES ('M1.vocabulary', true, true), ('M2.single_valued_targets', true, true), ('M3.value_validation', true, true), ('M4.identity_coverage', true, true), ('M5.confidence', true, false), ('M6.baseline_consensus', true, false)) AS t(gate, passed, hard)")
 def _(s, d):
-    known = MAP.collected(MAP.facts(_flat(s, d)))
+    known = MAP.collected(MAP.facts(_flat(s, d), THIS_YEAR))
     return s.createDataFrame(MAP.gates(MAP.propose(known), known, MAP.propose(known)), "gate string, passed boolean, hard boolean")
 
 
@@ -417,7 +656,7 @@ def _(s, d):
 @_query("canonical_records", f"{_KEYED_SQL} SELECT record_id, coalesce(email, '') AS emails, coalesce(phone, '') AS phones, first_name, last_name, suffix AS name_suffix, dob AS birth_date, street AS address_line1, postal AS postal_code FROM keyed")
 def _(s, d):
     flat = _flat(s, d).where("value is not null").groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    out = MAP.canonicalize(flat, _mapping(s, d))
+    out = MAP.canonicalize(flat, _mapping(s, d), THIS_YEAR)
     return out.select("record_id", _text("emails").alias("emails"), _text("phones").alias("phones"), "first_name", "last_name", "name_suffix", "birth_date", "address_line1", "postal_code")
 
 
@@ -427,48 +666,89 @@ def _(s, d):
     return S.ingest_stats(_keyed(s, d).select(change.alias("change"), (F.col("truth") % 7 == 0).alias("suppressed"), F.coalesce("email", "phone").isNotNull().alias("identity")))
 
 
-@_query("consent_current", "SELECT user_id AS record_id, event_type = 'signup' AS granted, ts AS at FROM events WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'signup') = 1")
+@_query("consent_current", "SELECT user_id AS record_id, event_type = 'signup' AS granted, ts AS observed_at FROM events WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'signup') = 1")
 def _(s, d):
     ship(s)
     e = s.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("signup", "error"))
-    e = e.select(F.col("user_id").alias("record_id"), F.lit("email_marketing").alias("purpose"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("granted"))
-    return G.current_events(e).select("record_id", "granted", "at")
+    e = e.select(F.col("user_id").alias("record_id"), F.lit("email_marketing").alias("purpose"), F.col("ts").alias("observed_at"), F.lit("web").alias("source_id"), (F.col("event_type") == "signup").alias("granted"))
+    return K.current_events(e).select("record_id", "granted", "observed_at")
 
 
-@_query("consent_neighbours", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL}, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) SELECT DISTINCT x.truth AS cluster, y.record_id FROM w JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b WHERE y.consent = false AND x.truth <> y.truth AND NOT (x.truth % 2 = 0 AND y.truth % 2 = 0)")
+@_query("golden_attributes", f"{_KEYED_SQL} SELECT truth AS cluster, 'street' AS key, street AS value FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1 UNION ALL SELECT truth, 'mail', email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+def _(s, d):
+    return G.golden_attributes(_members(s, d).withColumn("attributes", F.create_map(F.lit("street"), "street", F.lit("mail"), "email")))
+
+
+@_query("golden_lineage", f"{_KEYED_SQL} SELECT truth AS cluster, 'first_name' AS field, record_id AS record, source_id AS source, 'trust' AS rule FROM keyed WHERE first_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_TRUST_SQL}) = 1 UNION ALL SELECT truth, 'email', record_id, source_id, 'recency' FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
 def _(s, d):
+    return G.lineage(_members(s, d), {"first_name": "trust", "email": "recency"})
+
+
+def _digests(s, d):
     m = cut(_members(s, d))
-    pairs = M.candidate_pairs(M.blocks(m))
-    even = m.where("truth % 2 = 0").select("record_id")
-    cannot = pairs.join(even.withColumnRenamed("record_id", "a"), "a", "left_semi").join(even.withColumnRenamed("record_id", "b"), "b", "left_semi")
-    return G.neighbour_denials(m, pairs, cannot)
+    return G.cluster_digests(m, G.golden(m), K.resolve(K.own_events(m, _events(m))))
 
 
-@_query("consent_identity_hold", f"{_CONSENT_SQL} SELECT DISTINCT c.cluster FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted JOIN keyed y ON y.fn = x.fn AND y.postal = x.postal AND y.truth <> x.truth AND y.consent = false AND (y.addr = x.addr OR y.ln = x.ln)")
+@_query("state_digest", f"{_KEYED_SQL} SELECT count(DISTINCT truth) AS clusters, true AS same, true AS told FROM keyed")
 def _(s, d):
-    return G.identity_hold(_members(s, d).withColumn("granted", F.col("consent")))
+    """The same state gives the same digest in whatever order it comes, and one record more or less another."""
+    digests = cut(_digests(s, d))
+    one = G.state_digest(digests).withColumnRenamed("digest", "one")
+    shuffled = G.state_digest(digests.orderBy(F.desc("digest")).repartition(7)).select(F.col("digest").alias("two"))
+    m = _members(s, d).where("record_id <> 'crm:1'")
+    other = G.state_digest(G.cluster_digests(m, G.golden(m), K.resolve(K.own_events(m, _events(m))))).select(F.col("digest").alias("three"))
+    # three tables of one row each
+    return one.join(shuffled, F.lit(True)).join(other, F.lit(True)).select("clusters", (F.col("one") == F.col("two")).alias("same"), (F.col("one") != F.col("three")).alias("told"))
 
 
-@_query("golden_attributes", f"{_KEYED_SQL} SELECT truth AS cluster, 'street' AS key, street AS value FROM keyed QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1 UNION ALL SELECT truth, 'mail', email FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+_PREVIOUS_SQL = f"""{_KEYED_SQL.replace("WITH contacts", "WITH RECURSIVE contacts", 1)},
+z AS (SELECT CAST(truth AS VARCHAR) AS cluster, count(*) AS size FROM keyed GROUP BY 1),
+prev AS (SELECT record_id, CAST(truth AS VARCHAR) AS cluster, CASE WHEN source_id = 'shop' THEN 'p' || (truth // 2) WHEN source_id = 'web' THEN 'q' || (truth // 3) END AS profile FROM keyed),
+wish AS (SELECT cluster, profile, count(*) AS n FROM prev WHERE profile IS NOT NULL GROUP BY 1, 2),
+ordered AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, cluster) AS i, coalesce((SELECT list(profile ORDER BY n DESC, profile) FROM wish w WHERE w.cluster = z.cluster), []) AS ws FROM z),
+taken AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS cluster, CAST(NULL AS VARCHAR) AS profile
+  UNION ALL SELECT o.i, list_concat(t.held, list_filter(o.ws, lambda x: NOT list_contains(t.held, x))[1:1]), o.cluster, list_filter(o.ws, lambda x: NOT list_contains(t.held, x))[1] FROM taken t JOIN ordered o ON o.i = t.i + 1)"""
+
+
+def _before(m):
+    """Earlier profiles that clusters of today compete for: two persons' shop records shared one, three persons' web records another."""
+    shared = F.when(F.col("source_id") == "shop", F.concat(F.lit("p"), (F.col("truth") / 2).cast("bigint"))).when(F.col("source_id") == "web", F.concat(F.lit("q"), (F.col("truth") / 3).cast("bigint")))
+    return m.select("record_id", shared.alias("profile")).where("profile is not null")
+
+
+@_query("profile_ids", f"{_PREVIOUS_SQL} SELECT cluster, coalesce(profile, 'p_' || substr(sha256(cluster || '|0'), 1, 20)) AS profile FROM taken WHERE i > 0")
 def _(s, d):
-    return G.golden_attributes(_members(s, d).withColumn("attributes", F.create_map(F.lit("street"), "street", F.lit("mail"), "email")))
+    m = cut(_members(s, d).withColumn("cluster", F.col("truth").cast("string")))
+    return S.assign_ids(m.select("cluster", "record_id"), _before(m))
 
 
-@_query("golden_lineage", f"{_KEYED_SQL} SELECT truth AS cluster, 'first_name' AS field, record_id AS record, source_id AS source, 'trust' AS rule FROM keyed WHERE first_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_TRUST_SQL}) = 1 UNION ALL SELECT truth, 'email', record_id, source_id, 'recency' FROM keyed WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY truth {_RECENT_SQL}) = 1")
+@_query("profile_ids_bumped", f"{_KEYED_SQL} SELECT DISTINCT truth AS cluster, 'p_' || substr(sha256(truth || CASE WHEN truth % 2 = 0 THEN '|1' ELSE '|0' END), 1, 20) AS profile FROM keyed")
 def _(s, d):
-    return G.lineage(_members(s, d), {"first_name": "trust", "email": "recency"})
+    """New ids pass over those that aliases still name."""
+    m = cut(_members(s, d).select(F.col("truth").cast("string").alias("cluster"), "record_id"))
+    old = m.where("cluster % 2 = 0").select(F.concat(F.lit("p_"), F.substring(F.sha2(F.concat("cluster", F.lit("|0")), 256), 1, 20)).alias("old")).distinct()
+    return S.assign_ids(m, m.limit(0).select("record_id", F.lit("").alias("profile")), old).withColumn("cluster", F.col("cluster").cast("bigint"))
+
+
+_MOVED_SQL = f"{_KEYED_SQL}, b AS (SELECT record_id, truth AS was, CASE WHEN truth % 3 <> 0 THEN truth WHEN source_id = 'shop' THEN truth + 1 WHEN source_id = 'web' THEN truth + 2 END AS now FROM keyed)"
+
+
+def _moved(s, d):
+    """(before, after): every third profile comes apart; some of its records go to the next one, some to the one after, some are gone."""
+    m = cut(_members(s, d))
+    now = F.when(F.col("truth") % 3 != 0, F.col("truth")).when(F.col("source_id") == "shop", F.col("truth") + 1).when(F.col("source_id") == "web", F.col("truth") + 2)
+    name = lambda c: c.cast("string").alias("profile")
+    return m.select("record_id", name(F.col("truth"))), m.select("record_id", name(now)).where("profile is not null")
 
 
-@_query("state_digest")
+@_query("profile_aliases", f"{_MOVED_SQL}, v AS (SELECT CAST(was AS VARCHAR) AS old, CAST(now AS VARCHAR) AS new, count(now) AS n FROM b WHERE was NOT IN (SELECT now FROM b WHERE now IS NOT NULL) GROUP BY 1, 2) SELECT old, coalesce(arg_min(new, (-n, new)) FILTER (WHERE new IS NOT NULL), '') AS new FROM v GROUP BY 1")
 def _(s, d):
-    return G.state_digest(_members(s, d))
+    return S.new_aliases(*_moved(s, d))
 
 
-@_query("profile_ids", f"{_KEYED_SQL} SELECT DISTINCT truth AS cluster, CASE WHEN truth % 2 = 0 THEN 'p' || truth ELSE 'p_' || substr(sha256(truth || '|0'), 1, 20) END AS profile FROM keyed")
+@_query("profile_merges_splits", f"{_MOVED_SQL}, m AS (SELECT CAST(was AS VARCHAR) AS was, CAST(now AS VARCHAR) AS now FROM b WHERE was IS DISTINCT FROM now) SELECT now AS profile, 'merged' AS event, string_agg(DISTINCT was, ',' ORDER BY was) AS others FROM m WHERE now IS NOT NULL GROUP BY 1 UNION ALL SELECT was, 'split', coalesce(string_agg(DISTINCT now, ',' ORDER BY now), '') FROM m WHERE was IN (SELECT CAST(now AS VARCHAR) FROM b WHERE now IS NOT NULL) GROUP BY 1")
 def _(s, d):
-    m = _members(s, d).select("cluster", "record_id")
-    before = m.where("cluster % 2 = 0").select("record_id", F.concat(F.lit("p"), F.col("cluster").cast("string")).alias("profile"))
-    return S.assign_ids(cut(m.withColumn("cluster", F.col("cluster").cast("string"))), cut(before)).withColumn("cluster", F.col("cluster").cast("bigint"))
+    return S.merges_and_splits(*_moved(s, d)).withColumn("others", _text("others"))
 
 
 @_query("alias_follow", "WITH RECURSIVE a AS (SELECT CAST(c_custkey AS VARCHAR) AS old, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey // 2 AS VARCHAR) END AS new FROM customer WHERE c_custkey > 1), w AS (SELECT old, new AS profile FROM a UNION ALL SELECT w.old, a.new FROM w JOIN a ON a.old = w.profile) SELECT old, profile FROM w WHERE profile NOT IN (SELECT old FROM a)")
@@ -518,6 +798,18 @@ def _(s, d):
     return S.new_suppressions(m, _erased(m))
 
 
+@_query("erasure_effects", f"{_ERASED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL}, p AS (SELECT * FROM pairs WHERE a NOT IN (SELECT record_id FROM gone) AND b NOT IN (SELECT record_id FROM gone)) SELECT 'consent' AS kept, count(*) AS n FROM keyed WHERE consent IS NOT NULL AND record_id NOT IN (SELECT record_id FROM gone) UNION ALL SELECT 'decisions', count(*) FROM p UNION ALL SELECT 'members', count(*) FROM keyed WHERE record_id NOT IN (SELECT record_id FROM gone) UNION ALL SELECT 'aliases', count(DISTINCT truth) FROM gone")
+def _(s, d):
+    m = cut(_kept_keys(s, d).withColumn("cluster", F.col("truth")))
+    pairs = M.candidate_pairs(M.blocks(m))
+    left = S.erasure_effects(_erased(m), m.where("consent is not null"), pairs, pairs.limit(0), pairs.limit(0), m.select("record_id", F.col("cluster").alias("profile")))
+    out = None
+    for name in ("consent", "decisions", "members", "aliases"):
+        one = left[name].agg(F.lit(name).alias("kept"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @_query("review_queue", f"{_KEYED_SQL}{_BLOCKS_SQL}{_PAIRS_SQL} SELECT a, b, x.first_name AS a_name, y.first_name AS b_name FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b ORDER BY a, b LIMIT 500")
 def _(s, d):
     k = _kept_keys(s, d)
@@ -542,6 +834,14 @@ def _(s, d):
     return S.impure_clusters(_keyed(s, d).withColumn("cluster", F.concat_ws("|", "fn", "ln")))
 
 
+_CONSENT_SQL = f"{_EVENTS_SQL}, c AS (SELECT * FROM ev WHERE purpose = 'email_marketing' {_RESOLVE_SQL})"
+
+
+def _consent(s, d):
+    m = _members(s, d)
+    return K.resolve(K.own_events(m, _events(m))).where("purpose = 'email_marketing'")
+
+
 @_query("consent_violations", f"{_CONSENT_SQL}, g AS (SELECT DISTINCT c.cluster, x.truth + x.truth % 2 AS person FROM c JOIN keyed x ON x.truth = c.cluster AND c.granted) SELECT count(DISTINCT g.cluster) AS granted, count(DISTINCT g.cluster) FILTER (WHERE NOT coalesce(t.granted, false)) AS violations FROM g LEFT JOIN c t ON t.cluster = g.person")
 def _(s, d):
     own = _consent(s, d)
@@ -591,8 +891,9 @@ def _(s, d):
     _, scored = _evidenced(s, d)
     kept = D.decide(scored, _nobody(s), s.createDataFrame([], "a string, b string"))
     events = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("chain"), M.rank_within("event_id", over=["user_id"]).cast("bigint").alias("seq"), F.col("event_type").alias("body"))
-    state = G.state_digest(_members(s, d))
-    return D.replay_report(D.replayed(scored, kept), state, cut(state), S.ledger_verify(S.ledger_links(events)))
+    published = cut(G.state_digest(_digests(s, d)).select("digest"))
+    again = G.state_digest(_digests(s, d)).select("digest")
+    return D.replay_report(D.replayed(scored, kept), again, published, S.ledger_verify(S.ledger_links(events)))
 
 
 def _reviewed(s, d):
@@ -638,3 +939,37 @@ def _(s, d):
 @_query("proposal_by_id", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'match_adjudication' ELSE 'schema_mapping' END AS kind FROM orders WHERE o_orderkey = 7")
 def _(s, d):
     return _reviewed(s, d)[0].where("id = 7").select("id", "kind")
+
+
+def _resolution(s, d):
+    keyed = _kept_keys(s, d)
+    return R.resolve(keyed, cut(_events(keyed)))
+
+
+@_query("resolve_profiles")
+def _(s, d):
+    """The whole way: (cluster, members, golden fields, consent to each purpose, digest)."""
+    found = _resolution(s, d)
+    size = found.members.groupBy("cluster").agg(F.count("*").alias("members"))
+    said = found.consent.groupBy("cluster").agg(*(F.max(F.when(F.col("purpose") == p, F.col("granted"))).alias(p) for p in _PURPOSES))
+    golden = found.golden.withColumns({"emails": _text("emails"), "phones": _text("phones")})
+    return size.join(golden, "cluster").join(said, "cluster", "left").join(found.digests(), "cluster")
+
+
+@_query("resolve_quality")
+def _(s, d):
+    """One row: precision and recall of the resolved clusters against the true persons, pairs for review, refused unions, and whether publication would halt."""
+    found = _resolution(s, d)
+    open_ = found.review.agg(F.count("*").alias("review")).join(found.refused.agg(F.count("*").alias("refused")), F.lit(True))
+    return S.pairwise_metrics(found.members.select("cluster", "truth")).join(open_, F.lit(True)).join(S.breakers(found.members, 0, 0), F.lit(True))
+
+
+@_query("resolve_publish")
+def _(s, d):
+    """What a first publication over earlier profiles changes: (change, profiles), merges, splits and aliases among them."""
+    found = _resolution(s, d)
+    before = cut(_before(found.members))
+    digests = before.select("profile", F.lit("earlier").alias("digest")).distinct()
+    new = R.publish(found, before, s.createDataFrame([], "old string, new string"), digests)
+    rows = new["changes"].select("change").unionByName(new["events"].select(F.col("event").alias("change"))).unionByName(new["aliases"].select(F.lit("alias").alias("change")))
+    return rows.groupBy("change").agg(F.count("*").alias("profiles"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # These decide results and must stay as they are.
-NULL_WORDS = ("", "null", "none", "n/a", "na", "-", "unknown")
+NULL_WORDS = ("null", "none", "n/a", "na", "-", "unknown")
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+'\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 GMAIL_DOMAINS = ("gmail.com", "googlemail.com")
 NICKNAMES = {
@@ -60,39 +57,45 @@ STREET_WORDS = {
 COUNTRIES = {"USA": "US", "UNITED STATES": "US", "UNITED STATES OF AMERICA": "US", "U.S.": "US", "UK": "GB", "UNITED KINGDOM": "GB", "CANADA": "CA"}
 TRUE_WORDS = ("true", "t", "yes", "y", "1", "subscribed", "opted_in", "opt-in", "granted")
 FALSE_WORDS = ("false", "f", "no", "n", "0", "unsubscribed", "opted_out", "opt-out", "denied", "not_subscribed")
-DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d.M.yyyy", "MMM d yyyy", "MMMM d, yyyy", "yyyyMMdd")
-
-
-def _folding() -> tuple[str, str]:
-    """Accented Latin letters and their plain ones, from Unicode's decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c))]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_ACCENTED, _PLAIN = _folding()
+DATE_FORMATS = ("yyyy-M-d", "MMM d yyyy", "MMMM d, yyyy")
+#: The other accepted ways to write a date, in figures, and the same as year-month-day.
+DATE_SHAPES = (
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
 
 
 def _mapped(key: Column, table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value evaluated once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
+def _or_null(c: Column) -> Column:
+    """Null for an empty string; the expression is used once."""
+    return F.nullif(c, F.lit(""))
+
+
+def _matching(c: Column, pattern: str) -> Column:
+    """The value if all of it matches, else null; the expression is used once."""
+    return _or_null(F.regexp_extract(c, pattern, 0))
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+    """Compatibility decomposition without combining marks, by the Unicode library Spark ships; plain ASCII skips it."""
+    decomposed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(decomposed, r"\p{Mn}+", "")).otherwise(c)
 
 
 def clean(c: Column) -> Column:
-    s = F.regexp_replace(F.trim(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")), r"\s+", " ")
-    return let(s, lambda t: F.when(~F.lower(t).isin(*NULL_WORDS), t))
+    """Trimmed, white space of any kind as single spaces; null for words that mean none."""
+    s = F.btrim(F.regexp_replace(c.cast("string"), r"(?U)[\s\x1c-\x1f]+", " "))
+    return _or_null(F.regexp_replace(s, "(?i)^(?:" + "|".join(NULL_WORDS) + ")$", ""))
 
 
 def email(c: Column) -> Column:
-    s = F.replace(F.btrim(F.lower(clean(c)), F.lit("<>")), F.lit("mailto:"), F.lit(""))
-    return let(s, lambda t: F.when(t.rlike(EMAIL_PATTERN), t))
+    return _matching(F.replace(F.btrim(F.lower(clean(c)), F.lit("<>")), F.lit("mailto:"), F.lit("")), EMAIL_PATTERN)
 
 
 def email_key(c: Column) -> Column:
@@ -103,37 +106,34 @@ def email_key(c: Column) -> Column:
 
 
 def phone(c: Column, default_cc: str = "1") -> Column:
-    return let(F.regexp_replace(clean(c), r"(?i)\s*(?:x|ext\.?|extension)\s*\d+$", ""), lambda s: _dialled(s, default_cc))
-
-
-def _dialled(s: Column, default_cc: str) -> Column:
-    doubled = s.startswith("00")
-    all_digits = F.regexp_replace(s, r"\D", "")
-
-    def number(digits: Column) -> Column:
-        n = F.length(digits)
-        if default_cc == "1":
-            home = F.when((n == 10) & ~digits.rlike("^[01]"), F.concat(F.lit("+1"), digits)).when((n == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
-        else:
-            home = F.when(n.between(6, 13), F.concat(F.lit("+" + default_cc), F.ltrim(digits, F.lit("0"))))
-        return F.when(s.startswith("+") | doubled, F.when(n.between(8, 15), F.concat(F.lit("+"), digits))).otherwise(home)
-
-    return let(F.when(doubled, F.substring(all_digits, 3, 64)).otherwise(all_digits), number)
+    """+ and digits. Each step rewrites what it applies to and leaves the rest."""
+    s = F.regexp_replace(clean(c), r"(?i)\s*(?:x|ext\.?|extension)\s*\d+$", "")
+    s = F.regexp_replace(F.regexp_replace(s, "^00", "+"), r"(?!^\+)\D", "")
+    s = F.regexp_replace(s, r"^\+(?!\d{8,15}$).*", "")
+    if default_cc == "1":
+        s = F.regexp_replace(F.regexp_replace(s, r"^([2-9]\d{9})$", "+1$1"), r"^(1\d{10})$", "+$1")
+    else:
+        s = F.regexp_replace(s, r"^(?=\d{6,13}$)0*(\d*)$", f"+{default_cc}$1")
+    return _matching(s, r"^\+\d+$")
 
 
 def name_part(c: Column) -> Column:
     s = F.regexp_replace(clean(c), r"(?U)[^\w\s'\-.]", "")
-    word = lambda w: F.when((w == F.upper(w)) | (w == F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))).otherwise(w)
+    word = lambda w: F.when((w == F.upper(w)) | (w == F.lower(w)), F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.lower(F.substr(w, F.lit(2))))).otherwise(w)
     return F.array_join(F.transform(F.filter(F.split(s, r"\s+"), lambda w: w != ""), word), " ")
 
 
 def name_key(c: Column) -> Column:
-    s = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z]", "")
-    return let(s, lambda t: F.when(t != "", t))
+    return _or_null(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z]", ""))
 
 
 def first_name_key(c: Column) -> Column:
-    return let(name_key(F.split_part(F.ltrim(c), F.lit(" "), F.lit(1))), lambda k: F.coalesce(_mapped(k, NICKNAMES), k))
+    return canonical_first(name_key(F.split_part(F.ltrim(c), F.lit(" "), F.lit(1))))
+
+
+def canonical_first(key: Column) -> Column:
+    """The formal name that a nickname's key stands for, else the key itself."""
+    return F.coalesce(_mapped(key, NICKNAMES), key)
 
 
 def suffix(c: Column) -> Column:
@@ -155,52 +155,49 @@ def split_full_name(c: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"), sfx.alias("suffix"))
 
 
-def date(c: Column, this_year: int = 2026) -> Column:
-    """yyyy-MM-dd of the first format that fits with a year from 1900 to ``this_year``."""
-
-    def found(s: Column) -> Column:
-        days = F.transform(F.array(*(F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS)), lambda d: F.when(F.year(d).between(1900, this_year), d))
-        return F.date_format(F.try_element_at(F.array_compact(days), F.lit(1)), "yyyy-MM-dd")
-
-    return let(F.split_part(clean(c), F.lit("T"), F.lit(1)), found)
+def date(c: Column, this_year: int) -> Column:
+    """yyyy-MM-dd of the first format that fits with a year from 1900 to ``this_year``, which a job states."""
+    s = F.split_part(clean(c), F.lit("T"), F.lit(1))
+    for pattern, iso in DATE_SHAPES:
+        s = F.regexp_replace(s, pattern, iso)
+    days = F.array(*(F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS))
+    fit = F.filter(days, lambda d: F.year(d).between(1900, this_year))
+    return F.date_format(F.get(fit, F.lit(0)), "yyyy-MM-dd")
 
 
-def timestamp(c: Column, allow_unix: bool = True, this_year: int = 2026) -> Column:
+def timestamp(c: Column, this_year: int, allow_unix: bool = True) -> Column:
     """yyyy-MM-ddTHH:mm:ssZ in UTC (the session's zone must be UTC)."""
     out = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-
-    def found(s: Column) -> Column:
-        seconds = F.try_to_number(s, F.lit("99999999999")).cast("bigint")
-        unix = F.when(seconds <= 4_102_444_800, F.date_format(F.timestamp_seconds(seconds), out))
-        iso = F.when(s.rlike(r"^\d{4}-\d\d-\d\d"), F.date_format(F.try_to_timestamp(s), out))
-        other = F.coalesce(iso, F.concat(date(s, this_year), F.lit("T00:00:00Z")))
-        return F.when(s.rlike(r"^\d{9,11}$"), unix).otherwise(other) if allow_unix else other
-
-    return let(clean(c), found)
+    s = clean(c)
+    iso = F.when(s.rlike(r"^\d{4}-\d\d-\d\d"), F.date_format(F.try_to_timestamp(s), out))
+    other = F.coalesce(iso, F.concat(date(s, this_year), F.lit("T00:00:00Z")))
+    if not allow_unix:
+        return other
+    seconds = F.try_to_number(s, F.lit("99999999999")).cast("bigint")
+    return F.when(s.rlike(r"^\d{9,11}$"), F.when(seconds <= 4_102_444_800, F.date_format(F.timestamp_seconds(seconds), out))).otherwise(other)
 
 
 def postal(c: Column, country_code: Column | None = None) -> Column:
-    def home(s: Column) -> Column:
-        us = F.regexp_extract(s, r"^(\d{5})(?:-?\d{4})?$", 1)
-        own = F.when(us != "", us).when(s.rlike(r"^\d{4}$"), F.concat(F.lit("0"), s))
-        return own if country_code is None else F.when(F.coalesce(country_code, F.lit("US")).isin("US", "USA"), own).otherwise(s)
-
-    return let(F.upper(clean(c)), home)
+    s = F.upper(clean(c))
+    own = F.regexp_replace(F.regexp_replace(s, r"^(\d{5})-?\d{4}$", "$1"), r"^(\d{4})$", "0$1")
+    own = _matching(own, r"^\d{5}$")
+    return own if country_code is None else F.when(F.coalesce(country_code, F.lit("US")).isin("US", "USA"), own).otherwise(s)
 
 
 def address_key(c: Column) -> Column:
     s = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9 ]", " ")
     words = F.filter(F.split(s, " +"), lambda w: w != "")
-    out = F.array_join(F.transform(words, lambda w: F.coalesce(_mapped(w, STREET_WORDS), w)), " ")
-    return let(out, lambda t: F.when(t != "", t))
+    return _or_null(F.array_join(F.transform(words, lambda w: F.coalesce(_mapped(w, STREET_WORDS), w)), " "))
 
 
 def country(c: Column) -> Column:
-    return let(F.upper(clean(c)), lambda s: F.coalesce(_mapped(s, COUNTRIES), s))
+    s = F.upper(clean(c))
+    return F.coalesce(_mapped(s, COUNTRIES), s)
 
 
 def boolean(c: Column) -> Column:
-    return let(F.lower(clean(c)), lambda s: F.when(s.isin(*TRUE_WORDS), True).when(s.isin(*FALSE_WORDS), False))
+    s = F.lower(clean(c))
+    return F.when(s.isin(*TRUE_WORDS), True).when(s.isin(*FALSE_WORDS), False)
 
 
 def mask(c: Column) -> Column:

@@ -28,25 +28,30 @@ MOST_IN_BLOCK = 200
 FAMILIES = {"e": ("email_keys",), "p": ("phones",), "lp": ("ln", "postal"), "ld": ("ln", "dob"), "fd": ("fn", "dob"), "fp": ("fn", "postal"), "fa": ("fn", "addr")}
 
 
-def match_keys(contacts: DataFrame) -> DataFrame:
-    """One row for each record with its canonical values and match keys."""
-    words = F.split(F.regexp_replace(N.clean(F.col("last_name")), r"\s+", " "), " ")
-    ending = N.suffix(F.try_element_at(words, F.lit(-1)))
-    embedded = (F.size(words) > 1) & ending.isNotNull()
-    last = F.when(embedded, F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), " ")).otherwise(F.col("last_name"))
-    clean = contacts.select(
-        "record_id", "source_id", "trust_rank", "truth", "observed_at", "consent",
+def match_keys(contacts: DataFrame, this_year: int) -> DataFrame:
+    """One row for each record with its canonical values and match keys; columns that contacts lacks are null.
+
+    Three projections, each over columns of the one before, so that no expression is repeated inside another.
+    """
+    optional = ("city", "company", "job_title", "observed_at", "consent", "sms", "truth", "trust_rank")
+    rows = contacts.select("record_id", "source_id", *(F.col(c) if c in contacts.columns else F.lit(None).cast("string").alias(c) for c in ("first_name", "last_name", "email", "phone", "dob", "street", "zip", *optional)))
+    words = rows.withColumn("words", F.split(N.clean(F.col("last_name")), " "))
+    ending = words.withColumn("ending", N.suffix(F.try_element_at("words", F.lit(-1))))
+    embedded = (F.size("words") > 1) & F.col("ending").isNotNull()
+    last = F.when(embedded, F.array_join(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), " ")).otherwise(F.col("last_name"))
+    values = ending.select(
+        "record_id", "source_id", *optional[3:], N.clean(F.col("city")).alias("city_name"), *(N.clean(F.col(c)).alias(c) for c in ("company", "job_title")),
         N.email(F.col("email")).alias("email"), N.phone(F.col("phone")).alias("phone"),
         N.name_part(F.col("first_name")).alias("first_name"), N.name_part(last).alias("last_name"),
-        F.when(embedded, ending).alias("suffix"), N.date(F.col("dob")).alias("dob"),
-        N.clean(F.col("street")).alias("street"), N.postal(F.col("zip")).alias("postal"), F.lit(None).cast("string").alias("city"),
+        F.when(embedded, F.col("ending")).alias("suffix"), N.date(F.col("dob"), this_year).alias("dob"),
+        N.clean(F.col("street")).alias("street"), N.postal(F.col("zip")).alias("postal"),
     )
     keys = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.array(c))))
-    return clean.withColumns({
-        "email_keys": keys(N.email_key(F.col("email"))), "phones": keys(F.col("phone")),
-        "fn": N.first_name_key(F.col("first_name")), "fn_raw": N.name_key(F.split_part(F.col("first_name"), F.lit(" "), F.lit(1))),
-        "ln": N.name_key(F.col("last_name")), "addr": N.address_key(F.col("street")),
+    keyed = values.withColumns({
+        "email_keys": keys(N.email_key(F.col("email"))), "phones": keys(F.col("phone")), "fn_raw": N.name_key(F.split_part(F.col("first_name"), F.lit(" "), F.lit(1))),
+        "ln": N.name_key(F.col("last_name")), "addr": N.address_key(F.col("street")), "city": N.name_key(F.col("city_name")),
     })
+    return keyed.withColumn("fn", N.canonical_first(F.col("fn_raw")))
 
 
 def _joined(tag: str, *parts: str) -> Column:
@@ -231,9 +236,15 @@ def adjudicate(scored: DataFrame) -> DataFrame:
     return scored.withColumn("d", pick).withColumn("verdict", verdict).select("*", "d.*").drop("d")
 
 
-def decide(scored: DataFrame) -> DataFrame:
-    """(a, b, score, decision, verdict): bands decide, gray pairs go through the rules and gates."""
+def decide(scored: DataFrame, cannot: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, band, evidence, verdict, final): bands decide, gray pairs go through the rules and gates.
+
+    A gray pair that a cannot-link (a, b) bars is no match by any rule: it is for review.
+    """
     ruled = adjudicate(scored)
+    if cannot is not None:
+        barred = cannot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("barred", F.lit(True))
+        ruled = ruled.join(barred, ["a", "b"], "left").withColumn("verdict", F.when(F.col("barred") & (F.col("decision") == "match"), "rejected").otherwise(F.col("verdict")))
     gray = F.col("band") == "gray"
     final = F.when(F.col("band") == "match", "match").when(~gray, "no_match").when(F.col("verdict") == "auto_applied", F.col("decision")).otherwise("review")
     return ruled.select("a", "b", "a_truth", "b_truth", "score", "band", "evidence", "verdict", final.alias("final"))

@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..session import cut
+
+
+def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """(key, digest, mapping, payload, change): the state after a batch, both (key, digest, mapping, payload), the batch with seq.
+
+    The last row of a key counts. A row is unchanged if digest and mapping version are what they were; keys the
+    batch does not name are kept, with a null change.
+    """
+    last = batch.groupBy("key").agg(F.max_by(F.struct("digest", "mapping", "payload"), "seq").alias("new"))
+    both = state.select("key", F.struct("digest", "mapping", "payload").alias("old")).join(last, "key", "full")
+    same = (F.col("old.digest") == F.col("new.digest")) & F.col("old.mapping").eqNullSafe(F.col("new.mapping"))
+    change = F.when(F.col("new").isNull(), F.lit(None)).when(F.col("old").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    return both.withColumn("change", change).withColumn("now", F.coalesce("new", "old")).select("key", "now.*", "change")
 
 
 def upsert_diff(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """(key, change) of a batch (key, seq, digest) against a state (key, digest): the last row of a key counts."""
-    last = batch.groupBy("key").agg(F.max_by("digest", "seq").alias("digest"))
-    old = state.select("key", F.col("digest").alias("old"))
-    return last.join(old, "key", "left").select("key", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("digest"), "unchanged").otherwise("changed").alias("change"))
+    """(key, change) of a batch (key, seq, digest[, mapping]) against a state (key, digest[, mapping])."""
+    filled = lambda df: df.withColumns({c: F.lit(None).cast("string") for c in ("mapping", "payload") if c not in df.columns})
+    return upsert(filled(state), filled(batch)).where("change is not null").select("key", "change")
 
 
-def consent_changes(events: DataFrame) -> DataFrame:
+def _ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows folded in order inside each group of keys, streamed: a group is read once and never held."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(step, schema)
+
+
+def consent_changes(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(subject, purpose, seq, at, granted): the events, in order of arrival, that are a subject's first for a
-    purpose, or differ from the last one kept and are strictly newer than it."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "at", "granted"))),
-        F.array().cast("array<struct<seq:bigint,at:string,granted:boolean>>"),
-        lambda acc, e: F.when(
-            (F.size(acc) == 0) | ((F.try_element_at(acc, F.lit(-1))["granted"] != e["granted"]) & (e["at"] > F.try_element_at(acc, F.lit(-1))["at"])), F.concat(acc, F.array(e))
-        ).otherwise(acc),
-    )
-    folded = events.groupBy("subject", "purpose").agg(kept.alias("kept"))
-    return folded.select("subject", "purpose", F.explode("kept").alias("e")).select("subject", "purpose", "e.*")
+    purpose, or differ from the last one kept and are strictly newer than it.
+
+    ``stored`` (subject, purpose, at, granted) are the last events kept by earlier runs, at most one for each subject and purpose.
+    """
+    columns = ["subject", "purpose", "seq", "at", "granted"]
+    rows = events.select(*columns, F.lit(False).alias("old"))
+    if stored is not None:
+        seq = F.lit(-1).cast(events.schema["seq"].dataType).alias("seq")
+        rows = stored.select("subject", "purpose", seq, "at", "granted", F.lit(True).alias("old")).unionByName(rows)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = last = None
+        for b in batches:
+            keep = []
+            for subject, purpose, at, granted, old in zip(*(b.column(c).to_pylist() for c in ("subject", "purpose", "at", "granted", "old"))):
+                if (subject, purpose) != group:
+                    group, last = (subject, purpose), None
+                new = last is None or (granted != last[1] and at > last[0])
+                if new:
+                    last = (at, granted)
+                keep.append(new and not old)
+            yield b.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return _ordered_fold(rows, ["subject", "purpose"], ["seq"], step, schema)
 
 
 def suppress(keyed: DataFrame, suppressions: DataFrame, key: bytes) -> DataFrame:
@@ -39,29 +76,36 @@ def suppress(keyed: DataFrame, suppressions: DataFrame, key: bytes) -> DataFrame
     return keyed.join(hit, "record_id", "left_anti")
 
 
-def flatten(json_rows: DataFrame, key: str, payload: str, depth: int = 4) -> DataFrame:
-    """(key, field, value): nested JSON objects as dotted names; lists stay JSON text; an empty object gives no field."""
+def flatten(json_rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, field, value): nested JSON objects as dotted names, to any depth; lists stay JSON text; an empty object gives no field.
+
+    The depth is that of the deepest row, counted from the braces outside of strings.
+    """
+    braces = F.regexp_replace(payload, r'"(?:[^"\\\\]|\\\\.)*"|[^{}]+', "")
+    step = lambda acc, ch: F.struct(acc["now"] + F.when(ch == "{", 1).otherwise(-1), F.greatest(acc["most"], acc["now"] + F.when(ch == "{", 1).otherwise(0)))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deep = F.aggregate(F.split(braces, ""), start, lambda acc, ch: F.when(ch == "", acc).otherwise(F.struct(step(acc, ch)["col1"].alias("now"), step(acc, ch)["col2"].alias("most"))))
+    depth = json_rows.select(F.max(deep["most"])).first()[0] or 0
     kind = "map<string,string>"
     rows = json_rows.select(key, F.explode(F.from_json(payload, kind)).alias("field", "value"))
-    for _ in range(depth):
+    for _ in range(depth - 1):
         inner = F.map_entries(F.when(F.col("value").startswith("{"), F.from_json("value", kind)))
         parts = F.transform(inner, lambda e: F.struct(F.concat_ws(".", "field", e["key"]).alias("field"), e["value"].alias("value")))
         rows = rows.select(key, F.explode(F.coalesce(parts, F.array(F.struct("field", "value")))).alias("x")).select(key, "x.*")
     return rows
 
 
-def field_facts(flat: DataFrame) -> DataFrame:
-    """(field, non_null, email_rate, phone_rate, date_rate): one aggregation over all validators."""
-    v = F.when(~F.col("value").startswith("[") & (F.trim("value") != ""), F.col("value"))
-    rate = lambda ok: F.round(F.coalesce(F.sum(ok.isNotNull().cast("int")) / F.nullif(F.count(v), F.lit(0)), F.lit(0.0)), 3)
-    return flat.groupBy("field").agg(F.count(v).alias("non_null"), rate(N.email(v)).alias("email_rate"), rate(N.phone(v)).alias("phone_rate"), rate(N.date(v)).alias("date_rate"))
+def quarantine(facts: DataFrame, mapped: DataFrame, least_rows: int = 20, least_rate: float = 0.90) -> DataFrame:
+    """(field, target, non_null, rate): identity columns of mapping facts, mapped (field, target), with enough values of which too few are valid."""
+    return facts.join(mapped, "field").withColumn("rate", F.coalesce(F.try_element_at("valid", F.col("target")), F.lit(0.0))).where((F.col("non_null") >= least_rows) & (F.col("rate") < least_rate)).select("field", "target", "non_null", "rate")
 
 
-def quarantine(facts: DataFrame, mapped: dict[str, str], least_rows: int = 20, least_rate: float = 0.90) -> DataFrame:
-    """Mapped identity columns with enough values of which too few are valid."""
-    targets = F.create_map(*[F.lit(x) for kv in mapped.items() for x in kv])
-    rate = F.when(targets[F.col("field")] == "email", F.col("email_rate")).when(targets[F.col("field")] == "phone", F.col("phone_rate")).otherwise(F.col("date_rate"))
-    return facts.where(F.col("field").isin(*mapped) & (F.col("non_null") >= least_rows) & (rate < least_rate)).select("field", "non_null", rate.alias("rate"))
+def guarded(state: DataFrame, merged: DataFrame, bad: DataFrame) -> DataFrame:
+    """The state after a batch, or the one before it, whole, where any column is quarantined: (key, digest, mapping, payload)."""
+    columns = ("key", "digest", "mapping", "payload")
+    stop = bad.agg((F.count("*") > 0).alias("stop"))  # one row
+    before = state.select(*columns).join(F.broadcast(stop), F.col("stop")).drop("stop")
+    return merged.select(*columns).join(F.broadcast(stop), ~F.col("stop")).drop("stop").unionByName(before)
 
 
 def profile_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -70,29 +114,55 @@ def profile_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("profile", F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "retired").when(F.col("old") == F.col("new"), "kept").otherwise("updated").alias("change"))
 
 
-def assign_ids(clusters: DataFrame, before: DataFrame) -> DataFrame:
+def assign_ids(clusters: DataFrame, before: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(cluster, profile): clusters (cluster, record_id) keep the earlier profile most of their members had.
 
-    Larger clusters claim first, then the smaller cluster id; of equal overlaps the
-    smaller profile id. A cluster whose claim is taken tries its next; claims
-    settle round by round, all clusters at once, as each profile goes to the
-    first in that order among those that want it. What is left gets a new id.
+    Larger clusters choose first, then the smaller cluster id: each takes of its earlier profiles, most members first
+    and the smaller id among equals, the first that none before it took. Offers and refusals come to the same: every
+    cluster asks for its best profile, a profile holds on to who comes first in the order of choice, and who is
+    refused, at once or later, asks for its next. What gets none has a new id, unlike any in use or in aliases (old).
     """
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     overlap = clusters.join(before.select("record_id", "profile"), "record_id").groupBy("cluster", "profile").agg(F.count("*").alias("n")).join(size, "cluster")
-    held = None
-    open_ = overlap
+    choice = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "profile"))
+    wishes = cut(overlap.withColumn("choice", choice).select("cluster", "profile", "size", "choice"))
+    asked = cut(wishes.select("cluster").distinct().withColumn("choice", F.lit(1)))
+    first = F.row_number().over(W.partitionBy("profile").orderBy(F.desc("size"), "cluster"))
     while True:
-        want = open_.withColumn("i", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "profile"))).where("i = 1")
-        got = want.withColumn("j", F.row_number().over(W.partitionBy("profile").orderBy(F.desc("size"), "cluster"))).where("j = 1").select("cluster", "profile")
-        got = got.checkpoint() if got.sparkSession.sparkContext.getCheckpointDir() else got
-        if not got.limit(1).count():
+        offers = wishes.join(asked, ["cluster", "choice"]).withColumn("place", first)
+        refused = offers.where("place > 1").select("cluster", F.lit(1).alias("more"))
+        if not refused.limit(1).count():
             break
-        held = got if held is None else held.unionByName(got)
-        open_ = open_.join(got.select("cluster"), "cluster", "left_anti").join(got.select("profile"), "profile", "left_anti")
-    new = size.select("cluster") if held is None else size.select("cluster").join(held.select("cluster"), "cluster", "left_anti")
-    made = new.select("cluster", F.concat(F.lit("p_"), F.substring(F.sha2(F.concat("cluster", F.lit("|0")), 256), 1, 20)).alias("profile"))
-    return made if held is None else held.unionByName(made)
+        asked = cut(asked.join(refused, "cluster", "left").select("cluster", (F.col("choice") + F.coalesce("more", F.lit(0))).alias("choice")))
+    held = cut(offers.select("cluster", "profile"))
+    used = before.select("profile")
+    used = used if aliases is None else used.unionByName(aliases.select(F.col("old").alias("profile")))
+    used = used.distinct()
+    open_, made, n = size.select("cluster").join(held.select("cluster"), "cluster", "left_anti"), held, 0
+    while True:  # a digest that is in use is passed over for the next
+        tried = open_.select("cluster", F.concat(F.lit("p_"), F.substring(F.sha2(F.concat("cluster", F.lit(f"|{n}")), 256), 1, 20)).alias("profile"))
+        made = made.unionByName(tried.join(used, "profile", "left_anti").select("cluster", "profile"))
+        open_ = cut(tried.join(used, "profile", "left_semi").select("cluster"))
+        n += 1
+        if not open_.limit(1).count():
+            return made
+
+
+def new_aliases(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(old, new): each earlier profile that is gone, and where most of its members are now, the smaller id among equals; '' if nowhere."""
+    gone = before.join(after.select("profile").distinct(), "profile", "left_anti").select("record_id", F.col("profile").alias("old"))
+    votes = gone.join(after.select("record_id", F.col("profile").alias("new")), "record_id", "left").groupBy("old", "new").agg(F.count("new").alias("n"))
+    return votes.groupBy("old").agg(F.coalesce(F.min_by("new", F.struct(-F.col("n"), F.col("new"))), F.lit("")).alias("new"))
+
+
+def merges_and_splits(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(profile, event, others): 'merged' with the earlier profiles whose members came in, 'split' with those that members went to."""
+    both = before.select("record_id", F.col("profile").alias("was")).join(after.select("record_id", F.col("profile").alias("now")), "record_id", "left")
+    moved = both.where("was <> now or now is null")
+    merged = moved.where("now is not null").groupBy(F.col("now").alias("profile")).agg(F.sort_array(F.collect_set("was")).alias("others")).withColumn("event", F.lit("merged"))
+    kept = after.select(F.col("profile").alias("was")).distinct()
+    split = moved.join(kept, "was", "left_semi").groupBy(F.col("was").alias("profile")).agg(F.sort_array(F.collect_set("now")).alias("others")).withColumn("event", F.lit("split"))
+    return merged.unionByName(split).select("profile", "event", "others")
 
 
 def consolidate_queue(proposals: DataFrame) -> DataFrame:
@@ -102,19 +172,48 @@ def consolidate_queue(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("n", place).select("id", F.when(F.col("cluster_a") == F.col("cluster_b"), "moot").when(F.col("n") == 1, "queued").otherwise("superseded").alias("outcome"))
 
 
-def breakers(clusters: DataFrame, previous_profiles: int, largest: int = 25) -> DataFrame:
-    """One row: cluster count, largest cluster, and whether publication must halt."""
+def breakers(clusters: DataFrame, previous_profiles: int, previous_records: int, largest: int = 25) -> DataFrame:
+    """One row: records, clusters, largest cluster, and whether publication must halt.
+
+    It halts for too large a cluster, and for a fifth fewer profiles than before unless there are fewer records too.
+    """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("clusters"), F.max("n").alias("largest")).withColumn("halt", (F.col("largest") > largest) | ((F.lit(previous_profiles) >= 50) & (F.col("clusters") < 0.8 * previous_profiles)))
+    found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    collapsed = (F.lit(previous_profiles) >= 50) & (F.col("clusters") < 0.8 * previous_profiles) & (F.col("records") >= previous_records)
+    return found.withColumn("halt", (F.col("largest") > largest) | collapsed)
 
 
-def ledger_links(events: DataFrame, genesis: str = "0" * 64) -> DataFrame:
-    """A hash chain over ordered events (chain, seq, body): each hash covers the one before. Chains are independent."""
-    folded = events.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("e"))
-    step = lambda acc, e: F.concat(acc, F.array(F.struct(e["seq"].alias("seq"), e["body"].alias("body"), F.try_element_at(acc, F.lit(-1))["hash"].alias("prev"), F.sha2(F.concat_ws("|", F.try_element_at(acc, F.lit(-1))["hash"], e["seq"].cast("string"), e["body"]), 256).alias("hash"))))
-    start = F.array(F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit("").alias("body"), F.lit("").alias("prev"), F.lit(genesis).alias("hash")))
-    chained = F.slice(F.aggregate("e", start, step), F.lit(2), F.size("e"))
-    return folded.select("chain", F.explode(chained).alias("x")).select("chain", "x.*")
+def ledger_links(events: DataFrame, tails: DataFrame | None = None, genesis: str = "0" * 64) -> DataFrame:
+    """(chain, seq, body, prev, hash): events (chain, seq, body) appended to their chains in order, each hash over the one before.
+
+    ``tails`` (chain, seq, hash) are the ends of chains that exist; new events are numbered on from there. A chain is a
+    sequence, so one task writes it, holding its last hash only.
+    """
+    rows = events.select("chain", "seq", "body", F.lit(None).cast("string").alias("tail"))
+    if tails is not None:
+        rows = rows.unionByName(tails.select("chain", F.lit(-1).cast(events.schema["seq"].dataType).alias("seq"), F.col("seq").cast("string").alias("body"), F.col("hash").alias("tail")))
+    fixed = tails is not None
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last, count = object(), genesis, 0
+        for b in batches:
+            out: list[tuple] = []
+            for own, seq, body, tail in zip(*(c.to_pylist() for c in b.columns)):
+                if own != chain:
+                    chain, last, count = own, genesis, 0
+                if tail is not None:
+                    last, count = tail, int(body)
+                    continue
+                count = count + 1 if fixed else seq
+                new = hashlib.sha256(f"{last}|{count}|{body}".encode()).hexdigest()
+                out.append((own, count, body, last, new))
+                last = new
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [b.schema.field(0).type, b.schema.field(1).type, pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=["chain", "seq", "body", "prev", "hash"])
+
+    kind = events.schema
+    return _ordered_fold(rows, ["chain"], ["seq"], step, f"chain {kind['chain'].dataType.simpleString()}, seq {kind['seq'].dataType.simpleString()}, body string, prev string, hash string")
 
 
 def ledger_verify(ledger: DataFrame, genesis: str = "0" * 64) -> DataFrame:
@@ -148,8 +247,6 @@ def follow_aliases(aliases: DataFrame) -> DataFrame:
     Each round doubles the distance followed; after as many rounds as the number
     of aliases has bits, what still leads on is a circle.
     """
-    from ..session import cut
-
     at = cut(aliases.select("old", F.col("new").alias("profile")))
     for _ in range(max(1, at.count().bit_length() + 1)):
         step = at.select(F.col("old").alias("profile"), F.col("profile").alias("next"))
@@ -208,6 +305,22 @@ def id_stability(before: DataFrame, after: DataFrame) -> DataFrame:
     return top.agg(F.count("*").alias("profiles"), F.count_if(F.col("was") == F.col("now")).alias("stable"))
 
 
+def erasure_effects(erased: DataFrame, consent: DataFrame, decisions: DataFrame, constraints: DataFrame, proposals: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """What is left of each table once the erased records (record_id) are out of it, and the aliases of profiles that emptied.
+
+    consent has record_id; decisions, constraints and proposals have a and b; members (record_id, profile).
+    """
+    gone = erased.select("record_id").distinct()
+    one = lambda df: df.join(gone, "record_id", "left_anti")
+    both = lambda df: df.join(gone.withColumnRenamed("record_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("record_id", "b"), "b", "left_anti")
+    left = one(members)
+    empty = members.select("profile").distinct().join(left.select("profile").distinct(), "profile", "left_anti")
+    return {
+        "consent": one(consent), "decisions": both(decisions), "constraints": both(constraints), "proposals": both(proposals), "members": left,
+        "aliases": empty.select(F.col("profile").alias("old"), F.lit("").alias("new")),
+    }
+
+
 def impure_clusters(members: DataFrame) -> DataFrame:
     """(cluster, people, distinguishable): clusters of several people, and whether birth dates or suffixes would have told."""
     told = (F.countDistinct("dob") > 1) | (F.countDistinct("suffix") > 1)

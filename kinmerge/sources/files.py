@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Mapping
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
@@ -28,19 +29,37 @@ def _packed(df: DataFrame, key: Column, updated: str | None) -> DataFrame:
     return df.select(key.alias("key"), _text(df, updated).alias("updated"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("payload"))
 
 
+def with_row_index(df: DataFrame, column: str) -> DataFrame:
+    """df with each row's number, from 0, in the order its file is read in.
+
+    Partitions are counted first, one row each, so the numbers need neither a sort nor a single task.
+    """
+    part, inside = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    counts = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("start"))
+    marked = df.withColumns({"_part": part, "_inside": inside})
+    # as many rows as partitions
+    joined = marked.join(F.broadcast(starts), F.col("_part") == F.col("part"))
+    return joined.withColumn(column, F.col("start") + F.col("_inside")).select(*(f"`{c}`" for c in df.columns), column)
+
+
 def csv(spark: SparkSession, path: str, key: str | None = None, updated: str | None = None, cursor: str | None = None, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with a header, all text. Without a key column, a row's key is a digest of its content."""
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=False, ignoreLeadingWhiteSpace=False)
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
-    own = _text(df, key) if key else F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))), 256)
-    return _since(_packed(df, own, updated), cursor)
+    """A CSV file with a header, all text; quoted values may hold line feeds. Without a key column a row's key is its number."""
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False)
+    df = df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns))
+    if key:
+        return _since(_packed(df, _text(df, key), updated), cursor)
+    numbered = with_row_index(df, "_row")
+    body = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+    return _since(numbered.select(F.col("_row").cast("string").alias("key"), _text(df, updated).alias("updated"), body.alias("payload")), cursor)
 
 
 def jsonl(spark: SparkSession, path: str, key: str = "id", updated: str | None = None, cursor: str | None = None) -> DataFrame:
-    """One JSON object a line; blank lines are left out. Payloads stay as they are written."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """One JSON object a line; blank lines are left out but count. Payloads stay as they are written. Without the key field a row's key is its line's number."""
+    lines = with_row_index(spark.read.text(path), "_line").where(F.trim("value") != "")
     top = F.from_json("value", "map<string,string>")
-    own = F.coalesce(F.try_element_at(top, F.lit(key)), F.sha2(F.col("value"), 256))
+    own = F.coalesce(F.try_element_at(top, F.lit(key)), F.col("_line").cast("string"))
     at = F.try_element_at(top, F.lit(updated)) if updated else F.lit(None).cast("string")
     return _since(lines.select(own.alias("key"), at.alias("updated"), F.col("value").alias("payload")), cursor)
 

@@ -23,9 +23,26 @@ def test_names(spark):
     assert values(spark, N.first_name_key, "Bob", "José Luis", "Élodie") == ["robert", "jose", "elodie"]
 
 
+def test_accents_of_any_script_and_any_white_space(spark):
+    assert values(spark, N.name_key, "Nguyễn", "Ａnna", "Ọkafọr", "ﬁnn", "Ḥaddād", "王", None) == ["nguyen", "anna", "okafor", "finn", "haddad", None, None]
+    assert values(spark, N.strip_accents, "Ⅷ Ã", "plain", None) == ["VIII A", "plain", None]
+    assert values(spark, N.clean, "\u00a0unknown\u2003", "Smith\u00a0", "a \u3000 b", "\x1cN/A\x1c", " x ") == [None, "Smith", "a b", None, "x"]
+    long = "Mc" + "x" * 3000
+    assert values(spark, N.name_part, long.upper(), "SMITH o'neil", "Smith, (Jr)!") == ["Mc" + "x" * 3000, "Smith O'neil", "Smith Jr"]
+
+
+def test_numbers_abroad(spark):
+    assert values(spark, lambda c: N.phone(c, "44"), "020 7946 0958", "0044 20 7946 0958", "12345", "x") == ["+442079460958", "+442079460958", None, None]
+
+
+def test_years_beyond_the_jobs(spark):
+    assert values(spark, lambda c: N.date(c, 2027), "2027-01-01", "2028-01-01") == ["2027-01-01", None]
+    assert values(spark, lambda c: N.date(c, 2026), "March 2, 1980", "2/30/1980", "1980/3/2", "3-2-1980") == ["1980-03-02", None, "1980-03-02", "1980-03-02"]
+
+
 def test_dates_and_the_rest(spark):
-    assert values(spark, N.date, "3/2/1980", "1980-03-02T10:00:00", "Mar 2 1980", "02.03.1980", "19800302", "1880-01-01", "x") == ["1980-03-02"] * 5 + [None, None]
-    assert values(spark, N.timestamp, "0000000060", "2024-05-01T12:00:00.000+0000", "3/2/1980") == ["1970-01-01T00:01:00Z", "2024-05-01T12:00:00Z", "1980-03-02T00:00:00Z"]
+    assert values(spark, lambda c: N.date(c, 2026), "3/2/1980", "1980-03-02T10:00:00", "Mar 2 1980", "02.03.1980", "19800302", "1880-01-01", "x") == ["1980-03-02"] * 5 + [None, None]
+    assert values(spark, lambda c: N.timestamp(c, 2026), "0000000060", "2024-05-01T12:00:00.000+0000", "3/2/1980") == ["1970-01-01T00:01:00Z", "2024-05-01T12:00:00Z", "1980-03-02T00:00:00Z"]
     assert values(spark, N.postal, "33701-1234", "3370", "SW1A 1AA") == ["33701", "03370", None]
     assert values(spark, N.address_key, "12 North Main Street, Apartment 4") == ["12 n main st apt 4"]
     assert values(spark, N.boolean, "Opted_In", "0", "maybe") == [True, False, None]

@@ -22,10 +22,18 @@ def test_csv_cursor_keeps_rows_without_a_time(spark, tmp_path):
 def test_jsonl_skips_blank_lines_and_reads_keys(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 7, "at": "b", "x": {"y": 1}}\n\n  \n{"at": "a"}\n')
     got = files.jsonl(spark, str(tmp_path / "a.jsonl"), updated="at").collect()
-    assert len(got) == 2 and {r["updated"] for r in got} == {"a", "b"} and "7" in {r["key"] for r in got}
+    assert {(r["key"], r["updated"]) for r in got} == {("7", "b"), ("3", "a")}  # without an id a line has its number
     assert files.jsonl(spark, str(tmp_path / "a.jsonl"), updated="at", cursor="a").count() == 1
 
 
+def test_rows_without_a_key_are_numbered(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('a,b\n1,"x\ny"\n1,"x\ny"\n2,"say ""hi"""\n', encoding="utf-8")
+    got = files.csv(spark, str(tmp_path / "b.csv")).collect()
+    assert [(r["key"], json.loads(r["payload"])) for r in sorted(got, key=lambda r: r["key"])] == [("0", {"a": "1", "b": "x\ny"}), ("1", {"a": "1", "b": "x\ny"}), ("2", {"a": "2", "b": 'say "hi"'})]
+    many = spark.range(1000).repartition(7)
+    assert sorted(r["n"] for r in files.with_row_index(many, "n").collect()) == list(range(1000))
+
+
 def test_settings_urls_and_retries():
     files.check_settings({"token_env": "X", "name": "crm"})
     with pytest.raises(ValueError):
@@ -79,7 +87,7 @@ def test_canonical_record(spark):
     fields = {"a": '["x@y.co", "bad", "X@y.co"]', "b": "z@y.co", "n": "Smith, Ann Jr", "out": "true", "note": " hi  there ", "p": "(727) 555-0100; 727-555-0101"}
     use = {"a": MAP.Use("email"), "b": MAP.Use("email"), "n": MAP.Use("full_name", "split_full_name"), "out": MAP.Use("consent.email_marketing", "invert_bool"), "note": MAP.Use("attribute"), "p": MAP.Use("phone", "split_list"), "gone": MAP.Use("city")}
     rows = spark.createDataFrame([(1, fields), (2, {}), (3, None)], "id int, fields map<string,string>")
-    one, two, three = MAP.canonicalize(rows, use).orderBy("id").collect()
+    one, two, three = MAP.canonicalize(rows, use, 2026).orderBy("id").collect()
     assert one["emails"] == ["x@y.co", "z@y.co"] and one["phones"] == ["+17275550100", "+17275550101"]
     assert (one["first_name"], one["last_name"], one["name_suffix"], one["consent_email_marketing"], one["city"]) == ("Ann", "Smith", "jr", False, None)
     assert one["attributes"] == {"note": "hi there"}
@@ -94,5 +102,7 @@ def test_aliases_end_vanish_and_circle(spark):
 
 
 def test_flatten_nests_and_keeps_lists(spark):
+    deep = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": {"f": "x"}}}}}}'), (2, '{"z": "}}{{"}')], "k int, p string")
+    assert _rows(S.flatten(deep, "k", "p")) == [(1, "a.b.c.d.e.f", "x"), (2, "z", "}}{{")]
     rows = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}, "e": {}}, "l": [1, 2], "n": null, "t": "{oops"}'), (2, None)], "k int, p string")
     assert _rows(S.flatten(rows, "k", "p")) == [(1, "a.b.c", "1"), (1, "l", "[1,2]"), (1, "n", None), (1, "t", "{oops")]
