@@ -72,17 +72,18 @@ def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     small = codes.dtype == np.uint32
     shift = codes.dtype.type(14 if small else 46)
     out = np.full(len(codes), none, np.int32)
-    factor, todo = 0x9E3779B1 if small else 0x9E3779B97F4A7C15, np.arange(none)
-    while len(todo):  # pairs that share a slot with another are looked up in a further table
+    factor, todo, open_ = 0x9E3779B1 if small else 0x9E3779B97F4A7C15, np.arange(none), None
+    while len(todo):  # pairs that share a slot with another are looked up in a further table, by the codes that met the other there
         slot = (pairs[todo] * codes.dtype.type(factor)) >> shift
         _, first = np.unique(slot, return_index=True)
         rank_at = np.full(_SLOTS, none, np.int32)
         rank_at[slot[first]] = todo[first]
-        rank = rank_at[(codes * codes.dtype.type(factor)) >> shift]
+        rank = rank_at[((codes if open_ is None else codes[open_]) * codes.dtype.type(factor)) >> shift]
         near = np.flatnonzero(rank < none)
-        near = near[pairs[rank[near]] == codes[near]]
-        out[near] = rank[near]
-        todo = np.delete(todo, first)
+        rank, near = rank[near], near if open_ is None else open_[near]
+        hit = pairs[rank] == codes[near]
+        out[near[hit]] = rank[hit]
+        open_, todo = near[~hit], np.delete(todo, first)
         factor = factor * 0x2C1B3C6D & (0xFFFFFFFF if small else 0xFFFFFFFFFFFFFFFF) | 1
     return out
 
