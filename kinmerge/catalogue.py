@@ -72,9 +72,10 @@ rules AS (
     WHERE greatest(x.n, y.n) > 1 AND NOT coalesce(list_has_any(x.dobs, y.dobs), false) AND len(x.others) > 0 AND len(y.others) > 0 AND NOT list_has_any(x.others, y.others)),
 amb AS (SELECT DISTINCT ident FROM rules),
 rare AS (SELECT fn, ln FROM keyed WHERE fn IS NOT NULL AND ln IS NOT NULL AND coalesce(postal, 'c:' || city) IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT coalesce(postal, 'c:' || city)) = 1)"""
-# Jaro-Winkler of addresses in full, as DuckDB's own halves odd numbers of transpositions down
-_STREETS_SQL = """,
-met AS (SELECT DISTINCT x.addr AS p, y.addr AS q, greatest(greatest(length(x.addr), length(y.addr)) // 2 - 1, 0) AS reach FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b WHERE x.addr <> y.addr),
+# Jaro-Winkler of addresses in full, as DuckDB's own halves odd numbers of transpositions down and so is never below it
+_STREETS_SQL = f""",
+matched AS MATERIALIZED (SELECT a, b, x, y FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b),
+met AS (SELECT DISTINCT x.addr AS p, y.addr AS q, greatest(greatest(length(x.addr), length(y.addr)) // 2 - 1, 0) AS reach FROM matched WHERE x.addr <> y.addr AND {_jw('x.addr', 'y.addr')} >= 0.93),
 hits AS (SELECT p, q, string_split(list_reduce(list_transform(range(1, length(p) + 1), lambda i: CAST(i AS VARCHAR)), lambda acc, i: acc || coalesce(list_filter(range(greatest(1, CAST(i AS INT) - reach),
   least(length(q), CAST(i AS INT) + reach) + 1), lambda j: q[j] = p[CAST(i AS INT)] AND NOT contains(acc, ',' || j || ','))[1] || ',', ''), ','), ',') AS found FROM met),
 placed AS (SELECT p, q, list_transform(list_filter(found, lambda x: x <> ''), lambda x: CAST(x AS INT)) AS h FROM hits),
@@ -83,17 +84,19 @@ jaro AS (SELECT p, q, CASE WHEN m = 0 THEN 0.0 ELSE (m / length(p) + m / length(
 streets AS (SELECT p, q, jaro + 0.1 * len(list_filter([1, 2, 3, 4], lambda k: left(p, k) = left(q, k) AND least(length(p), length(q)) >= k)) * (1 - jaro) AS jw FROM jaro)"""
 _COMPARED_SQL = f"""{_BLOCKS_SQL}{_PAIRS_SQL}{_AMBIGUOUS_SQL}{_STREETS_SQL},
 sided AS (SELECT a, b, x.truth AS ta, y.truth AS tb, x.fn AS f1, y.fn AS f2, x.ln AS l1, y.ln AS l2, x.suffix AS s1, y.suffix AS s2,
-  CASE WHEN x.ek IS NULL OR y.ek IS NULL THEN 'missing' WHEN x.ek <> y.ek THEN 'disagree' WHEN 'e:' || x.ek IN (SELECT ident FROM amb) THEN 'shared' ELSE 'agree' END AS email,
-  CASE WHEN x.phone IS NULL OR y.phone IS NULL THEN 'missing' WHEN x.phone <> y.phone THEN 'disagree' WHEN 'p:' || x.phone IN (SELECT ident FROM amb) THEN 'shared' ELSE 'agree' END AS phone,
+  CASE WHEN x.ek IS NULL OR y.ek IS NULL THEN 'missing' WHEN x.ek <> y.ek THEN 'disagree' WHEN ae.ident IS NOT NULL THEN 'shared' ELSE 'agree' END AS email,
+  CASE WHEN x.phone IS NULL OR y.phone IS NULL THEN 'missing' WHEN x.phone <> y.phone THEN 'disagree' WHEN ap.ident IS NOT NULL THEN 'shared' ELSE 'agree' END AS phone,
   CASE WHEN x.fn IS NULL OR y.fn IS NULL THEN 'missing' WHEN x.fn = y.fn THEN 'agree' WHEN greatest({_jw('x.fn', 'y.fn')}, {_jw('x.fn_raw', 'y.fn_raw')}) >= 0.9 THEN 'partial' ELSE 'disagree' END AS first_name,
   CASE WHEN x.ln IS NULL OR y.ln IS NULL THEN 'missing' WHEN x.ln = y.ln THEN 'agree' WHEN {_jw('x.ln', 'y.ln')} >= 0.92 THEN 'partial' ELSE 'disagree' END AS last_name,
   CASE WHEN x.dob IS NULL OR y.dob IS NULL THEN 'missing' WHEN x.dob = y.dob THEN 'agree' ELSE 'conflict' END AS birth_date,
   CASE WHEN x.suffix = y.suffix THEN 'agree' WHEN x.suffix IS NOT NULL AND y.suffix IS NOT NULL THEN 'conflict' WHEN coalesce(x.suffix, y.suffix) IS NOT NULL THEN 'partial' ELSE 'missing' END AS name_suffix,
-  CASE WHEN x.addr IS NULL OR y.addr IS NULL THEN 'missing' WHEN x.addr = y.addr THEN CASE WHEN coalesce('na:' || x.fn || '|' || x.ln || '|' || x.addr IN (SELECT ident FROM amb), false) THEN 'shared' ELSE 'agree' END WHEN (SELECT jw FROM streets WHERE p = x.addr AND q = y.addr) >= 0.93 THEN 'partial' ELSE 'disagree' END AS address,
-  CASE WHEN x.postal IS NULL OR y.postal IS NULL THEN 'missing' WHEN x.postal <> y.postal THEN 'disagree' WHEN coalesce('np:' || x.fn || '|' || x.ln || '|' || x.postal IN (SELECT ident FROM amb), false) THEN 'shared' ELSE 'agree' END AS postal_code,
+  CASE WHEN x.addr IS NULL OR y.addr IS NULL THEN 'missing' WHEN x.addr = y.addr THEN CASE WHEN aa.ident IS NOT NULL THEN 'shared' ELSE 'agree' END WHEN streets.jw >= 0.93 THEN 'partial' ELSE 'disagree' END AS address,
+  CASE WHEN x.postal IS NULL OR y.postal IS NULL THEN 'missing' WHEN x.postal <> y.postal THEN 'disagree' WHEN al.ident IS NOT NULL THEN 'shared' ELSE 'agree' END AS postal_code,
   CASE WHEN x.city IS NULL OR y.city IS NULL THEN 'missing' WHEN x.city = y.city THEN 'agree' ELSE 'disagree' END AS city,
-  CASE WHEN x.fn = y.fn AND x.ln = y.ln THEN CASE WHEN EXISTS (SELECT 1 FROM rare WHERE rare.fn = x.fn AND rare.ln = x.ln) THEN 'rare' ELSE 'common' END ELSE 'missing' END AS name_frequency
-FROM pairs JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b),
+  CASE WHEN x.fn = y.fn AND x.ln = y.ln THEN CASE WHEN rare.fn IS NOT NULL THEN 'rare' ELSE 'common' END ELSE 'missing' END AS name_frequency
+FROM matched LEFT JOIN amb ae ON ae.ident = 'e:' || x.ek LEFT JOIN amb ap ON ap.ident = 'p:' || x.phone
+  LEFT JOIN amb aa ON aa.ident = 'na:' || x.fn || '|' || x.ln || '|' || x.addr LEFT JOIN amb al ON al.ident = 'np:' || x.fn || '|' || x.ln || '|' || x.postal
+  LEFT JOIN rare ON rare.fn = x.fn AND rare.ln = x.ln LEFT JOIN streets ON streets.p = x.addr AND streets.q = y.addr),
 compared AS (SELECT a, b, ta, tb, email, phone, first_name, last_name, birth_date, name_suffix, address, postal_code, city, name_frequency, email = 'disagree' AND phone = 'disagree' AS dcc, birth_date = 'conflict' OR name_suffix = 'conflict' AS clash,
   email = 'agree' OR phone = 'agree' AS contact, first_name IN ('agree', 'partial') AND last_name IN ('agree', 'partial') AS named, first_name = 'agree' AND last_name = 'agree' AS exact_name FROM sided),
 scored AS (SELECT *, round(CASE email WHEN 'agree' THEN 14.0 WHEN 'shared' THEN 1.0 WHEN 'disagree' THEN -2.0 ELSE 0.0 END::DOUBLE + CASE phone WHEN 'agree' THEN 9.0 WHEN 'shared' THEN 1.0 WHEN 'disagree' THEN -1.0 ELSE 0.0 END
@@ -327,9 +330,10 @@ _EVENTS_SQL = f"""{_KEYED_SQL}, ev AS (SELECT record_id, truth AS cluster, 'emai
   UNION ALL SELECT record_id, truth, 'sms_marketing', sms, observed_at, source_id FROM keyed WHERE sms IS NOT NULL)"""
 _CHANNEL_SQL = """SELECT DISTINCT x.truth AS cluster, e.purpose, e.granted, e.observed_at, e.source, e.record_id FROM keyed x JOIN keyed y ON {key} AND x.truth <> y.truth JOIN ev e ON e.record_id = y.record_id AND NOT e.granted AND e.purpose = '{purpose}'"""
 _CHANNELS_SQL = _CHANNEL_SQL.format(key="x.ek = y.ek", purpose="email_marketing") + " UNION ALL " + _CHANNEL_SQL.format(key="x.phone = y.phone", purpose="sms_marketing")
-_OPEN_SQL = f"""{_BLOCKS_SQL}{_PAIRS_SQL}, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-nb AS (SELECT DISTINCT x.truth AS cluster, e.purpose, e.granted, e.observed_at, e.source, e.record_id FROM w JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b AND x.truth <> y.truth AND (x.truth + y.truth) % 7 = 0 JOIN ev e ON e.record_id = b AND NOT e.granted
-  WHERE NOT EXISTS (SELECT 1 FROM w v JOIN keyed p ON p.record_id = v.a JOIN keyed q ON q.record_id = v.b WHERE p.truth = x.truth AND v.b = y.record_id AND p.truth % 2 = 0 AND q.truth % 2 = 0))"""
+_OPEN_SQL = f"""{_BLOCKS_SQL}{_PAIRS_SQL}, w AS MATERIALIZED (SELECT x.truth AS ta, y.truth AS tb, a, b FROM (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) JOIN keyed x ON x.record_id = a JOIN keyed y ON y.record_id = b),
+barred AS (SELECT DISTINCT ta, b FROM w WHERE ta % 2 = 0 AND tb % 2 = 0),
+nb AS (SELECT DISTINCT w.ta AS cluster, e.purpose, e.granted, e.observed_at, e.source, e.record_id FROM w JOIN ev e ON e.record_id = w.b AND NOT e.granted LEFT JOIN barred ON barred.ta = w.ta AND barred.b = w.b
+  WHERE w.ta <> w.tb AND (w.ta + w.tb) % 7 = 0 AND barred.b IS NULL)"""
 _BASE_SQL = f"""{_EVENTS_SQL}{_OPEN_SQL}, chan AS ({_CHANNELS_SQL}),
 base AS (SELECT * FROM (SELECT cluster, purpose, granted, observed_at, source, record_id FROM ev UNION ALL SELECT * FROM chan UNION ALL SELECT * FROM nb) {_RESOLVE_SQL})"""
 _HOLDS_SQL = f""", g AS (SELECT cluster, purpose, observed_at FROM base WHERE granted),
