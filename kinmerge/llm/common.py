@@ -50,23 +50,24 @@ def unused(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def one_of_equals(docs: DataFrame, keys: DataFrame, key_id: str, key_hash: str, kept: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of keys the one row of docs with its doc_id (null is a value) and its text's hash, with docs' columns and those kept of keys.
+def one_of_equals(docs: DataFrame, keys: DataFrame, key_id: str, key_hash: str, *kept: str) -> tuple[DataFrame, list[str]]:
+    """For each row of keys the one row of docs with its doc_id (null is a value) and its text's hash: docs' columns and
+    those kept of keys, under names that docs does not have, which come second.
 
     keys has (key_id, key_hash, n, *kept), n being the rows of docs that are equal in both; several rows of keys
     may name one text. Texts pass through a hash join whose other side holds no text, and are not sorted; only
     where rows are equal is one chosen among them.
     """
-    h, = unused([*docs.columns, *keys.columns], "h")
+    h, place, own_id, own_hash, own_n, *own = unused(docs.columns, "h", "place", "key_id", "key_hash", "key_n", *kept)
+    keys = keys.select(F.col(key_id).alias(own_id), F.col(key_hash).alias(own_hash), F.col("n").alias(own_n), *(F.col(k).alias(o) for k, o in zip(kept, own)))
     hashed = docs.withColumn(h, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col(h) == F.col(key_hash))
-    columns = [*(f"`{c}`" for c in docs.columns), *kept]
-    single = hashed.join(keys.where("n = 1").hint("shuffle_hash"), same).select(*columns)
-    place, = unused(docs.columns, "place")
-    several = keys.where("n > 1")
-    first = hashed.join(several.select(key_id, key_hash).distinct().hint("shuffle_hash"), same, "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_hash))
+    columns = [*(f"`{c}`" for c in docs.columns), *own]
+    single = hashed.join(keys.where(F.col(own_n) == 1).hint("shuffle_hash"), same).select(*columns)
+    several = keys.where(F.col(own_n) > 1)
+    first = hashed.join(several.select(own_id, own_hash).distinct().hint("shuffle_hash"), same, "left_semi")
     first = first.withColumn(place, F.row_number().over(W.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(place) == 1)
-    return single.unionByName(first.join(several.hint("shuffle_hash"), same).select(*columns))
+    return single.unionByName(first.join(several.hint("shuffle_hash"), same).select(*columns)), own
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import one_of_equals, save, table, unused
+from .common import one_of_equals, save, table
 from .text import as_bytes, mix, spans, word_counts
 
 BLOCK_WORDS = 128
@@ -210,10 +210,9 @@ class Mix:
         )  # one text's own blocks: bounded by its length
         # equal rows have places of their own in the stream; the first of them stands for each
         equal = self.placed.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-        of, h, taken, size = unused(self.docs.columns, "of", "h", "taken", "size")
         keys = runs.join(equal.withColumnsRenamed({"doc_id": "id", "h": "hash"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
-        keys = save(keys.select(F.col("doc_id").alias(of), F.col("h").alias(h), F.col("runs").alias(taken), F.col("size").alias(size), "n"), "taken")
-        joined = one_of_equals(self.docs, keys, of, h, (taken, size))
+        keys = save(keys.select("doc_id", "h", "runs", "size", "n"), "taken")
+        joined, (taken, size) = one_of_equals(self.docs, keys, "doc_id", "h", "runs", "size")
         whole = F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, r: a + r["word_to"] - r["word_from"]) == F.col(size)
         text = F.when(whole, F.col("text")).otherwise(F.pandas_udf(cut_words, "string")("text", taken))
         return joined.withColumn("text", text).select(*(f"`{c}`" for c in self.docs.columns))

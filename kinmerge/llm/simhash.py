@@ -136,7 +136,7 @@ def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     first = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.h").alias("kept_h"))
     counts = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     keys = first.join(counts, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("kept_id", "kept_h", "n")
-    return one_of_equals(docs, save(keys, "kept"), "kept_id", "kept_h").select(*(f"`{c}`" for c in docs.columns))
+    return one_of_equals(docs, save(keys, "kept"), "kept_id", "kept_h")[0]
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
