@@ -81,8 +81,8 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """
     segments = _segments(most)
     m = len(segments)
-    # a fingerprint becomes many keys: they are made in as many tasks as the session sets
-    fps = fps.repartition(width(fps), "fp")
+    # a fingerprint becomes many keys: they are made in as many tasks as the session sets. By number only: partitions by column would be taken for those of the step before and be joined again
+    fps = fps.repartition(width(fps))
 
     def part(i: int) -> Column:
         shift, bits = segments[i % m]
