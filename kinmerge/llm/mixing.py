@@ -8,6 +8,12 @@ at its quota (what the draws leave open goes to a last shard). Draw number j is
 block ``permutation(j mod blocks)`` of pass ``j div blocks``: each block is used
 before one is used again, and none more than twice as no target exceeds twice
 the source. The drawn blocks then meet the texts by (source, block).
+
+Null and empty texts have no words and are never taken; a null source is a
+source, last in order; repeated rows count as rows of their own, in an order of
+their ids and a hash of their texts, and ties among equal rows change nothing;
+texts are read whole at any length; empty tables give empty results; columns
+other than doc_id, source and text are left alone, whatever their names.
 """
 
 from __future__ import annotations

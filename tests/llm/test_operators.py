@@ -136,7 +136,16 @@ def test_secrets(docs):
     assert [(s, e) for s, k, e in secrets.find(x) if k == 0] == [m.span() for m in pattern.finditer(x) if len(m[2]) >= 6]
     assert token not in secrets.redacted(x)
     assert secrets.in_code_points("éé token=abcdef".encode(), secrets.find("éé token=abcdef".encode())) == [(3, 0, 15)]
-    assert all(r["spans"] == "" for r in secrets.scan(docs).collect())
+    assert all(r["spans"] == "" for r in secrets.scan(docs).collect()) and secrets.scan(docs.limit(0)).count() == 0
+    patterns = (pattern, re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+"))
+    keep = (lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24)
+    parts = ["token", "Password", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "AKIA", "AKI", "AB12", "ABCDEFGH1234", "deadbeef0123", "abcdef", "x", "é", ".", "\n"]
+    for _ in range(1500):
+        t = "".join(RND.choice(parts) for _ in range(RND.randint(0, 40))).encode()
+        want = sorted((m.start(), k, m.end()) for k in range(3) for m in patterns[k].finditer(t) if keep[k](m))
+        assert [f for f in secrets.find(t) if f[1] < 3] == want
+    long = b"deadbeef" * 200_000 + b" token=" + b"A" * 500_000
+    assert [f[1:] for f in secrets.find(long)] == [(2, 1_600_000), (0, len(long))]
 
 
 def test_toxicity(spark, empty):
@@ -250,6 +259,7 @@ def test_top_k(vectors, monkeypatch):
             best = sorted((-int(good[q] @ good[j]), j) for j in good if j != q and len(good[j]) == len(good[q]))[:20]
             want |= {(q, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    assert topk.top_k(df.limit(0)).count() == 0
 
 
 def test_pii_long_addresses(spark):
