@@ -71,12 +71,14 @@ def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     none = len(pairs)
     small = codes.dtype == np.uint32
     shift = codes.dtype.type(14 if small else 46)
-    out = np.full(len(codes), none, np.int32)
+    # fewer pairs than a round takes: small numbers keep the tables near
+    kind = np.int16 if none < 1 << 15 else np.int32
+    out = np.full(len(codes), none, kind)
     factor, todo, open_ = 0x9E3779B1 if small else 0x9E3779B97F4A7C15, np.arange(none), None
     while len(todo):  # pairs that share a slot with another are looked up in a further table, by the codes that met the other there
         slot = (pairs[todo] * codes.dtype.type(factor)) >> shift
         _, first = np.unique(slot, return_index=True)
-        rank_at = np.full(_SLOTS, none, np.int32)
+        rank_at = np.full(_SLOTS, none, kind)
         rank_at[slot[first]] = todo[first]
         rank = rank_at[((codes if open_ is None else codes[open_]) * codes.dtype.type(factor)) >> shift]
         near = np.flatnonzero(rank < none)
@@ -103,12 +105,16 @@ def grammar(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         none = len(pairs)
         near = np.flatnonzero(rank < none)
         own = rank[near]
-        beside = np.append(False, near[1:] == near[:-1] + 1)
-        before = np.where(beside, np.append(none, own[:-1]), none)
-        after = np.append(np.where(beside[1:], own[1:], none), none)
-        place = np.arange(len(near))
-        odd = (place - np.maximum.accumulate(np.where(before == own, 0, place))) & 1  # in a run of one pair, every second
-        at = near[(odd == 0) & (own <= before) & (own <= after)]
+        beside = near[1:] == near[:-1] + 1
+        before, after = np.full(len(own), none, own.dtype), np.full(len(own), none, own.dtype)
+        np.copyto(before[1:], own[:-1], where=beside)
+        np.copyto(after[:-1], own[1:], where=beside)
+        chosen = (own <= before) & (own <= after)
+        again = before == own
+        if again.any():  # in a run of one pair, every second
+            place = np.arange(len(near))
+            chosen &= ((place - np.maximum.accumulate(np.where(again, 0, place))) & 1) == 0
+        at = near[chosen]
         if not len(at):
             break
         half = np.uint64(32) if codes.dtype == np.uint64 else np.uint32(16)
@@ -266,7 +272,7 @@ class Library:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(1 + max(vocabulary.values()), bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
-        self._units = table_for(entries=2 * ENTRIES)
+        self._units = table_for(entries=4 * ENTRIES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
