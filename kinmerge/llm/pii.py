@@ -201,7 +201,7 @@ _PATTERN = re.compile(
     r"|(?P<account>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d){8,12}(?!\w))"
     rf"|(?P<street>(?<![\w.,-])(?P<house>\d{{1,5}})[ ](?P<road>(?:[{_UPPER}][^\W\d_]+[ ]){{1,3}})(?:{_STREETS})\b)"
-    rf"|(?P<name>\b(?P<title>{_TITLES})\b\.?[ ](?P<first>(?=[{_UPPER}{_CASELESS}]){_NAME})(?:[ ](?P<last>(?=[{_UPPER}]){_NAME}|(?<=[{_SPACED}][ ])(?=[{_SPACED}]){_NAME}))?))",
+    rf"|(?P<name>\b(?P<title>{_TITLES})\b(?:\.[ ]|[ ](?=[{_UPPER}{_CASELESS}]))(?P<first>{_NAME})(?:[ ](?P<last>(?=[{_UPPER}]){_NAME}|(?<=[{_SPACED}][ ])(?=[{_SPACED}]){_NAME}))?))",
 )
 _HINT = re.compile(r"[@\d]|::|[0-9a-fA-F]:[0-9a-fA-F]|\b(?:" + _TITLES + r")\b")
 KINDS = ("email", "ip", "ipv6", "iban", "ssn", "account", "phone", "street", "name")

@@ -41,7 +41,8 @@ def test_names_in_any_script_and_again():
     new, found = s.apply("Mr. John Smith came. John Smith, said Smith; Smithy stayed, JOHN left.")
     first, last = found[0][4].split()
     assert new == f"Mr. {first.title()} {last.title()} came. {first.title()} {last.title()}, said {last.title()}; Smithy stayed, JOHN left."
-    assert s.apply("Miss the bus, Mr. went home")[1] == []
+    assert s.apply("Miss the bus, Mr went home")[1] == []  # without a full stop a name is capital
+    assert s.apply("Mr. smith")[1][0][3] == "smith"
 
 
 def test_none_is_its_own_for_any_key():
