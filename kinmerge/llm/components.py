@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each step is a minimum per node, aggregated before the shuffle, and a join
     back. No list of neighbours is built, so a node with a third of all edges
-    costs a split join. Steps are saved to the shared folder, and their number
-    grows with the logarithm of the longest path. An empty table has none.
+    costs a split join. No side is broadcast: its size grows with the input, and
+    the driver would hold one after another. Steps are saved to the shared folder,
+    and their number grows with the logarithm of the longest path. An empty table has none.
     """
     now = save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"
@@ -36,11 +37,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the least of those."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

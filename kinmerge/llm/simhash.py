@@ -94,7 +94,7 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     flips = [[0, *(1 << j for j in range(segments[(i + 1) % m][1]))] for i in range(m)]
     index = fps.select("fp", F.explode(F.array(*(key(i) for i in range(m)))).alias("key"))
     probe = fps.select(F.col("fp").alias("other"), F.explode(F.array(*(key(i, x) for i in range(m) for x in flips[i]))).alias("key"))
-    met = index.join(probe, "key").where("fp > other")
+    met = index.join(probe.hint("merge"), "key").where("fp > other")
     diff = F.col("fp").bitwiseXOR(F.col("other"))
     start = F.shiftrightunsigned("key", 58)
     holds = F.lit(False)
@@ -115,17 +115,17 @@ def _grouped(marked: DataFrame, most: int) -> DataFrame:
     distinct = marked.select("fp").distinct()
     # an id under several fingerprints links them: each such row gives an edge to the id's least fingerprint
     several = marked.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top and doc_id is not null")
-    shared = marked.join(several, "doc_id").where("fp > b").select(F.col("fp").alias("a"), "b")
-    # saved tables on both sides of a join let Spark split a hot fingerprint or component
+    shared = marked.join(several.hint("merge"), "doc_id").where("fp > b").select(F.col("fp").alias("a"), "b")
+    # saved tables on both sides of a join let Spark split a hot fingerprint or component. All tables here grow with the input: none is to pass through the driver as a broadcast
     found = save(connected_components(links(distinct, most).unionByName(shared), "a", "b"), "components")
-    return marked.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "h", "fp", F.coalesce("component", "fp").alias("component"))
+    return marked.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "h", "fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     grouped = _grouped(save(fingerprints(docs), "fingerprints"), most)
     least = save(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    return grouped.join(least, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped.join(least.hint("merge"), "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
@@ -135,7 +135,7 @@ def keep_one(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     first = grouped.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.h").alias("kept_h"))
     counts = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-    keys = first.join(counts, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("kept_id", "kept_h", "n")
+    keys = first.join(counts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("kept_id", "kept_h", "n")
     return one_of_equals(docs, save(keys, "kept"), "kept_id", "kept_h")[0]
 
 
