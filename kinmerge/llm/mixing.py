@@ -156,7 +156,7 @@ class Mix:
         ahead = W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         per_bucket = per_bucket.select("s", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
         inside = W.partitionBy("s", "bucket").orderBy("doc_id", "h", "size").rowsBetween(W.unboundedPreceding, -1)
-        placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(per_bucket, ["s", "bucket"])
+        placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(per_bucket.hint("merge"), ["s", "bucket"])
         #: one row for each row of docs; (s, start, doc_id, h) is its place in its source's stream
         self.placed = save(
             placed.select("s", (F.col("base") + F.col("inside")).alias("start"), "doc_id", "h", "size", "source_size", "target"), "placed"
@@ -192,7 +192,7 @@ class Mix:
             "word_from": F.greatest(F.lit(0), F.col("block") * n - F.col("start")),
             "word_to": F.least("size", (F.col("block") + 1) * n - F.col("start")),
         })
-        return cut.join(self.slots, ["s", "block"])
+        return cut.join(self.slots.hint("merge"), ["s", "block"])
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), one row for each row of docs."""
@@ -200,7 +200,7 @@ class Mix:
         empty = self.placed.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
         full = self.placed.where("size > 0").withColumnRenamed("doc_id", "id")
         same = (full["s"] == words["s"]) & (full["start"] == words["start"])
-        full = full.join(words.select("s", "start", "taken"), same, "left").select(
+        full = full.join(words.select("s", "start", "taken").hint("merge"), same, "left").select(
             F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
         )
         return full.unionByName(empty.select("doc_id", "size", "source_size", "target", "taken"))
@@ -216,7 +216,7 @@ class Mix:
         )  # one text's own blocks: bounded by its length
         # equal rows have places of their own in the stream; the first of them stands for each
         equal = self.placed.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-        keys = runs.join(equal.withColumnsRenamed({"doc_id": "id", "h": "hash"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
+        keys = runs.join(equal.withColumnsRenamed({"doc_id": "id", "h": "hash"}).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
         keys = save(keys.select("doc_id", "h", "runs", "size", "n"), "taken")
         joined, (taken, size) = one_of_equals(self.docs, keys, "doc_id", "h", "runs", "size")
         whole = F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, r: a + r["word_to"] - r["word_from"]) == F.col(size)

@@ -21,3 +21,11 @@ def test_no_broadcast_of_fingerprints(spark):
     for df in (simhash.links(simhash.fingerprints(docs).select("fp").distinct()), found, components._large_star(edges), components._small_star(edges)):
         assert "BroadcastHashJoin" not in planned(df)
     assert found.where("component_id <> doc_id").count() >= 10
+
+
+def test_no_broadcast_in_the_mix(spark):
+    mixed = mixing.Mix(texts(spark))
+    plan = planned(mixed.segments())
+    # the text's blocks meet the blocks drawn by a merge; what is broadcast has a row for each source
+    assert "SortMergeJoin [s#" in plan and ", block#" in plan.split("SortMergeJoin")[1].split("\n")[0]
+    assert mixed.texts().count() > 0
