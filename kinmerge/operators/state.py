@@ -309,10 +309,12 @@ def erasure_effects(erased: DataFrame, consent: DataFrame, decisions: DataFrame,
     """What is left of each table once the erased records (record_id) are out of it, and the aliases of profiles that emptied.
 
     consent has record_id; decisions, constraints and proposals have a and b; members (record_id, profile).
+    Pairs that come with their ends marked (a_gone, b_gone: true where the record is erased) are not looked up again.
     """
     gone = erased.select("record_id").distinct()
     one = lambda df: df.join(gone, "record_id", "left_anti")
-    both = lambda df: df.join(gone.withColumnRenamed("record_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("record_id", "b"), "b", "left_anti")
+    looked_up = lambda df: df.join(gone.withColumnRenamed("record_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("record_id", "b"), "b", "left_anti")
+    both = lambda df: df.where("a_gone is not true and b_gone is not true").drop("a_gone", "b_gone") if "a_gone" in df.columns else looked_up(df)
     left = one(members)
     empty = members.select("profile").distinct().join(left.select("profile").distinct(), "profile", "left_anti")
     return {
