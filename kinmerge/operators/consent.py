@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
+from ..session import cut
 
 # Which purposes go with an address, the labels of holds, how alike first names must be.
 CHANNELS = {"email_marketing": "email_keys", "sms_marketing": "phones"}
@@ -57,15 +58,37 @@ def channel_denials(members: DataFrame, events: DataFrame) -> DataFrame:
     return out
 
 
+def channel_denied_by_others(members: DataFrame, events: DataFrame) -> DataFrame:
+    """(cluster, purpose, observed_at): of each address or phone a cluster holds the latest denial of its channel's purpose by a record of another cluster.
+
+    A key's latest denial of all and its latest by any other cluster than that one's are enough for every cluster, so a key held by many costs each one row.
+    """
+    out = None
+    for purpose, column in CHANNELS.items():
+        held = members.select("record_id", "cluster", F.explode(column).alias("k"))
+        denied = events.where(~F.col("granted") & (F.col("purpose") == purpose)).select("record_id", "observed_at")
+        per = held.join(denied, "record_id").groupBy("k", F.col("cluster").alias("from")).agg(F.max("observed_at").alias("at"))
+        top = per.groupBy("k").agg(F.max(F.struct("at", "from")).alias("top"))
+        next_ = per.join(top, "k").where(F.col("from") != F.col("top.from")).groupBy("k").agg(F.max("at").alias("at2"))
+        reached = held.select("cluster", "k").distinct().join(top.join(next_, "k", "left"), "k")
+        at = F.when(F.col("top.from") != F.col("cluster"), F.col("top.at")).otherwise(F.col("at2"))
+        found = reached.select("cluster", F.lit(purpose).alias("purpose"), at.alias("observed_at")).where("observed_at is not null")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def neighbour_denials(members: DataFrame, events: DataFrame, undecided: DataFrame, cannot: DataFrame) -> DataFrame:
     """Denials by records that an open pair (a, b) ties to a cluster, but its own and its cannot-link partners'."""
-    both = lambda df: df.select("a", "b").unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    denied = events.where(~F.col("granted"))
+    who = denied.select(F.col("record_id").alias("b")).distinct()
+    # only ways to a record that denies matter, on either side
+    both = lambda df: df.select("a", "b").unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(who, "b", "left_semi")
     of = members.select(F.col("record_id").alias("a"), "cluster")
     ways = both(undecided).join(of, "a").select("cluster", "b").distinct()
     barred = both(cannot).join(of, "a").select("cluster", "b").distinct()
     theirs = members.select(F.col("record_id").alias("b"), F.col("cluster").alias("from"))
     ways = ways.join(barred, ["cluster", "b"], "left_anti").join(theirs, "b").where(F.col("from") != F.col("cluster"))
-    return ways.join(events.where(~F.col("granted")), F.col("b") == F.col("record_id")).select(*_EVENT)
+    return ways.join(denied, F.col("b") == F.col("record_id")).select(*_EVENT)
 
 
 def contact_holds(members: DataFrame, current: DataFrame, granted: DataFrame) -> DataFrame:
@@ -126,7 +149,7 @@ def consent(members: DataFrame, events: DataFrame, undecided: DataFrame, cannot:
     Holds look at purposes granted after channel and neighbour denials; as ties deny, a hold with the grant's time wins over it.
     """
     said = own_events(members, events).unionByName(channel_denials(members, events)).unionByName(neighbour_denials(members, events, undecided, cannot))
-    base = resolve(said)
+    base = cut(resolve(said))
     granted = base.where("granted").select("cluster", "purpose", "observed_at")
     current = current_events(events)
     holds = contact_holds(members, current, granted).unionByName(name_holds(members, current, granted)).unionByName(identity_holds(members, current, granted))
