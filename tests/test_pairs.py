@@ -1,8 +1,13 @@
 """Candidate pairs against plain ones, repeated records and large blocks among them, and without a shuffle of pairs."""
 
+import random
 from itertools import combinations
 
+import numpy as np
+
+from kinmerge.functions.similarity import jaro_winkler_many, jaro_winkler_of
 from kinmerge.operators import matching as M
+from kinmerge.operators import meet
 from kinmerge.operators.matching import FAMILIES
 
 _SCHEMA = "record_id string, email_keys array<string>, phones array<string>, fn string, fn_raw string, ln string, suffix string, dob string, postal string, addr string, city string, ambiguous array<string>, rare boolean, source_id string, truth bigint"
@@ -40,3 +45,22 @@ def test_compared_where_they_meet(spark):
     for most in (12, 1000):
         want = M.compare(M.candidate_pairs(known, most), known).collect()
         assert sorted(map(str, M.compare_candidates(known, most).collect())) == sorted(map(str, want))
+
+
+def test_similar_many_at_once():
+    rng = random.Random(3)
+    values = ["", "a", "main st", "x" * 70, "é́ß", "martha", "marhta", "dixon", "dicksonx"] + ["".join(rng.choice("abcde 12") for _ in range(rng.randrange(1, 20))) for _ in range(150)]
+    x, y = (np.array(v) for v in zip(*((i, j) for i in range(len(values)) for j in range(len(values)))))
+    assert jaro_winkler_many(values, x, y).tolist() == [jaro_winkler_of(values[i], values[j]) for i, j in zip(x, y)]
+
+
+def test_compared_in_many_buckets_by_compressed_columns(spark, monkeypatch):
+    rows = _rows()
+    known = spark.createDataFrame(rows, _SCHEMA)
+    one = sorted(map(str, M.compare_candidates(known, 25).collect()))
+    monkeypatch.setattr(meet, "BUCKET_ENTRIES", 40)
+    many = M.compare_candidates(known, 25)
+    assert many._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1  # of buckets; no row of a record travels by itself
+    assert sorted(map(str, many.collect())) == one
+    assert {(r.a, r.b) for r in many.select("a", "b").collect()} == _plain(rows, 25)
+    assert M.compare_candidates(known.limit(0)).count() == 0
