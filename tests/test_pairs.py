@@ -9,6 +9,7 @@ from kinmerge.functions.similarity import jaro_winkler_many, jaro_winkler_of
 from kinmerge.operators import matching as M
 from kinmerge.operators import meet
 from kinmerge.operators.matching import FAMILIES
+from kinmerge.plans.resolve import no_pairs
 
 _SCHEMA = "record_id string, email_keys array<string>, phones array<string>, fn string, fn_raw string, ln string, suffix string, dob string, postal string, addr string, city string, ambiguous array<string>, rare boolean, source_id string, truth bigint"
 
@@ -64,3 +65,10 @@ def test_compared_in_many_buckets_by_compressed_columns(spark, monkeypatch):
     assert sorted(map(str, many.collect())) == one
     assert {(r.a, r.b) for r in many.select("a", "b").collect()} == _plain(rows, 25)
     assert M.compare_candidates(known.limit(0)).count() == 0
+
+
+def test_no_pair_is_looked_up_in_an_empty_table(spark):
+    scored = M.score_and_band(M.compare_candidates(spark.createDataFrame(_rows(), _SCHEMA)))
+    decided = M.decide(scored, no_pairs(spark))
+    assert "Join" not in decided._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(decided.collect()) == sorted(M.decide(scored).collect())
