@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kinmerge.functions.similarity import jaro_winkler_many, jaro_winkler_of
 from kinmerge.operators import matching as M
@@ -72,3 +73,17 @@ def test_no_pair_is_looked_up_in_an_empty_table(spark):
     decided = M.decide(scored, no_pairs(spark))
     assert "Join" not in decided._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(decided.collect()) == sorted(M.decide(scored).collect())
+
+
+def test_cannot_links_told_by_the_pairs_themselves(spark, monkeypatch):
+    # a rare name with a postal code in common makes gray matches
+    rows = [(f"r{i}", [], [], f"f{i % 3}", f"f{i % 3}", "l", None, None, "z", None, None, [], True, "s", i % 2) for i in range(12)]
+    known = spark.createDataFrame(rows, _SCHEMA)
+    scored = M.score_and_band(M.compare_candidates(known))
+    barred = (F.col("a_truth") == 1) & (F.col("b_truth") == 1)
+    monkeypatch.setattr(meet, "ALIKE", 2)
+    told = M.decide_candidates(known, cannot=barred)
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    looked_up = M.decide(scored, scored.where(barred).select(F.col("b").alias("a"), F.col("a").alias("b")))
+    assert sorted(map(str, told.collect())) == sorted(map(str, looked_up.collect()))
+    assert 0 < told.where("final = 'review'").where(barred).count() < told.count() and told.where("final = 'match'").count()
