@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import free_shuffles, shared_dir, ship
 
 #: A word, as every operator of this subpackage understands it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,16 +77,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def save(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def save(df: DataFrame, label: str, *partition_by: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs the current stage only. The table
-    goes when the driver's Python ends; ``drop_saved`` removes it earlier.
+    goes when the driver's Python ends; ``drop_saved`` removes it earlier. With
+    ``free`` what was shuffled for it goes from the executors' disks at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/kinmerge-{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if free:
+        free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     atexit.register(_remove_quietly, spark, path)

@@ -26,6 +26,7 @@ scores zero. Columns other than doc_id and text are left alone.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +51,34 @@ _EVEN = _U(0xFFFFFFFFFFFFFFFE)
 
 # --- packed arrays: planes of bytes compress well --------------------------
 
+_LENGTH = struct.Struct("<Q")
+
+
+def _squeezed(data: bytes) -> bytes:
+    """data with its length, by a codec that codes symbols by their frequency, as that of Spark's shuffles does not."""
+    return _LENGTH.pack(len(data)) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(blob[_LENGTH.size :], _LENGTH.unpack_from(blob)[0], codec="zstd", asbytes=True)
+
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return _squeezed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unplaned(blob: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_whole(blob), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    """True and false, a bit each, after their number."""
+    return _LENGTH.pack(len(x)) + np.packbits(x).tobytes()
+
+
+def _unbits(blob: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8, offset=_LENGTH.size), count=_LENGTH.unpack_from(blob)[0]).astype(bool)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -179,8 +200,7 @@ def _sent(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     return chunks.mapInArrow(run, _SENT)
 
 
-_ADDED_UP = "kind string, m int, bucket bigint, chunk bigint, keys binary, counts binary, flags binary, r array<bigint>, n array<bigint>"
-OWNER = 1
+_ADDED_UP = "kind string, m int, bucket bigint, chunk bigint, keys binary, counts binary, owned binary, r array<bigint>, n array<bigint>"
 
 
 def _added_up(key: tuple, rows: pa.Table) -> pa.Table:
@@ -192,13 +212,13 @@ def _added_up(key: tuple, rows: pa.Table) -> pa.Table:
     counts = np.concatenate([_unplaned(x, np.uint32) for x in rows.column("counts").to_pylist()])
     distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-    flags = np.zeros(len(place), np.uint8)
-    flags[first] |= OWNER
+    owned = np.zeros(len(place), bool)
+    owned[first] = True
     sums = total.astype(np.uint64)[place]
     cuts = np.cumsum([0, *map(len, keys)])
     seen = total > 0
     r, n = np.unique(total[seen], return_counts=True)
-    out = [("answer", m, bucket, c, None, _planes(sums[a:z]), flags[a:z].tobytes(), None, None) for c, a, z in zip(chunks, cuts, cuts[1:])]
+    out = [("answer", m, bucket, c, None, _planes(sums[a:z]), _bits(owned[a:z]), None, None) for c, a, z in zip(chunks, cuts, cuts[1:])]
     out.append(("counts", m, bucket, None, _pack_keys(distinct[seen]), _planes(total[seen]), None, None, None))
     out.append(("histogram", m, bucket, None, None, None, None, r.tolist(), n.tolist()))
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -254,17 +274,17 @@ def _score_chunk(row: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], o
     """What one chunk knows once its n-grams' totals are there: its texts' scores but for backoff
     weights, the weights they wait for, and the sums of the n-grams it owns."""
     t = _Tokens(row, order)
-    count, index, flags = [], [], []
+    count, index, owned = [], [], []
     first_at = []
     for m in range(1, order + 1):
         at = t.valid(m)
         _, first, place = np.unique(t.keys[m - 1][at], return_index=True, return_inverse=True)
-        sums, marks = answers.get(m, (np.zeros(0, np.int64), np.zeros(0, np.uint8)))
+        sums, marks = answers.get(m, (np.zeros(0, np.int64), np.zeros(0, bool)))
         c, i = np.zeros(len(t.place), np.int64), np.full(len(t.place), -1)
         c[at], i[at] = sums[place], place
         count.append(c)
         index.append(i)
-        flags.append(marks)
+        owned.append(marks)
         first_at.append(at[first])
     p = [(count[0] + ADDED) / (total + ADDED * (distinct + 1))]
     for m in range(2, order + 1):
@@ -285,7 +305,7 @@ def _score_chunk(row: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], o
             pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) < 64 else _unique_pairs(pairs)
             keys = t.keys[m - 2][first_at[m - 2][pairs[:, 1]]].view(np.int64)
             out.append(_table("wait", len(keys), chunk=np.full(len(keys), row["chunk"]), text=pairs[:, 0].astype(np.int32), m=np.full(len(keys), m, np.int32), context=keys, times=times))
-        own = first_at[m - 1][((flags[m - 1] & OWNER) > 0)]
+        own = first_at[m - 1][owned[m - 1]]
         own = own[(p[m - 1][own] > 0)]
         if len(own):
             contexts, place = np.unique(index[m - 2][own - 1], return_inverse=True)
@@ -318,7 +338,7 @@ class Katz:
         chunks = save(_chunks(docs), "chunks")
         tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         bits = max(0, int(tokens // BUCKET_TOKENS).bit_length())
-        added = save(_sent(chunks, order, bits).groupBy("m", "bucket").applyInArrow(_added_up, _ADDED_UP), "ngrams", "kind", "m")
+        added = save(_sent(chunks, order, bits).groupBy("m", "bucket").applyInArrow(_added_up, _ADDED_UP), "ngrams", "kind", "m", free=True)
         self.counts = added.where("kind = 'counts'").select("m", "bucket", "keys", "counts")
         # counts of counts: as many rows as different counts, at most the root of twice the tokens
         histogram = added.where("kind = 'histogram'").select("m", F.explode(F.arrays_zip("r", "n")).alias("x"))
@@ -337,11 +357,11 @@ class Katz:
                 if len(own):
                     answers[m] = (
                         np.concatenate([_unplaned(x, np.uint64) for x in own.column("counts").to_pylist()]).astype(np.int64),
-                        np.concatenate([np.frombuffer(x, np.uint8) for x in own.column("flags").to_pylist()]),
+                        np.concatenate([_unbits(x) for x in own.column("owned").to_pylist()]),
                     )
             return _score_chunk(left.to_pylist()[0], answers, order, discounts, total, distinct)
 
-        answers = added.where("kind = 'answer'").select("chunk", "m", "bucket", "counts", "flags")
+        answers = added.where("kind = 'answer'").select("chunk", "m", "bucket", "counts", "owned")
         scored = save(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, _SCORED), "scored", "kind")
         sums = scored.where("kind = 'sums'").groupBy("m", "context").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
         self.weights = save(sums.select("m", "context", ((1 - F.col("seen")) / (1 - F.col("lower"))).alias("alpha")), "weights", "m")

@@ -1,8 +1,10 @@
 """Tables that grow with the input are joined without a broadcast, which would pass them through the driver."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kinmerge.llm import components, mixing, simhash
+from kinmerge.llm import components, katz, mixing, simhash
 
 
 def planned(df):
@@ -29,3 +31,13 @@ def test_no_broadcast_in_the_mix(spark):
     # the text's blocks meet the blocks drawn by a merge; what is broadcast has a row for each source
     assert "SortMergeJoin [s#" in plan and ", block#" in plan.split("SortMergeJoin")[1].split("\n")[0]
     assert mixed.texts().count() > 0
+
+
+def test_what_katz_sends_is_coded_by_frequency():
+    rng = np.random.default_rng(5)
+    counts = (rng.geometric(0.3, 50_000) * rng.integers(1, 9, 50_000)).astype(np.uint64)
+    assert (katz._unplaned(katz._planes(counts), np.uint64) == counts).all()
+    assert len(katz._planes(counts)) < 0.8 * len(pa.compress(counts.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="lz4", asbytes=True))
+    for n in (0, 1, 8, 4097):
+        some = rng.random(n) < 0.3
+        assert (katz._unbits(katz._bits(some)) == some).all() and len(katz._bits(some)) <= 8 + -(-n // 8)
