@@ -1,9 +1,13 @@
-"""Embedding near-duplicates: all pairs of a label, or sorted projection passes where it is large.
+"""Embedding near-duplicates: all pairs of a label, however large it is.
 
-Vectors of a label and length, up to ``EXACT_ROWS`` of them, are all compared
-with each other, in blocks dealt out over tasks; a block pair sends a count of
-links and a forest of its links, never the pairs. More of them are hashed by 64
-random half-spaces in several passes. A pass orders them lexicographically by
+Vectors of a label and length are all compared with each other, in blocks dealt
+out over tasks; a block pair sends a count of links and a forest of its links,
+never the pairs. So no link is missed at any size, and the time a label takes
+grows with the square of its distinct vectors, what is shuffled for it with that
+square over ``BLOCK_BYTES``.
+
+A caller for whom that is too much may ask for passes instead; no size does.
+Vectors are then hashed by 64 random half-spaces in several passes. A pass orders them lexicographically by
 the hash and compares each with its next ``WINDOW`` neighbours, across partition
 bounds too: a sketch of ``SKETCH_WORDS`` more hashes goes with each id in place
 of its vector, and pairs whose sketches differ in few enough bits have their
@@ -43,8 +47,6 @@ MISSED = 1e-4
 PARTITION_ROWS = 1 << 16
 #: Ranges at most that a pass is cut into, as a sample of each goes to the driver.
 MOST_PARTS = 10_000
-#: Vectors of one label and length that are all compared with each other without passes.
-EXACT_ROWS = 1 << 14
 #: What is compared whole is cut into ``BLOCKS`` blocks, fewer where they would have under ``BLOCK_ROWS``, more where one would have over ``BLOCK_BYTES``.
 BLOCKS = 4
 BLOCK_ROWS = 256
@@ -232,20 +234,29 @@ def _all_pairs(members: DataFrame, least: float) -> DataFrame:
         def links(rows: pa.RecordBatch) -> list[np.ndarray]:
             x, ids = _unit(matrix(rows.column(6))), rows.column(4).to_numpy()
             copies, own = rows.column(5).to_numpy(), rows.column(3).to_numpy()
-            apart = rows.column(1)[0].as_py() != rows.column(2)[0].as_py()
+            i, j = (rows.column(k)[0].as_py() for k in (1, 2))
             n = len(ids)
             found, root = np.zeros(n, np.int64), np.arange(n)
-            step = max(16, (1 << 21) // n)
-            for at in range(0, n, step):
-                close = x[at : at + step] @ x.T >= least
-                if apart:
-                    close &= own[at : at + step, None] != own[None, :]
-                k = np.arange(len(close))
-                close[k, at + k] = False
-                u, v = np.nonzero(close)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            # single precision tells all but those within its error, which double precision decides
+            short, error = x.astype(np.float32), (x.shape[1] + 16) * 2.0**-23
+            others = short[right].T
+            step = max(16, (1 << 21) // max(1, len(right)))
+            for at in range(0, len(left), step):
+                cosine = short[left[at : at + step]] @ others
+                u, v = np.nonzero(cosine >= least - error)
+                sure = cosine[u, v] >= least + error
+                u, v = left[u + at], right[v]
+                unsure = np.flatnonzero(~sure)
+                for k in (unsure[z : z + 4096] for z in range(0, len(unsure), 4096)):
+                    sure[k] = np.einsum("ij,ij->i", x[u[k]], x[v[k]]) >= least
+                sure &= u != v
+                u, v = u[sure], v[sure]
                 if len(u):
-                    found[at : at + step] = np.bincount(u, copies[v], len(close))
-                    root = _united(root, u + at, v)
+                    found += np.bincount(u, copies[v], n).astype(np.int64)
+                    if i != j:
+                        found += np.bincount(v, copies[u], n).astype(np.int64)
+                    root = _united(root, u, v)
             some = found > 0
             return [ids[some], found[some], ids[root[some]]]
 
@@ -279,19 +290,20 @@ def _sums(compared: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each vector of rows (vec_id, label, embedding); passes over large labels: ``passes_for`` unless given."""
+    """(vec_id, n_links, component_id, kept) for each vector of rows (vec_id, label, embedding).
+
+    All pairs of a label are compared unless so many passes are asked for, which may miss some links (``passes_for``).
+    """
     rows = rows.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), F.col("embedding").cast("array<double>"))
     each = save(one_each(rows, "label", "embedding"), "vectors")
     able = each.where(finite() & F.col("label").isNotNull()).where(F.exists("embedding", lambda v: v != 0))
     reps = save(able.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first(F.size("embedding")).alias("dim")), "reps")
     group = ["label", "dim"]
     groups = save(reps.groupBy(*group).agg(F.count("*").alias("n")), "groups")
-    whole = groups.where(F.col("n") <= EXACT_ROWS).select(*group)
-    large = groups.where(F.col("n") > EXACT_ROWS)
-    total, largest = large.agg(F.sum("n"), F.max("n")).first()
+    whole, large = (groups.select(*group), groups.limit(0)) if passes is None else (groups.limit(0).select(*group), groups)
+    total, largest = large.agg(F.sum("n"), F.max("n")).first() if passes is not None else (0, 0)
     if total:
         bits = max(1, cell_bits(largest, window))
-        passes = passes or passes_for(largest, least, window)
         cells = save(_cells(reps.join(large, group, "left_semi"), passes, bits), "cells")
         crowded = save(cells.groupBy("run", *group, "cell").agg(F.count("*").alias("held")).where(F.col("held") > window + 1), "crowded")
         # cells that cost as much as the whole label give way to it

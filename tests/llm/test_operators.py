@@ -248,6 +248,33 @@ def test_embedding_dense(spark, monkeypatch, exact_rows):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
 
 
+def test_embedding_dedup_knows_no_size(spark, monkeypatch):
+    # pairs just over and just under the least cosine, closer to it than single precision tells, across blocks
+    monkeypatch.setattr(embedding_dedup, "EXACT_ROWS", 0, raising=False)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 1 << 15)
+    passes = []
+    monkeypatch.setattr(embedding_dedup, "sorted_passes", lambda *a: passes.append(a))
+    rng = np.random.default_rng(13)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 800, 24)))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = np.where(np.arange(800) % 2, 0.98 + 1e-9, 0.98 - 1e-9)[:, None]
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y])
+    close = both @ both.T >= 0.98
+    np.fill_diagonal(close, False)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(close.sum(axis=1).tolist())) and close.sum() >= 800 and not passes
+
+
+@pytest.mark.parametrize("passes", [12])
+def test_embedding_passes_where_asked_for(spark, passes):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((300, 16))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(np.concatenate([x, x + 0.001 * rng.standard_normal(x.shape)]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), passes=passes).collect()
+    assert sum(r["n_links"] for r in got) == 600 and sum(r["kept"] for r in got) == 300
+
+
 def test_top_k(vectors, monkeypatch):
     monkeypatch.setattr(topk, "RANGE_ROWS", 50)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
