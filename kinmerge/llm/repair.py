@@ -53,13 +53,19 @@ def _pair_codes(seq: np.ndarray) -> np.ndarray:
     return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
 
 
-def _frequent(codes: np.ndarray) -> np.ndarray:
+def _codes_at(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The codes of the pairs at some places."""
+    kind, half = (np.uint32, 16) if int(seq.max()) < 1 << 16 else (np.uint64, 32)
+    return (seq[at].astype(kind) << kind(half)) | seq[at + 1].astype(kind)
+
+
+def _frequent(codes: np.ndarray, most: int = RULES_A_ROUND) -> np.ndarray:
     """The most frequent pairs, most frequent first, ties by code."""
     s = np.sort(codes)
     at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
     counts = np.diff(np.append(at, len(s)))
     enough = np.flatnonzero(counts >= LEAST_COUNT)
-    enough = enough[np.lexsort((s[at[enough]], -counts[enough]))[:RULES_A_ROUND]]
+    enough = enough[np.lexsort((s[at[enough]], -counts[enough]))[:most]]
     return s[at[enough]]
 
 
@@ -91,20 +97,27 @@ def _rank_of(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def grammar(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first): rules[k] holds the two parts of symbol first + k."""
+    """(symbols, rules, first): rules[k] holds the two parts of symbol first + k.
+
+    Counts of old pairs only fall, so once a pair is not frequent its places are not looked at again: after the first
+    rounds few places are left, those of pairs still frequent and those beside new symbols.
+    """
     seq = ids.astype(np.uint32)
     first = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    made = 0
+    made, few, live = 0, False, None  # places whose pair may be frequent, None for all
     while len(seq) > 1:
-        codes = _pair_codes(seq)
-        pairs = _frequent(codes)
-        if not len(pairs):
+        codes = _pair_codes(seq) if live is None else _codes_at(seq, live)
+        ranked = _frequent(codes, len(codes) if few else RULES_A_ROUND)
+        if not len(ranked):
             break
-        rank = _rank_of(codes, pairs)
+        rank = _rank_of(codes, ranked)
+        often = np.flatnonzero(rank < len(ranked))
+        rank, often = rank[often], often if live is None else live[often]  # the frequent pairs' places
+        pairs = ranked[:RULES_A_ROUND]
         none = len(pairs)
-        near = np.flatnonzero(rank < none)
-        own = rank[near]
+        now = rank < none
+        near, own = often[now], rank[now]
         beside = near[1:] == near[:-1] + 1
         before, after = np.full(len(own), none, own.dtype), np.full(len(own), none, own.dtype)
         np.copyto(before[1:], own[:-1], where=beside)
@@ -114,17 +127,26 @@ def grammar(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         if again.any():  # in a run of one pair, every second
             place = np.arange(len(near))
             chosen &= ((place - np.maximum.accumulate(np.where(again, 0, place))) & 1) == 0
-        at = near[chosen]
+        at, used_by = near[chosen], own[chosen]
         if not len(at):
             break
         half = np.uint64(32) if codes.dtype == np.uint64 else np.uint32(16)
         low = codes.dtype.type((1 << int(half)) - 1)
-        used = np.bincount(rank[at], minlength=none) > 0  # pairs that others cover everywhere take no symbol
+        used = np.bincount(used_by, minlength=none) > 0  # pairs that others cover everywhere take no symbol
         pairs = pairs[used]
         rules.append(np.stack([pairs >> half, pairs & low], 1).astype(np.uint32))
-        seq[at] = (first + made + (np.cumsum(used) - 1)[rank[at]]).astype(np.uint32)
+        seq[at] = (first + made + (np.cumsum(used) - 1)[used_by]).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        if few:  # places in what stays: pairs still frequent, and each new symbol's with its neighbours
+            to = np.cumsum(stay, dtype=np.int32) - 1
+            new = to[at]
+            mark = np.zeros(len(seq) + 1, bool)
+            mark[to[often[stay[often]]]] = True
+            mark[new] = True
+            mark[new[new > 0] - 1] = True
+            live = np.flatnonzero(mark[: len(seq) - len(at) - 1])
+        few = few or len(at) < len(seq) >> 3
         seq = seq[stay]
         made += len(pairs)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first

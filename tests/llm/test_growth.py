@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kinmerge.llm import components, katz, mixing, simhash
+from kinmerge.llm import components, katz, mixing, repair, simhash
 
 
 def planned(df):
@@ -41,3 +41,12 @@ def test_what_katz_sends_is_coded_by_frequency():
     for n in (0, 1, 8, 4097):
         some = rng.random(n) < 0.3
         assert (katz._unbits(katz._bits(some)) == some).all() and len(katz._bits(some)) <= 8 + -(-n // 8)
+
+
+def test_late_rounds_look_at_few_places(monkeypatch):
+    ids = np.random.default_rng(6).zipf(1.3, 60_000) % 3000
+    seen, real = [], repair._rank_of
+    monkeypatch.setattr(repair, "_rank_of", lambda codes, pairs: seen.append(len(codes)) or real(codes, pairs))
+    seq, rules, first = repair.grammar(ids)
+    assert (repair.expand(seq, rules, first) == ids).all() and not len(repair._frequent(repair._pair_codes(seq)))
+    assert seen[0] == len(ids) - 1 and seen[-1] < len(seq) / 4
