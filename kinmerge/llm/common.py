@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import free_shuffles, shared_dir, ship
+from ..session import free_shuffles, shared_dir, ship, shuffles
 
 #: A word, as every operator of this subpackage understands it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,10 +86,11 @@ def save(df: DataFrame, label: str, *partition_by: str, free: bool = False) -> D
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/kinmerge-{label}-{uuid.uuid4().hex}"
+    before = shuffles(spark) if free else 0
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     if free:
-        free_shuffles(spark)
+        free_shuffles(spark, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     atexit.register(_remove_quietly, spark, path)

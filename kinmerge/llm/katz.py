@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, save, table
+from .common import drop_saved, id_remainder, remove, save, table
 from .text import as_bytes, mix, slices, spans, word_hashes
 
 ORDER = 2
@@ -362,7 +362,10 @@ class Katz:
             return _score_chunk(left.to_pylist()[0], answers, order, discounts, total, distinct)
 
         answers = added.where("kind = 'answer'").select("chunk", "m", "bucket", "counts", "owned")
-        scored = save(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, _SCORED), "scored", "kind")
+        scored = save(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, _SCORED), "scored", "kind", free=True)
+        # nothing reads the texts' words or the answers again, and what follows shuffles
+        drop_saved(chunks)
+        remove(docs.sparkSession, f"{added._saved_path}/kind=answer")
         sums = scored.where("kind = 'sums'").groupBy("m", "context").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
         self.weights = save(sums.select("m", "context", ((1 - F.col("seen")) / (1 - F.col("lower"))).alias("alpha")), "weights", "m")
         waits = scored.where("kind = 'wait'").select("chunk", "text", "m", "context", "times")
