@@ -33,6 +33,19 @@ def test_consent_is_planned_in_steps(spark, monkeypatch):
     assert max([*seen, planned(standing)]) <= 30
 
 
+def test_publication_reads_profiles_that_are_kept(spark, monkeypatch):
+    frame = spark.createDataFrame
+    members = frame([("A", "a"), ("A", "b"), ("B", "c")], "cluster string, record_id string")
+    golden, consent = frame([("A", "Ann"), ("B", "Bob")], GOLDEN), frame([("A", "email_marketing", True, "2", "s")], STANDING)
+    found = R.Resolution(members, members, members, members, golden, consent)
+    before = frame([("a", "p1"), ("c", "p2"), ("gone", "p3")], "record_id string, profile string")
+    seen = watched(monkeypatch, R)
+    new = R.publish(found, before, frame([], "old string, new string"), frame([("p1", "d"), ("p2", "d"), ("p3", "d")], "profile string, digest string"))
+    assert {(r["profile"], r["change"]) for r in new["changes"].collect()} == {("p1", "updated"), ("p2", "updated"), ("p3", "retired")}
+    assert {tuple(r) for r in new["members"].collect()} == {("a", "p1"), ("b", "p1"), ("c", "p2")}
+    assert len(seen) == 3 and max(planned(new[k]) for k in ("changes", "events", "aliases")) <= 20
+
+
 def test_freed_memory_goes_back(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(session, "trim_driver", lambda s: asked.append(session_trim(s)))
